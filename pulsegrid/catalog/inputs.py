@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.operators.clean import remove_outliers
-from pulsegrid.operators.joins import SeriesProfile, profile
-from pulsegrid.operators.resample import resample_ffill, with_grid_position
-from pulsegrid.operators.sigma import sigma_summary
+from pulsegrid.plans.stages import SeriesStages
 from pulsegrid.session import configure
 from pulsegrid.sources.series import as_series, scan_aggregate
 
@@ -61,21 +56,5 @@ def part_meta(spark, folder) -> DataFrame:
     )
 
 
-@dataclass
-class Cleaned:
-    """A cleaned series with the profile of the raw one and its thresholds."""
-
-    clean: DataFrame
-    size: SeriesProfile
-
-    @property
-    def summary(self) -> DataFrame:
-        return sigma_summary(self.clean, self.size)
-
-    def prepared(self, freq: str) -> DataFrame:
-        return with_grid_position(resample_ffill(self.clean, freq), self.size, freq)
-
-
-def cleaned(series: DataFrame) -> Cleaned:
-    size = profile(series)
-    return Cleaned(remove_outliers(series, size), size)
+def cleaned(series: DataFrame) -> SeriesStages:
+    return SeriesStages(series)

@@ -199,13 +199,13 @@ ORACLES["scan_range"] = statement(
 )
 ORACLES["scan_trailing"] = statement(
     ORDERS,
-    "SELECT tag, ts, round(value, 4) AS value FROM s"
+    "SELECT tag, ts, round(value, 6) AS value FROM s"
     " QUALIFY ts >= max(ts) OVER (PARTITION BY tag) - INTERVAL 90 DAY",
 )
 ORACLES["scan_aggregate"] = statement(
     BY_TYPE,
     " UNION ALL ".join(
-        f"SELECT tag, time_bucket(INTERVAL '1 hour', ts) AS ts, round(CAST({f}(value) AS DOUBLE), 4) AS value,"
+        f"SELECT tag, time_bucket(INTERVAL '1 hour', ts) AS ts, round(CAST({f}(value) AS DOUBLE), 6) AS value,"
         f" '{how}' AS how FROM s GROUP BY 1, 2"
         for how, f in (("average", "avg"), ("min", "min"), ("max", "max"), ("sum", "sum"), ("count", "count"))
     ),
@@ -227,10 +227,10 @@ def interpolated(step: str, unit: str, linear: bool = True) -> list[str]:
 
 
 ORACLES["scan_interpolate"] = statement(
-    BY_TYPE + interpolated("1 hour", "hour"), "SELECT tag, ts, round(value, 4) AS value FROM gi"
+    BY_TYPE + interpolated("1 hour", "hour"), "SELECT tag, ts, round(value, 6) AS value FROM gi"
 )
 ORACLES["scan_interpolate_step"] = statement(
-    BY_USER + interpolated("1 day", "day", False), "SELECT tag, ts, round(value, 4) AS value FROM gi"
+    BY_USER + interpolated("1 day", "day", False), "SELECT tag, ts, round(value, 6) AS value FROM gi"
 )
 
 META = [
@@ -302,11 +302,11 @@ ORACLES["outlier_counts"] = statement(
     BY_TYPE + BOUNDS,
     f"SELECT tag, count(*) AS total_count, count(*) FILTER ({INSIDE}) AS kept_count,"
     f" count(*) - count(*) FILTER ({INSIDE}) AS removed_count,"
-    f" round(100.0 * (count(*) - count(*) FILTER ({INSIDE})) / count(*), 4) AS percent_removed"
+    f" round(100.0 * (count(*) - count(*) FILTER ({INSIDE})) / count(*), 6) AS percent_removed"
     " FROM s JOIN b USING (tag) GROUP BY tag",
 )
 SUMMARY_COLUMNS = ", ".join(
-    f"round({c}, 4) AS {c}" for c in ["median", "mad", "sigma"] + [f"{s}{k}" for s in "pn" for k in range(1, 6)]
+    f"round({c}, 6) AS {c}" for c in ["median", "mad", "sigma"] + [f"{s}{k}" for s in "pn" for k in range(1, 6)]
 )
 ORACLES["sigma_summary"] = statement(BY_TYPE + CLEAN + SIGMA, f"SELECT tag, {SUMMARY_COLUMNS} FROM sig")
 ORACLES["sigma_flags"] = statement(
@@ -340,12 +340,12 @@ RATES = [
     ) + ")"
 ]
 ORACLES["rate_of_change"] = statement(
-    ORDERS + CLEAN + fits() + RATES, "SELECT tag, period, round(slope_per_day, 4) AS slope_per_day, note FROM rt"
+    ORDERS + CLEAN + fits() + RATES, "SELECT tag, period, round(slope_per_day, 6) AS slope_per_day, note FROM rt"
 )
 ORACLES["rate_units"] = statement(
     BY_TYPE + CLEAN + fits((14, 30)),
     " UNION ALL ".join(
-        f"SELECT tag, '{unit}' AS unit, round(s14 * {f}, 4) AS slope_14d, round(s30 * {f}, 4) AS slope_30d FROM ft"
+        f"SELECT tag, '{unit}' AS unit, round(s14 * {f}, 6) AS slope_14d, round(s30 * {f}, 6) AS slope_30d FROM ft"
         for unit, f in (("per_day", "86400e2"), ("per_hour", "3600e2"), ("per_second", "1e6"))
     ),
 )
@@ -367,9 +367,9 @@ ORDERS_DAILY = ORDERS + CLEAN + prepared("1 day")
 
 ORACLES["resample_mean"] = statement(
     BY_USER,
-    "SELECT tag, time_bucket(INTERVAL '1 day', ts) AS ts, round(avg(value), 4) AS value FROM s GROUP BY 1, 2",
+    "SELECT tag, time_bucket(INTERVAL '1 day', ts) AS ts, round(avg(value), 6) AS value FROM s GROUP BY 1, 2",
 )
-ORACLES["resample_ffill"] = statement(HOURLY, "SELECT tag, ds, round(y, 4) AS y FROM pos WHERE y IS NOT NULL")
+ORACLES["resample_ffill"] = statement(HOURLY, "SELECT tag, ds, round(y, 6) AS y FROM pos WHERE y IS NOT NULL")
 ORACLES["prepared_as_is"] = statement(
     BY_USER + CLEAN,
     "SELECT tag, ts AS ds, value AS y, row_number() OVER (PARTITION BY tag ORDER BY ts) - 1 AS i,"
@@ -402,18 +402,17 @@ ORACLES["even_subsample"] = statement(
 )
 ORACLES["lag_sequences"] = statement(
     HOURLY,
-    "SELECT a.tag, a.ds, round(any_value(a.y), 4) AS y, round(arg_min(b.y, b.i), 4) AS oldest,"
-    " round(arg_max(b.y, b.i), 4) AS newest, count(*) AS length, round(sum(b.y * (b.i - a.i + 73)), 3) AS weighted"
+    "SELECT a.tag, a.ds, round(any_value(a.y), 6) AS y, round(arg_min(b.y, b.i), 6) AS oldest,"
+    " round(arg_max(b.y, b.i), 6) AS newest, count(*) AS length, round(sum(b.y * (b.i - a.i + 73)), 6) AS weighted"
     " FROM pos a JOIN pos b ON a.tag = b.tag AND b.i BETWEEN a.i - 72 AND a.i - 1 WHERE a.i >= 72 GROUP BY a.tag, a.ds",
 )
-ORACLES["lag_sequences"] = ORACLES["lag_sequences"].replace(", 4)", ", 3)")
 SPLIT = [f"sp AS (SELECT *, i >= {TRAIN_LENGTH} AS is_test FROM pos)"]
 ORACLES["minmax_scale"] = statement(
     HOURLY + SPLIT + [
         "mm AS (SELECT tag, min(y) FILTER (NOT is_test) AS lo, max(y) FILTER (NOT is_test) AS hi FROM sp GROUP BY tag)"
     ],
-    "SELECT tag, ds, round(y, 4) AS y, is_test, round((y - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END, 4) AS scaled,"
-    " round(y, 4) AS restored FROM sp JOIN mm USING (tag)",
+    "SELECT tag, ds, round(y, 6) AS y, is_test, round((y - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END, 6) AS scaled,"
+    " round(y, 6) AS restored FROM sp JOIN mm USING (tag)",
 )
 ORACLES["standard_scale"] = statement(
     HOURLY + SPLIT + [
@@ -424,7 +423,7 @@ ORACLES["standard_scale"] = statement(
         ) + " FROM fe GROUP BY tag)",
     ],
     "SELECT tag, ds, " + ", ".join(
-        f"round(({c} - {c}_m) / {c}_s, 4) AS {c}_scaled" for c in ("y", "hour", "time_idx")
+        f"round(({c} - {c}_m) / {c}_s, 6) AS {c}_scaled" for c in ("y", "hour", "time_idx")
     ) + " FROM fe JOIN mo USING (tag)",
 )
 
@@ -432,8 +431,8 @@ ORACLES["standard_scale"] = statement(
 
 ORACLES["history_stats"] = statement(
     USER_HOURLY + [stats("pos", "st", 168)],
-    "SELECT tag, n, round(mean, 4) AS mean, round(std, 4) AS std, round(lo, 4) AS min, round(hi, 4) AS max,"
-    " round(slope, 4) AS trend_slope, round(last, 4) AS trend_intercept FROM st",
+    "SELECT tag, n, round(mean, 6) AS mean, round(std, 6) AS std, round(lo, 6) AS min, round(hi, 6) AS max,"
+    " round(slope, 6) AS trend_slope, round(last, 6) AS trend_intercept FROM st",
 )
 ORACLES["recent_trend"] = statement(
     LINES_DAILY + [stats("pos", "st", 168)],
@@ -441,8 +440,8 @@ ORACLES["recent_trend"] = statement(
 )
 ORACLES["calendar_pattern"] = statement(
     HOURLY,
-    "SELECT tag, 'hour' AS by, hour(ds) AS slot, round(avg(y), 4) AS mean FROM pos GROUP BY ALL"
-    " UNION ALL SELECT tag, 'weekday' AS by, isodow(ds) - 1 AS slot, round(avg(y), 4) AS mean FROM pos GROUP BY ALL",
+    "SELECT tag, 'hour' AS by, hour(ds) AS slot, round(avg(y), 6) AS mean FROM pos GROUP BY ALL"
+    " UNION ALL SELECT tag, 'weekday' AS by, isodow(ds) - 1 AS slot, round(avg(y), 6) AS mean FROM pos GROUP BY ALL",
 )
 ORACLES["trend_projection"] = statement(
     LINES_DAILY + [stats("pos", "st", 168)],
@@ -456,14 +455,14 @@ ORACLES["horizon_blend"] = statement(
         f"fg AS (SELECT *, last_ds + (i + 1) * INTERVAL 1 HOUR AS ds, i * 3e-1 / {STEPS - 1} AS w FROM st"
         f" CROSS JOIN (SELECT unnest(generate_series(0, {STEPS - 1})) AS i))",
     ],
-    f"SELECT fg.tag, ds, round({CLIP.format(f'((1 - w) * level + w * {TREND})')}, 4) AS yhat"
+    f"SELECT fg.tag, ds, round({CLIP.format(f'((1 - w) * level + w * {TREND})')}, 6) AS yhat"
     " FROM fg JOIN hp ON fg.tag = hp.tag AND hour(ds) = slot",
 )
 FORECAST = HOURLY + forecasts("1 hour", STEPS)
 FORECAST_ONE = HOURLY + forecasts("1 hour", STEPS, ONE)
 ORACLES["forecast_interval"] = statement(
     FORECAST_ONE,
-    "SELECT tag, ds, round(yhat, 4) AS yhat, round(lower, 4) AS lower, round(upper, 4) AS upper FROM fc",
+    "SELECT tag, ds, round(yhat, 6) AS yhat, round(lower, 6) AS lower, round(upper, 6) AS upper FROM fc",
 )
 ORACLES["forecast_table"] = statement(
     LINES_DAILY + forecasts("1 day", 84, ONE),
@@ -472,12 +471,12 @@ ORACLES["forecast_table"] = statement(
 )
 ORACLES["forecast_summary"] = statement(
     FORECAST,
-    "SELECT tag, model, round(min(yhat), 4) AS forecast_min, round(max(yhat), 4) AS forecast_max,"
-    " round(avg(yhat), 4) AS forecast_mean, round(avg(upper - lower) / 2, 4) AS half_width FROM fc GROUP BY tag, model",
+    "SELECT tag, model, round(min(yhat), 6) AS forecast_min, round(max(yhat), 6) AS forecast_max,"
+    " round(avg(yhat), 6) AS forecast_mean, round(avg(upper - lower) / 2, 6) AS half_width FROM fc GROUP BY tag, model",
 )
 ORACLES["forecast_points"] = statement(
     FORECAST_ONE,
-    "SELECT tag, epoch_ms(ds) AS timestamp_ms, round(yhat, 4) AS value FROM fc WHERE i % 24 <> 5",
+    "SELECT tag, epoch_ms(ds) AS timestamp_ms, round(yhat, 6) AS value FROM fc WHERE i % 24 <> 5",
 )
 
 # Evaluation ----------------------------------------------------------------------------------
@@ -486,8 +485,8 @@ HELD = HOURLY + holdouts()
 HELD_ONE = HOURLY + holdouts(ONE)
 ORACLES["holdout_residuals"] = statement(
     HELD_ONE,
-    "SELECT tag, ds, round(actual, 4) AS actual, round(predicted, 4) AS predicted,"
-    " round(actual - predicted, 4) AS residual, round(abs(actual - predicted), 4) AS absolute_error FROM ho",
+    "SELECT tag, ds, round(actual, 6) AS actual, round(predicted, 6) AS predicted,"
+    " round(actual - predicted, 6) AS residual, round(abs(actual - predicted), 6) AS absolute_error FROM ho",
 )
 ORACLES["forecast_metrics"] = statement(
     LINES_DAILY + holdouts() + SCORES[:1],
@@ -495,7 +494,7 @@ ORACLES["forecast_metrics"] = statement(
 )
 ORACLES["model_score"] = statement(
     HELD + SCORES,
-    "SELECT tag, model, round(data_std, 4) AS data_std, round(score, 4) AS score, category, color FROM sc",
+    "SELECT tag, model, round(data_std, 6) AS data_std, round(score, 6) AS score, category, color FROM sc",
 )
 ORACLES["model_comparison"] = statement(
     HELD + SCORES,
@@ -503,12 +502,12 @@ ORACLES["model_comparison"] = statement(
     " round(nmse, 4) AS nmse, round(score, 1) AS score, category AS performance FROM sc WHERE mae IS NOT NULL",
 )
 USER_SCORED = USER_HOURLY + holdouts() + SCORES + BEST
-ORACLES["best_model"] = statement(USER_SCORED, "SELECT tag, model, round(score, 4) AS score FROM best")
+ORACLES["best_model"] = statement(USER_SCORED, "SELECT tag, model, round(score, 6) AS score FROM best")
 ORACLES["value_range"] = statement(
     BY_USER + CLEAN,
-    "SELECT tag, round(min(value), 4) AS v_min, round(max(value), 4) AS v_max,"
-    " round(min(value) - 0.1 * (max(value) - min(value)), 4) AS range_min,"
-    " round(max(value) + 0.1 * (max(value) - min(value)), 4) AS range_max FROM c GROUP BY tag",
+    "SELECT tag, round(min(value), 6) AS v_min, round(max(value), 6) AS v_max,"
+    " round(min(value) - 0.1 * (max(value) - min(value)), 6) AS range_min,"
+    " round(max(value) + 0.1 * (max(value) - min(value)), 6) AS range_max FROM c GROUP BY tag",
 )
 ORACLES["parity_range"] = statement(
     HELD + [
@@ -516,8 +515,8 @@ ORACLES["parity_range"] = statement(
         " FROM ho GROUP BY tag, model)",
         "ro AS (SELECT *, CASE WHEN hi = lo THEN greatest(abs(hi) * 0.05, 1) ELSE 0.05 * (hi - lo) END AS room FROM ex)",
     ],
-    "SELECT tag, model, round(lo, 4) AS v_min, round(hi, 4) AS v_max, round(lo - room, 4) AS range_min,"
-    " round(hi + room, 4) AS range_max FROM ro",
+    "SELECT tag, model, round(lo, 6) AS v_min, round(hi, 6) AS v_max, round(lo - room, 6) AS range_min,"
+    " round(hi + room, 6) AS range_max FROM ro",
 )
 FOLDS = [
     "en AS (SELECT tag, min(ds) AS lo, max(ds) AS hi FROM pos GROUP BY tag)",
@@ -565,7 +564,7 @@ ORACLES["ttf_slope_sides"] = statement(
 )
 ORACLES["ttf_slope"] = statement(
     BY_USER + CLEAN + SIGMA + fits() + sides(),
-    "SELECT tag, breach_type, date_trunc('minute', predicted_ts) AS predicted_ts FROM slope_ttf",
+    "SELECT tag, breach_type, strftime(predicted_ts, '%Y-%m-%d %H:%M') AS predicted_ts FROM slope_ttf",
 )
 ORACLES["ttf_countdown"] = statement(
     BY_TYPE + CLEAN + SIGMA + fits() + sides() + [
@@ -628,20 +627,20 @@ ORACLES["sink_upsert_nodes"] = statement(
 AVERAGE = "av AS (SELECT tag, ds, avg(yhat) AS yhat, avg(lower) AS lower, avg(upper) AS upper FROM fc GROUP BY tag, ds)"
 ORACLES["ensemble_average"] = statement(
     FORECAST + [AVERAGE],
-    "SELECT tag, 'ensemble_average' AS model, ds, round(yhat, 4) AS yhat, round(lower, 4) AS lower,"
-    " round(upper, 4) AS upper FROM av",
+    "SELECT tag, 'ensemble_average' AS model, ds, round(yhat, 6) AS yhat, round(lower, 6) AS lower,"
+    " round(upper, 6) AS upper FROM av",
 )
 ORACLES["ensemble_average_metrics"] = statement(
     HELD + SCORES[:1],
-    "SELECT tag, 'ensemble_average' AS model, round(avg(mae), 4) AS mae, round(avg(rmse), 4) AS rmse,"
-    " round(avg(mape), 4) AS mape FROM me GROUP BY tag",
+    "SELECT tag, 'ensemble_average' AS model, round(avg(mae), 6) AS mae, round(avg(rmse), 6) AS rmse,"
+    " round(avg(mape), 6) AS mape FROM me GROUP BY tag",
 )
 ORACLES["ensemble_average_ttf"] = statement(
     LINES_DAILY + SIGMA + forecasts("1 day", 180) + [AVERAGE] + breach_wide("av"), "SELECT * FROM bl"
 )
 ORACLES["ensemble_best"] = statement(
     USER_SCORED + forecasts("1 hour", 72),
-    "SELECT fc.tag, fc.model, ds, round(yhat, 4) AS yhat, round(lower, 4) AS lower, round(upper, 4) AS upper"
+    "SELECT fc.tag, fc.model, ds, round(yhat, 6) AS yhat, round(lower, 6) AS lower, round(upper, 6) AS upper"
     " FROM fc JOIN best ON fc.tag = best.tag AND fc.model = best.model",
 )
 

@@ -32,7 +32,7 @@ def query(function: Query) -> Query:
     return function
 
 
-def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, so that results do not depend on the order of additions."""
     return df.select(*[
         F.round(f.name, digits).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name)
@@ -255,7 +255,7 @@ def lag_sequences(spark, folder):
     return rounded(lags.select(
         "tag", "ds", "y", x[0].alias("oldest"), x[71].alias("newest"),
         F.size(x).cast("bigint").alias("length"), weighted.alias("weighted"),
-    ), 3)
+    ))
 
 
 @query
@@ -451,7 +451,7 @@ def ttf_wide(spark, folder):
 
 
 def _slope_sides(c):
-    return ttf.slope_sides(rate.window_fits(c.clean, c.size), c.summary, c.size)
+    return ttf.slope_sides(c.fits, c.summary, c.size)
 
 
 def _to_minute(df, column):
@@ -466,7 +466,9 @@ def ttf_slope_sides(spark, folder):
 
 @query
 def ttf_slope(spark, folder):
-    return _to_minute(ttf.slope_ttf(_slope_sides(cleaned(events_by_user(spark, folder)))), "predicted_ts")
+    """As text: some users' slopes reach their threshold centuries from now."""
+    breaches = ttf.slope_ttf(_slope_sides(cleaned(events_by_user(spark, folder))))
+    return breaches.withColumn("predicted_ts", F.date_format("predicted_ts", "yyyy-MM-dd HH:mm"))
 
 
 @query
@@ -494,7 +496,7 @@ def ttf_summary(spark, folder):
 
 
 def _nodes(c):
-    rates = tables.rate_table(rate.rates_long(rate.window_fits(c.clean, c.size)), as_of())
+    rates = tables.rate_table(rate.rates_long(c.fits), as_of())
     summary = c.summary
     return tables.node_records(
         tables.forecast_table(_forecasts(c, ("trend_168",))), rates, summary,

@@ -22,25 +22,28 @@ def outlier_bounds(series: DataFrame, size: SeriesProfile | None = None, **optio
     )
 
 
-def _banded(series: DataFrame, size: SeriesProfile | None) -> DataFrame:
+def _banded(series: DataFrame, size: SeriesProfile | None, bounds: DataFrame | None) -> DataFrame:
     size = size or profile(series)
-    bounds = outlier_bounds(series, size).select("tag", "lower_bound", "upper_bound")
-    return attach(series, bounds, size)
-
+    bounds = outlier_bounds(series, size) if bounds is None else bounds
+    return attach(series, bounds.select("tag", "lower_bound", "upper_bound"), size)
 
 
 def _inside():
     return F.col("value").between(F.col("lower_bound"), F.col("upper_bound"))
 
 
-def remove_outliers(series: DataFrame, size: SeriesProfile | None = None) -> DataFrame:
+def remove_outliers(
+    series: DataFrame, size: SeriesProfile | None = None, bounds: DataFrame | None = None
+) -> DataFrame:
     """The readings inside the band, both ends included; missing values are dropped."""
-    return _banded(series, size).where(_inside()).select(*series.columns)
+    return _banded(series, size, bounds).where(_inside()).select(*series.columns)
 
 
-def outlier_counts(series: DataFrame, size: SeriesProfile | None = None) -> DataFrame:
+def outlier_counts(
+    series: DataFrame, size: SeriesProfile | None = None, bounds: DataFrame | None = None
+) -> DataFrame:
     """Per tag: all readings, removed readings, and the removed share in percent."""
-    counted = _banded(series, size).groupBy("tag").agg(
+    counted = _banded(series, size, bounds).groupBy("tag").agg(
         F.count("*").alias("total_count"), F.count_if(_inside()).alias("kept_count")
     )
     removed = F.col("total_count") - F.col("kept_count")

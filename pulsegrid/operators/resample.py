@@ -10,22 +10,33 @@ from pulsegrid.operators.joins import SeriesProfile, attach, profile
 from pulsegrid.sources.series import scan_aggregate
 
 
-def resample_ffill(series: DataFrame, freq: str = "1h") -> DataFrame:
+def resample_grid(series: DataFrame, freq: str = "1h") -> DataFrame:
     """Bin means on a regular grid, each carried forward over the empty bins after it.
 
+    Gives ``(tag, ds, y, i, n)`` with the position ``i`` and the length ``n`` of the tag's grid.
     Only non-empty bins are put in order, and every one is repeated up to the next, so no grid
-    table is built or joined.  A tag's bins are bounded by its time span.
+    table is built or joined; a tag's bins are bounded by its time span.
     """
     width = freq_us(freq)
     bins = scan_aggregate(series, freq).where(F.col("value").isNotNull())
-    us = to_us(F.col("ts"))
-    following = F.lead(us).over(Window.partitionBy("tag").orderBy("ts"))
-    spans = bins.select("tag", "value", us.alias("us"), following.alias("next_us"))
+    bins = bins.select("tag", "value", to_us(F.col("ts")).alias("us"))
+    tag = Window.partitionBy("tag")
+    spans = bins.select(
+        "tag", "value", "us",
+        F.lead("us").over(tag.orderBy("us")).alias("next_us"),
+        F.min("us").over(tag).alias("first_us"), F.max("us").over(tag).alias("last_us"),
+    )
     until = F.coalesce(F.col("next_us") - width, F.col("us"))
-    filled = spans.select(
-        "tag", "value", F.explode(F.sequence("us", until, F.lit(width))).alias("us")
+    filled = spans.withColumn("at", F.explode(F.sequence("us", until, F.lit(width))))
+    return filled.select(
+        "tag", from_us(F.col("at")).alias("ds"), F.col("value").alias("y"),
+        ((F.col("at") - F.col("first_us")) / width).cast("bigint").alias("i"),
+        ((F.col("last_us") - F.col("first_us")) / width + 1).cast("bigint").alias("n"),
     )
-    return filled.select("tag", from_us(F.col("us")).alias("ds"), F.col("value").alias("y"))
+
+
+def resample_ffill(series: DataFrame, freq: str = "1h") -> DataFrame:
+    return resample_grid(series, freq).select("tag", "ds", "y")
 
 
 def as_prepared(series: DataFrame) -> DataFrame:
@@ -39,19 +50,6 @@ def prepare(series: DataFrame, freq: str = "1h", auto_resample: bool = True) ->
     return resample_ffill(series, freq) if auto_resample else as_prepared(series)
 
 
-def with_grid_position(prepared: DataFrame, size: SeriesProfile, freq: str) -> DataFrame:
-    """Zero-based position ``i`` and length ``n`` on a gapless grid, by arithmetic alone."""
-    width = freq_us(freq)
-    ends = prepared.groupBy("tag").agg(
-        F.min(to_us(F.col("ds"))).alias("_lo"), F.max(to_us(F.col("ds"))).alias("_hi")
-    )
-    place = (to_us(F.col("ds")) - F.col("_lo")) / width
-    length = (F.col("_hi") - F.col("_lo")) / width + 1
-    return attach(prepared, ends, size).select(
-        *prepared.columns, place.cast("bigint").alias("i"), length.cast("bigint").alias("n")
-    )
-
-
 ORDER_LIMIT = 1_000_000
 
 
@@ -98,8 +96,10 @@ def with_position(
 def future_grid(prepared: DataFrame, steps: int, freq: str) -> DataFrame:
     """``steps`` grid points after each tag's last one, numbered from zero in ``i``."""
     width = freq_us(freq)
-    last = prepared.groupBy("tag").agg(F.max(to_us(F.col("ds"))).alias("_last"), F.count("*").alias("n"))
-    return last.select("tag", "n", "_last", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("i")).select(
-        "tag", from_us(F.col("_last") + (F.col("i") + 1) * width).alias("ds"),
-        F.col("i").cast("bigint").alias("i"), "n",
+    last = prepared.groupBy("tag").agg(
+        F.max(to_us(F.col("ds"))).alias("_last"), F.count("*").alias("n")
+    )
+    ahead = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(steps - 1).cast("bigint")))
+    return last.withColumn("i", ahead).select(
+        "tag", from_us(F.col("_last") + (F.col("i") + 1) * width).alias("ds"), "i", "n"
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators.joins import SeriesProfile, attach, profile
 from pulsegrid.operators.quantiles import EXACT_LIMIT, group_quantiles
+from pulsegrid.session import stage
 
 MAD_TO_SIGMA = 1.4826
 LEVELS = (1, 2, 3, 4, 5)
@@ -15,7 +16,7 @@ LEVELS = (1, 2, 3, 4, 5)
 def sigma_summary(clean: DataFrame, size: SeriesProfile | None = None) -> DataFrame:
     """Median, MAD, sigma and the thresholds ``p1..p5`` above and ``n1..n5`` below the median."""
     size = size or profile(clean)
-    medians = group_quantiles(clean, "value", {"median": 0.5}, size)
+    medians = stage(group_quantiles(clean, "value", {"median": 0.5}, size), "medians")
     deviations = attach(clean, medians, size).select(
         "tag", "ts", F.abs(F.col("value") - F.col("median")).alias("deviation"), "median"
     )

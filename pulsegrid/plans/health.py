@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.timeops import DAY, freq_us, steps_ahead
 from pulsegrid.models.registry import MODELS, forecast, holdout, spec_of
 from pulsegrid.operators import ensemble
-from pulsegrid.operators.clean import outlier_bounds
 from pulsegrid.operators.evaluate import best_model, data_std, forecast_metrics, scored
-from pulsegrid.operators.joins import SeriesProfile, attach, profile
-from pulsegrid.operators.rate import rates_long, window_fits
-from pulsegrid.operators.resample import resample_ffill, with_grid_position
-from pulsegrid.operators.sigma import sigma_counts, sigma_events, sigma_summary
+from pulsegrid.operators.joins import SeriesProfile, profile
+from pulsegrid.operators.rate import rates_long
+from pulsegrid.operators.sigma import sigma_counts, sigma_events
 from pulsegrid.operators.ttf import breaches_long, first_breach_wide, slope_sides, slope_ttf
+from pulsegrid.plans.stages import SeriesStages
+from pulsegrid.plans.tables import breaches_wide
 from pulsegrid.session import stage
 from pulsegrid.sources.series import scan_interpolate, scan_trailing
 
@@ -86,8 +86,8 @@ def analyse(
     """Raw readings to result tables.
 
     Readings are reduced to the grid first, while they are scanned; from there on a tag has at
-    most ``training_days / freq`` points, however many readings it has.  The grid, its clean part
-    and the prepared series are staged, since several branches read them.
+    most ``training_days / freq`` points, however many readings it has.  The grid, the prepared
+    series and the per-tag tables are staged, since several results are derived from them.
     """
     for name in analysis.models:
         spec_of(name)
@@ -97,19 +97,9 @@ def analyse(
     grid = stage(scan_interpolate(trailing, freq), "grid")
     size = grid_profile(size, analysis.training_days, freq)
 
-    bounds = outlier_bounds(grid, size).select("tag", "lower_bound", "upper_bound")
-    inside = F.col("value").between(F.col("lower_bound"), F.col("upper_bound"))
-    marked = stage(
-        attach(grid, bounds, size).select("tag", "ts", "value", inside.alias("inside")), "marked"
-    )
-    counts = marked.groupBy("tag").agg(
-        F.count("*").alias("total_count"), F.count_if(~F.col("inside")).alias("removed_count")
-    ).withColumn("percent_removed", F.col("removed_count") / F.col("total_count") * 100.0)
-    clean = marked.where("inside").select("tag", "ts", "value")
-
-    summary = sigma_summary(clean, size)
-    fits = window_fits(clean, size)
-    prepared = stage(with_grid_position(resample_ffill(clean, freq), size, freq), "prepared")
+    shared = SeriesStages(grid, size)
+    clean, summary, fits = shared.clean, shared.summary, shared.fits
+    prepared = shared.prepared(freq)
 
     steps = steps_ahead(analysis.horizon_days, freq)
     config = analysis.configs.get
@@ -132,7 +122,7 @@ def analyse(
         slope_ttf(slope_sides(fits, summary, size))
     )
     return Health(
-        counts=counts, summary=summary, crossings=sigma_counts(clean, summary, size),
+        counts=shared.counts, summary=summary, crossings=sigma_counts(clean, summary, size),
         events=sigma_events(clean, summary, size), fits=fits, rates=rates_long(fits),
         metrics=metrics, scores=scores, forecast=forecasts, breaches=breaches,
     )
@@ -140,15 +130,13 @@ def analyse(
 
 def asset_health(health: Health) -> DataFrame:
     """One row per tag: cleaning, thresholds, exceedances, slopes, model score and breaches."""
-    from pulsegrid.plans.tables import breaches_wide
-
     slopes = health.fits.select("tag", "last_ts", "last_value", "slope_14d", "slope_30d", "slope_60d")
     crossings = health.crossings.select(
         "tag", F.col("above1").alias("above_1s"), F.col("above3").alias("above_3s"),
         F.col("below1").alias("below_1s"), F.col("below3").alias("below_3s"),
     )
     scores = health.scores.select("tag", "model", "mae", "rmse", "mape", "score", "category")
-    table = health.counts
+    table = health.counts.drop("kept_count")
     for part in (
         health.summary.select("tag", "median", "mad", "sigma", "p3", "n3"), crossings, slopes,
         scores, breaches_wide(health.breaches),
