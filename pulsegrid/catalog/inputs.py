@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.plans.stages import SeriesStages
-from pulsegrid.session import configure
+from pulsegrid.session import configure, stage
 from pulsegrid.sources.series import as_series, scan_aggregate
 
 AS_OF = "2024-02-01 00:00:00"
@@ -26,13 +26,13 @@ def events_by_user(spark, folder) -> DataFrame:
 
 def orders_daily(spark, folder) -> DataFrame:
     raw = as_series(table(spark, folder, "orders"), "o_orderpriority", "o_orderdate", "o_totalprice")
-    return scan_aggregate(raw, "1d", "average")
+    return stage(scan_aggregate(raw, "1d", "average"), "daily")
 
 
 def lineitem_daily(spark, folder) -> DataFrame:
     flags = F.concat("l_returnflag", "l_linestatus")
     raw = as_series(table(spark, folder, "lineitem"), flags, "l_shipdate", "l_extendedprice")
-    return scan_aggregate(raw, "1d", "sum")
+    return stage(scan_aggregate(raw, "1d", "sum"), "daily")
 
 
 def part_meta(spark, folder) -> DataFrame:

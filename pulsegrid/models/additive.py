@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.timeops import DAY, freq_us, to_us
-from pulsegrid.models.frames import KEYS
+from pulsegrid.models.frames import KEYS, with_settings
 from pulsegrid.models.ridge import dot, moments, solve
 from pulsegrid.operators.joins import SeriesProfile, attach
 
@@ -35,10 +35,12 @@ class AdditiveConfig:
     interval_width: float = 0.90
 
 
-def _settings(frame: DataFrame, config: AdditiveConfig, trials: DataFrame | None) -> DataFrame:
-    """Put the settings beside the rows: constants, or the trial named by ``fold``."""
+def _settings(
+    frame: DataFrame, config: AdditiveConfig, trials: DataFrame | None, size: SeriesProfile
+) -> DataFrame:
+    """Put the settings beside the rows: constants, those of the trial ``fold``, or of the tag."""
     if trials is not None:
-        return frame.join(F.broadcast(trials), "fold")
+        return with_settings(frame, trials, size)
     return frame.select("*", *[F.lit(v).alias(k) for k, v in asdict(config).items()])
 
 
@@ -103,7 +105,7 @@ def fit(
     changepoints: int | None = None,
 ) -> AdditiveFit:
     changepoints = changepoints or config.n_changepoints
-    rows = _settings(train, config, trials)
+    rows = _settings(train, config, trials, size)
     # Multiplicative seasonality is additive in the logarithm; it needs positive values.
     ranges = rows.groupBy(*KEYS).agg(
         ((F.min("y") > 0) & (F.first("seasonality_mode") == "multiplicative")).alias("logged"),
@@ -137,7 +139,7 @@ def predict(
     t = _position(future, True)
     design = _trend_terms(t, fitted.changepoints) + _season_terms(_season_flags(freq))
     joined = attach(
-        _settings(future, config, trials), fitted.coefficients, size, KEYS, rows_per_key=20
+        _settings(future, config, trials, size), fitted.coefficients, size, KEYS, rows_per_key=20
     )
     linear = dot(design, F.col("coef")) * F.col("scale") + F.col("center")
     noise = F.col("noise") * F.col("scale")
@@ -162,7 +164,7 @@ def diagnostics(
 ) -> DataFrame:
     """Trend strength, changepoints and seasonal components of every fit."""
     fitted = fit(train, size, freq, config)
-    rows = attach(_settings(train, config, None), fitted.coefficients, size, KEYS, rows_per_key=20)
+    rows = attach(_settings(train, config, None, size), fitted.coefficients, size, KEYS, rows_per_key=20)
     terms = _trend_terms(_position(train, False), fitted.changepoints)
     trend = dot(terms, F.col("coef")) * F.col("scale")
     flags = _season_flags(freq)

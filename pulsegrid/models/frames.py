@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.features import train_length
+from pulsegrid.operators.joins import SeriesProfile, attach
 from pulsegrid.operators.resample import future_grid
 
 KEYS = ("tag", "fold")
@@ -42,3 +43,10 @@ def holdout_frames(
             F.col("_train").alias("n"), F.col("y").alias("actual"),
         ),
     )
+
+
+def with_settings(frame: DataFrame, settings: DataFrame, size: SeriesProfile) -> DataFrame:
+    """Join settings keyed by ``fold`` (one row per search trial) or by ``tag``."""
+    if "tag" in settings.columns:
+        return attach(frame, settings, size)
+    return frame.join(F.broadcast(settings), "fold")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.timeops import CALENDAR_NAMES
-from pulsegrid.models.frames import KEYS
+from pulsegrid.models.frames import KEYS, with_settings
 from pulsegrid.models.ridge import moments, predict_lifted, solve
 from pulsegrid.operators.features import even_subsample, feature_frame, future_time_index
 from pulsegrid.operators.joins import SeriesProfile, attach
@@ -61,7 +61,8 @@ def fit_predict(
 
     def settings(frame):
         if trials is not None:
-            return frame.join(F.broadcast(trials.select("fold", *names)), "fold")
+            key = "tag" if "tag" in trials.columns else "fold"
+            return with_settings(frame, trials.select(key, *names), size)
         return frame.select("*", *[F.lit(asdict(config)[k]).alias(k) for k in names])
 
     rows = feature_frame(even_subsample(settings(train), F.col("max_train_samples")))

@@ -26,6 +26,8 @@ class ModelSpec:
     eval_mode: str = "full_horizon"
 
 
+MAX_CHANGEPOINTS = 25
+
 # In order of preference when scores tie.
 MODELS: dict[str, ModelSpec] = {
     spec.name: spec
@@ -46,9 +48,16 @@ def spec_of(name: str) -> ModelSpec:
     return MODELS[name]
 
 
+def _settings_of(name: str, settings: DataFrame | None) -> dict[str, Any]:
+    """Arguments that give every tag its own settings; the regression models can do that."""
+    if settings is None:
+        return {}
+    return {"trials": settings} | ({"changepoints": MAX_CHANGEPOINTS} if name == "additive" else {})
+
+
 def forecast(
     name: str, positioned: DataFrame, steps: int, freq: str, size: SeriesProfile,
-    config: Any = None, label: str | None = None,
+    config: Any = None, label: str | None = None, settings: DataFrame | None = None,
 ) -> DataFrame:
     """``(tag, model, ds, i, yhat, lower, upper)``, ``steps`` rows per tag.
 
@@ -61,7 +70,7 @@ def forecast(
         raw = autoregressive.forecast(positioned, steps, size, freq, config)
     else:
         train, future = full_frames(positioned, steps, freq)
-        raw = spec.fit_predict(train, future, size, freq, config)
+        raw = spec.fit_predict(train, future, size, freq, config, **_settings_of(name, settings))
     model = F.lit(label or name).alias("model")
     if name == "additive":
         half = F.col("residual_std") * NormalDist().inv_cdf(0.5 + config.interval_width / 2)
@@ -83,6 +92,7 @@ def forecast(
 def holdout(
     name: str, positioned: DataFrame, freq: str, size: SeriesProfile,
     config: Any = None, label: str | None = None, test_size: float = 0.2,
+    settings: DataFrame | None = None,
 ) -> DataFrame:
     """``(tag, model, ds, actual, predicted, residual, absolute_error)`` on the last part of each tag."""
     spec = spec_of(name)
@@ -91,7 +101,8 @@ def holdout(
         rows = autoregressive.holdout(positioned, size, freq, config)
     else:
         train, future = holdout_frames(positioned, test_size)
-        rows = spec.fit_predict(train, future, size, freq, config).withColumnRenamed("yhat", "predicted")
+        found = spec.fit_predict(train, future, size, freq, config, **_settings_of(name, settings))
+        rows = found.withColumnRenamed("yhat", "predicted")
     residual = F.col("actual") - F.col("predicted")
     return rows.select(
         "tag", F.lit(label or name).alias("model"), "ds", "actual", "predicted",

@@ -41,8 +41,12 @@ def group_quantiles(
     margin = 2.0 / accuracy
     while True:
         counts = stage(_bracket(rows, value, probs, size, keys, margin, accuracy), "quantile")
-        while _largest_group(counts, keys) > exact_limit:
-            counts = stage(_thin(counts, probs, size, keys), "quantile")
+        kept = _largest_group(counts, keys)
+        while kept > exact_limit:
+            counts = stage(_thin(counts, probs, keys, exact_limit), "quantile")
+            before, kept = kept, _largest_group(counts, keys)
+            if kept >= before:
+                break
         picked = _pick(counts, probs, keys)
         if picked.where("_missed").isEmpty():
             return picked.drop("_missed")
@@ -104,14 +108,22 @@ def _cumulate(counts: DataFrame, keys, order: list[str]) -> DataFrame:
     )
 
 
-def _thin(counts: DataFrame, probs, size: SeriesProfile, keys) -> DataFrame:
-    """Keep single values only in the equal-width bins that hold a wanted rank."""
+def _thin(counts: DataFrame, probs, keys, limit: int) -> DataFrame:
+    """Of groups above ``limit`` rows, keep single values only in the bins that hold a wanted rank.
+
+    Bins are of equal width within each bracket; the stretches between the kept ones become gaps.
+    Groups above the limit are few: there cannot be more than rows / limit.
+    """
+    sizes = counts.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    big = F.broadcast(sizes.where(F.col("_rows") > limit).select(*keys))
+    small_part = counts.join(big, list(keys), "left_anti")
+    counts = counts.join(big, list(keys), "left_semi")
+
     zone = [*keys, "_zone"]
-    zones = size.with_groups(len(probs) + 1)
     real = F.when(~F.col("_gap"), F.col("_at"))
     edges = counts.groupBy(*zone).agg(F.min(real).alias("_lo"), F.max(real).alias("_hi"))
     share = (F.col("_at") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS
-    binned = attach(counts, edges, zones, tuple(zone)).select(
+    binned = counts.join(F.broadcast(edges), zone).select(
         *counts.columns,
         F.when(F.col("_at") < F.coalesce(F.col("_lo"), F.lit(float("inf"))), -1)
         .when(F.col("_at") > F.col("_hi"), BINS + 1)
@@ -119,19 +131,20 @@ def _thin(counts: DataFrame, probs, size: SeriesProfile, keys) -> DataFrame:
         .otherwise(F.least(F.floor(share), F.lit(BINS))).cast("int").alias("_bin"),
     )
     bins = binned.groupBy(*zone, "_bin").agg(F.sum("_n").alias("_n"))
-    placed = _cumulate(bins, keys, ["_zone", "_bin"])
     wanted = F.lit(False)
     for _, low, high in _ranks(probs, F.col("_total")).values():
         wanted = wanted | _holds(low) | _holds(high)
-    chosen = placed.where(wanted).select(*zone, "_bin", F.lit(True).alias("_keep"))
-    kept = attach(binned, chosen, zones.with_groups(2), (*zone, "_bin"), "left")
-    merge = F.col("_keep").isNull() | F.col("_gap")
-    return (
-        kept.withColumn("_group", F.when(~merge, F.col("_at")))
-        .groupBy(*zone, "_bin", "_group", "_gap")
-        .agg(F.max("_at").alias("_at"), F.sum("_n").alias("_n"))
-        .select(*zone, "_at", (F.col("_gap") | F.col("_group").isNull()).alias("_gap"), "_n")
+    placed = _cumulate(bins, keys, ["_zone", "_bin"]).withColumn("_keep", wanted)
+    ordered = Window.partitionBy(*keys).orderBy("_zone", "_bin")
+    segment = F.sum(F.col("_keep").cast("int")).over(ordered)
+    labels = placed.select(*zone, "_bin", "_keep", segment.alias("_segment"))
+    labelled = binned.join(F.broadcast(labels), [*zone, "_bin"])
+    single = labelled.where("_keep").select(*counts.columns)
+    merged = labelled.where(~F.col("_keep")).groupBy(*keys, "_segment").agg(
+        F.max("_zone").alias("_zone"), F.max("_at").alias("_at"), F.sum("_n").alias("_n")
     )
+    gaps = merged.select(*zone, "_at", F.lit(True).alias("_gap"), "_n")
+    return small_part.unionByName(single).unionByName(gaps)
 
 
 def _pick(counts: DataFrame, probs, keys) -> DataFrame:

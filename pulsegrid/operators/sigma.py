@@ -16,18 +16,18 @@ LEVELS = (1, 2, 3, 4, 5)
 def sigma_summary(clean: DataFrame, size: SeriesProfile | None = None) -> DataFrame:
     """Median, MAD, sigma and the thresholds ``p1..p5`` above and ``n1..n5`` below the median."""
     size = size or profile(clean)
-    medians = stage(group_quantiles(clean, "value", {"median": 0.5}, size), "medians")
+    medians = group_quantiles(clean, "value", {"median": 0.5}, size)
+    if size.largest > EXACT_LIMIT:
+        medians = stage(medians, "medians")
     deviations = attach(clean, medians, size).select(
         "tag", "ts", F.abs(F.col("value") - F.col("median")).alias("deviation"), "median"
     )
-    # The median travels with the deviations, so no second join is needed.
-    if size.largest <= EXACT_LIMIT:
+    if size.largest > EXACT_LIMIT:
+        stats = medians.join(group_quantiles(deviations, "deviation", {"mad": 0.5}, size), "tag")
+    else:  # the median travels with the deviations
         stats = deviations.groupBy("tag").agg(
             F.max("median").alias("median"), F.percentile("deviation", 0.5).alias("mad")
         )
-    else:
-        spread = group_quantiles(deviations, "deviation", {"mad": 0.5}, size)
-        stats = medians.join(spread, "tag", "left")
     sigma = F.col("mad") * MAD_TO_SIGMA
     return stats.select(
         "tag", "median", "mad", sigma.alias("sigma"),

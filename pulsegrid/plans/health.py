@@ -17,6 +17,7 @@ from pulsegrid.operators.joins import SeriesProfile, profile
 from pulsegrid.operators.rate import rates_long
 from pulsegrid.operators.sigma import sigma_counts, sigma_events
 from pulsegrid.operators.ttf import breaches_long, first_breach_wide, slope_sides, slope_ttf
+from pulsegrid.plans.search import tune
 from pulsegrid.plans.stages import SeriesStages
 from pulsegrid.plans.tables import breaches_wide
 from pulsegrid.session import stage
@@ -102,12 +103,19 @@ def analyse(
     prepared = shared.prepared(freq)
 
     steps = steps_ahead(analysis.horizon_days, freq)
-    config = analysis.configs.get
-    holdouts = ensemble.union([holdout(m, prepared, freq, size, config(m)) for m in analysis.models])
-    metrics = forecast_metrics(holdouts)
-    forecasts = ensemble.union(
-        [forecast(m, prepared, steps, freq, size, config(m)).drop("i") for m in analysis.models]
-    )
+    chosen = {m: (analysis.configs.get(m), None) for m in analysis.models}
+    if analysis.search_trials:
+        for m in analysis.models:
+            config, settings = tune(m, prepared, freq, size, analysis.search_trials)
+            chosen[m] = (config or chosen[m][0], settings)
+    holdouts = ensemble.union([
+        holdout(m, prepared, freq, size, c, settings=s) for m, (c, s) in chosen.items()
+    ])
+    forecasts = stage(ensemble.union([
+        forecast(m, prepared, steps, freq, size, c, settings=s).drop("i")
+        for m, (c, s) in chosen.items()
+    ]), "forecasts")
+    metrics = stage(forecast_metrics(holdouts), "metrics")
     spreads = data_std(clean)
     scores = scored(metrics, spreads, size)
     if len(analysis.models) > 1:

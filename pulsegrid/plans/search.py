@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import random
 from dataclasses import replace
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from pulsegrid.models import additive, kernel, trees
 from pulsegrid.models.frames import holdout_frames
 from pulsegrid.operators.ensemble import union
 from pulsegrid.operators.joins import SeriesProfile
+from pulsegrid.session import stage
 
 # The search space of each model.  A tuple is (low, high, kind), a list a choice.
 SPACES = {
@@ -44,6 +46,7 @@ SPACES = {
     },
 }
 METRICS = ("rmse", "mae", "mape")
+TREE_CONFIGS = {"boosted_trees": trees.BoostedConfig(), "random_forest": trees.ForestConfig()}
 
 
 def sample_trials(model: str, trials: int, seed: int = 42, space: dict | None = None) -> list[dict]:
@@ -84,7 +87,7 @@ def _validated(model, positioned, freq, size, settings) -> DataFrame:
             top = max(s["n_changepoints"] for s in settings)
             return additive.fit_predict(train, test, many, freq, trials=trials, changepoints=top)
         return kernel.fit_predict(train, test, many, freq, trials=trials)
-    base = {"boosted_trees": trees.BoostedConfig(), "random_forest": trees.ForestConfig()}[model]
+    base = TREE_CONFIGS[model]
     table, levels = trees.training_table(train, size)
     return union([
         trees.fit(table, levels, size, replace(base, **s)).predict(test)
@@ -118,3 +121,27 @@ def search(
 
 def best_params(results: DataFrame) -> DataFrame:
     return results.where(F.col("place") == 1)
+
+
+def tune(
+    model: str, positioned: DataFrame, freq: str, size: SeriesProfile, trials: int,
+    metric: str = "rmse", seed: int = 42,
+) -> tuple[Any, DataFrame | None]:
+    """The searched ``(config, settings)`` of a model; models without a space keep their defaults.
+
+    Regression models get the best trial of every tag, as a settings table.  Pooled ensembles
+    share one setting: the trial with the smallest loss relative to each tag's best, on average.
+    """
+    if model not in SPACES:
+        return None, None
+    results = stage(search(model, positioned, freq, size, trials, metric, seed), "search")
+    settings = sample_trials(model, trials, seed)
+    if model in ("additive", "kernel"):
+        table = trial_table(positioned.sparkSession, model, settings)
+        winners = best_params(results).select("tag", "fold")
+        return None, stage(winners.join(F.broadcast(table), "fold").drop("fold"), "settings")
+    best = results.select(
+        "fold", (F.col("loss") / F.min("loss").over(Window.partitionBy("tag"))).alias("ratio")
+    )
+    top = best.groupBy("fold").agg(F.avg("ratio").alias("ratio")).orderBy("ratio", "fold").first()
+    return replace(TREE_CONFIGS[model], **settings[int(top["fold"])]), None
