@@ -124,10 +124,10 @@ def fit(
     t = _position(train, False)
     design = _trend_terms(t, changepoints) + _season_terms(_season_flags(freq))
     prepared = attach(rows, ranges.drop("penalty"), size, KEYS).select(
-        *KEYS, "i", F.array(*design).alias("x"),
+        *KEYS, F.array(*design).alias("x"),
         ((target - F.col("center")) / F.col("scale")).alias("z"),
     )
-    parts = moments(prepared, list(KEYS))
+    parts = moments(prepared, list(KEYS), largest=size.largest)
     solved = solve(attach(parts, ranges.select(*KEYS, "penalty"), size, KEYS, rows_per_key=30), list(KEYS))
     return AdditiveFit(solved.join(ranges.drop("penalty"), list(KEYS)), changepoints)
 

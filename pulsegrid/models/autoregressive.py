@@ -32,9 +32,9 @@ class AutoregressiveConfig:
 
 def _fit(sequences: DataFrame, size: SeriesProfile, config: AutoregressiveConfig) -> DataFrame:
     design = F.concat(F.array(F.lit(1.0)), F.col("x"))
-    rows = sequences.select("tag", "i", design.alias("x"), F.col("scaled").alias("z"))
+    rows = sequences.select("tag", design.alias("x"), F.col("scaled").alias("z"))
     weights = F.array(F.lit(1e-6), *[F.lit(config.penalty)] * config.lookback)
-    return solve(moments(rows, ["tag"]).withColumn("penalty", weights), ["tag"])
+    return solve(moments(rows, ["tag"], largest=size.largest).withColumn("penalty", weights), ["tag"])
 
 
 def _one_step(rows: DataFrame, config: AutoregressiveConfig):

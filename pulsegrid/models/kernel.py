@@ -73,24 +73,22 @@ def fit_predict(
         F.greatest(F.stddev_pop("y"), F.lit(1e-12)).alias("scale"),
     )
     scaled = attach(rows, stats, size, KEYS, rows_per_key=20).select(
-        *KEYS, "i", "gamma", "kernel", _scaled(rows).alias("x"),
+        *KEYS, "gamma", "kernel", _scaled(rows).alias("x"),
         ((F.col("y") - F.col("center")) / F.col("scale")).alias("z"),
     )
     lift = _lift(config.components, config.seed)
-    parts = moments(scaled, list(KEYS), lift, ("gamma", "kernel"))
+    parts = moments(scaled, list(KEYS), lift, ("gamma", "kernel"), size.largest)
     width = config.components + len(FEATURES)
     weights = rows.groupBy(*KEYS).agg(
         F.array(F.lit(1e-6), *[F.first(1.0 / F.col("c"))] * width).alias("penalty")
     )
     solved = solve(attach(parts, weights, size, KEYS, rows_per_key=60), list(KEYS))
-    fitted = solved.join(stats, list(KEYS))
     ahead = attach(
-        feature_frame(settings(future), future_time_index()), fitted, size, KEYS, rows_per_key=60
-    )
-    keep = [*future.columns, "center", "scale", "noise"]
-    scored = predict_lifted(
-        ahead.select(*keep, "gamma", "kernel", "coef", _scaled(ahead).alias("x")), lift, keep
+        feature_frame(settings(future), future_time_index()), stats, size, KEYS, rows_per_key=20
     )
+    keep = [*future.columns, "center", "scale"]
+    rows_ahead = ahead.select(*keep, "gamma", "kernel", _scaled(ahead).alias("x"))
+    scored = predict_lifted(rows_ahead, solved, list(KEYS), lift, keep)
     return scored.select(
         *future.columns,
         (F.col("score") * F.col("scale") + F.col("center")).alias("yhat"),

@@ -1,8 +1,7 @@
 """Ridge regressions for many groups at once.
 
-Each group's rows are reduced in chunks to moment matrices (X'X, X'y, y'y), which add up; the
-only thing solved per group is one small linear system.  A group of any length is therefore read
-by as many bounded steps as it has chunks.
+Rows are reduced to moment matrices (X'X, X'y, y'y) where they lie; the matrices add up, so only
+they are shuffled, and the only thing solved per group is one small linear system.
 """
 
 from __future__ import annotations
@@ -11,10 +10,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_ROWS = 20_000
+HELD_GROUPS = 1000  # groups a task holds before it passes their moments on
+WIDE_GROUP = 5_000_000
+SPREAD = 64
 
 Lift = Callable[[np.ndarray, pd.DataFrame], np.ndarray]
 
@@ -23,31 +25,52 @@ def _matrix(values: pd.Series) -> np.ndarray:
     return np.stack(values.to_numpy()).astype(float)
 
 
-def moments(rows: DataFrame, keys: list[str], lift: Lift | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Moment matrices per group and chunk of ``(x ARRAY<DOUBLE>, z DOUBLE, i BIGINT)`` rows.
+def moments(
+    rows: DataFrame, keys: list[str], lift: Lift | None = None, carry: tuple[str, ...] = (),
+    largest: int = 0,
+) -> DataFrame:
+    """Partial moment matrices per group of ``(x ARRAY<DOUBLE>, z DOUBLE)`` rows.
 
-    ``lift`` maps the matrix of a chunk to more columns; it may read the ``carry`` columns, which
-    are constant within a group.
+    ``lift`` maps the matrix of a group's rows to more columns; it may read the ``carry`` columns,
+    which are constant within a group.  A group spread over very many tasks (``largest`` above
+    ``WIDE_GROUP`` rows) is added up in two levels.
     """
-    chunked = rows.select(*keys, *carry, "x", "z", F.floor(F.col("i") / CHUNK_ROWS).alias("chunk"))
-    key_types = {f.name: f.dataType.simpleString() for f in chunked.schema.fields}
-    schema = ", ".join(
-        [f"{k} {key_types[k]}" for k in (*keys, "chunk")]
-        + ["rows bigint", "zz double", "xz array<double>", "xx array<double>"]
-    )
-
-    def reduce_chunk(key, pdf):
-        x = _matrix(pdf["x"])
-        if lift is not None:
-            x = lift(x, pdf)
-        z = pdf["z"].to_numpy(dtype=float)
-        frame = dict(zip([*keys, "chunk"], ([k] for k in key)))
-        frame |= {
-            "rows": [len(z)], "zz": [float(z @ z)], "xz": [x.T @ z], "xx": [(x.T @ x).ravel()],
-        }
-        return pd.DataFrame(frame)
-
-    return chunked.groupBy(*keys, "chunk").applyInPandas(reduce_chunk, schema)
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    fields = ["part int", "rows bigint", "zz double", "xz array<double>", "xx array<double>"]
+    schema = ", ".join([f"{k} {types[k]}" for k in keys] + fields)
+    names = [*keys, "part", "rows", "zz", "xz", "xx"]
+
+    def flush(held, part):
+        return pd.DataFrame(
+            [(*key, part, n, zz, xz, xx.ravel()) for key, (n, zz, xz, xx) in held.items()], columns=names
+        )
+
+    def reduce_task(frames):
+        part, held = TaskContext.get().partitionId(), {}
+        for frame in frames:
+            for key, pdf in frame.groupby(keys, sort=False):
+                x = _matrix(pdf["x"])
+                x = x if lift is None else lift(x, pdf)
+                z = pdf["z"].to_numpy(dtype=float)
+                found = (len(z), float(z @ z), x.T @ z, x.T @ x)
+                old = held.get(key)
+                held[key] = found if old is None else tuple(a + b for a, b in zip(old, found))
+            if len(held) > HELD_GROUPS:
+                yield flush(held, part)
+                held = {}
+        if held:
+            yield flush(held, part)
+
+    parts = rows.select(*keys, *carry, "x", "z").mapInPandas(reduce_task, schema)
+    if largest <= WIDE_GROUP:
+        return parts
+
+    def add(key, pdf):
+        return pd.DataFrame([(*key, int(pdf["rows"].sum()), pdf["zz"].sum(),
+                              _matrix(pdf["xz"]).sum(axis=0), _matrix(pdf["xx"]).sum(axis=0))], columns=names)
+
+    spread = parts.withColumn("part", F.pmod("part", F.lit(SPREAD)))
+    return spread.groupBy(*keys, "part").applyInPandas(add, schema)
 
 
 def solve(parts: DataFrame, keys: list[str], penalty: str = "penalty") -> DataFrame:
@@ -60,7 +83,7 @@ def solve(parts: DataFrame, keys: list[str], penalty: str = "penalty") -> DataFr
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["coef array<double>", "noise double"])
 
     def solve_group(key, pdf):
-        pdf = pdf.sort_values("chunk")
+        pdf = pdf.sort_values("part")
         count = int(pdf["rows"].sum())
         xz = _matrix(pdf["xz"]).sum(axis=0)
         xx = _matrix(pdf["xx"]).sum(axis=0).reshape(len(xz), len(xz))
@@ -86,16 +109,19 @@ def dot(columns: list[Column], coef: Column) -> Column:
     return total
 
 
-def predict_lifted(rows: DataFrame, lift: Lift, keep: list[str]) -> DataFrame:
-    """``score`` = lift(x) . coef for rows that carry their group's ``coef``."""
+def predict_lifted(
+    rows: DataFrame, fitted: DataFrame, keys: list[str], lift: Lift, keep: list[str]
+) -> DataFrame:
+    """``score`` = lift(x) . coef and the fit's ``noise``; a group's coefficients are sent once."""
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + ["score double"])
+    schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + ["score double", "noise double"])
 
-    def batches(frames):
-        for pdf in frames:
-            if len(pdf):
-                x = lift(_matrix(pdf["x"]), pdf)
-                pdf["score"] = np.einsum("ij,ij->i", x, _matrix(pdf["coef"]))
-                yield pdf[[*keep, "score"]]
+    def score(left, right):
+        if not len(left) or not len(right):
+            return pd.DataFrame({c: [] for c in [*keep, "score", "noise"]})
+        left["noise"] = right["noise"].iloc[0]
+        left["score"] = lift(_matrix(left["x"]), left) @ np.asarray(right["coef"].iloc[0], dtype=float)
+        return left[[*keep, "score", "noise"]]
 
-    return rows.mapInPandas(batches, schema)
+    sent = fitted.select(*keys, "coef", "noise").groupBy(*keys)
+    return rows.groupBy(*keys).cogroup(sent).applyInPandas(score, schema)

@@ -86,18 +86,20 @@ def analyse(
 ) -> Health:
     """Raw readings to result tables.
 
-    Readings are reduced to the grid first, while they are scanned; from there on a tag has at
+    Readings are scanned once and reduced to the grid meanwhile; from there on a tag has at
     most ``training_days / freq`` points, however many readings it has.  The grid, the prepared
     series and the per-tag tables are staged, since several results are derived from them.
     """
     for name in analysis.models:
         spec_of(name)
-    size = size or profile(series)
     freq = analysis.freq
-    trailing = scan_trailing(series, analysis.training_days, size, as_of)
-    grid = stage(scan_interpolate(trailing, freq), "grid")
+    if as_of is not None:
+        series = scan_trailing(series, analysis.training_days, size, as_of)
+    grid = stage(scan_interpolate(series, freq), "grid")
+    size = size or profile(grid)
+    if as_of is None:
+        grid = scan_trailing(grid, analysis.training_days, size)
     size = grid_profile(size, analysis.training_days, freq)
-
     shared = SeriesStages(grid, size)
     clean, summary, fits = shared.clean, shared.summary, shared.fits
     prepared = shared.prepared(freq)

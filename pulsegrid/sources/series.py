@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.timeops import DAY, floor_us, freq_us, from_us, to_us
-from pulsegrid.operators.joins import SeriesProfile, attach
+from pulsegrid.operators.joins import SeriesProfile, attach, profile
 from pulsegrid.operators.rate import last_timestamps
 
 AGGREGATES = {"average": F.avg, "min": F.min, "max": F.max, "sum": F.sum, "count": F.count}
@@ -42,7 +42,8 @@ def scan_range(
 
 
 def scan_trailing(
-    series: DataFrame, days: int, size: SeriesProfile, as_of: dt.datetime | str | None = None
+    series: DataFrame, days: int, size: SeriesProfile | None = None,
+    as_of: dt.datetime | str | None = None,
 ) -> DataFrame:
     """The last ``days`` days up to ``as_of``, or up to each tag's own last reading.
 
@@ -52,7 +53,7 @@ def scan_trailing(
         until = F.lit(as_of).cast("timestamp_ntz")
         since = from_us(to_us(until) - days * DAY)
         return series.where((F.col("ts") >= since) & (F.col("ts") <= until))
-    ended = attach(series, last_timestamps(series), size)
+    ended = attach(series, last_timestamps(series), size or profile(series))
     return ended.where(to_us(F.col("ts")) >= to_us(F.col("end_ts")) - days * DAY).drop("end_ts")
 
 
