@@ -251,6 +251,13 @@ ORACLES["meta_lookup"] = statement(
     "SELECT tag, coalesce(unit, 'N/A') AS unit, coalesce(description, 'N/A') AS description, asset_id, data_set_id"
     " FROM tags LEFT JOIN meta ON tag = external_id",
 )
+ORACLES["forecast_series"] = statement(
+    META,
+    "SELECT 'forecast_of_' || external_id AS external_id, 'forecast_of_' || external_id AS name,"
+    " 'Forecast data for ' || external_id AS description, coalesce(unit, 'N/A') AS unit,"
+    " 'asset_id=' || asset_id || ';base_tag=' || external_id || ';created_by=automated;data_set_id=;'"
+    " || 'forecast_horizon=12_weeks;model_type=additive' AS facts FROM meta",
+)
 FIELDS = [
     ("external_id", "external_id"), ("name", "name"), ("description", "coalesce(description, external_id)"),
     ("unit", "coalesce(unit, 'N/A')"), ("asset_id", "coalesce(CAST(asset_id AS VARCHAR), 'N/A')"),
@@ -327,6 +334,17 @@ EVENTS = [
 ]
 ORACLES["sigma_events"] = statement(BY_TYPE + CLEAN + SIGMA + EVENTS, "SELECT * FROM ev")
 
+ORACLES["sigma_event_table"] = statement(
+    BY_USER + CLEAN + SIGMA + EVENTS,
+    'SELECT ts AS "Timestamp", value AS "Value", type AS "Type", tag AS "Tag" FROM ev',
+)
+ORACLES["sigma_table"] = statement(
+    BY_USER + CLEAN + SIGMA,
+    'SELECT tag AS "Tag", round(median, 6) AS "Median", round(mad, 6) AS "MAD", round(sigma, 6) AS "Sigma", '
+    + ", ".join(f'round({s}{k}, 6) AS "{sign}{k}σ"' for s, sign in (("p", "+"), ("n", "-")) for k in range(1, 6))
+    + " FROM sig",
+)
+
 # Rates ---------------------------------------------------------------------------------------
 
 ORACLES["latest_value"] = statement(
@@ -469,6 +487,11 @@ ORACLES["forecast_table"] = statement(
     'SELECT ds AS "Timestamp", round(yhat, 2) AS "Forecast", round(lower, 2) AS "Lower_CI",'
     ' round(upper, 2) AS "Upper_CI", tag AS "Tag" FROM fc',
 )
+ORACLES["forecast_rebased"] = statement(
+    HOURLY + forecasts("1 hour", STEPS, {"trend_72": 72}),
+    "SELECT TIMESTAMP '2024-03-01 11:00:00' + i * INTERVAL 1 HOUR AS \"Timestamp\", round(yhat, 6) AS \"Forecast\","
+    ' round(lower, 6) AS "Lower_CI", round(upper, 6) AS "Upper_CI", tag AS "Tag" FROM fc',
+)
 ORACLES["forecast_summary"] = statement(
     FORECAST,
     "SELECT tag, model, round(min(yhat), 6) AS forecast_min, round(max(yhat), 6) AS forecast_max,"
@@ -572,7 +595,8 @@ ORACLES["ttf_countdown"] = statement(
         f" CAST(floor((epoch_us(date_trunc('minute', predicted_ts)) - epoch_us({AS_OF})) / 6e7) AS BIGINT) AS minutes"
         " FROM slope_ttf WHERE predicted_ts IS NOT NULL)",
     ],
-    "SELECT tag, breach_type, predicted_ts, CAST(floor(minutes / 1440) AS BIGINT) || 'd ' ||"
+    "SELECT tag, breach_type, predicted_ts, strftime(predicted_ts, '%d %B %Y - %H:%M') AS threshold_time,"
+    " CAST(floor(minutes / 1440) AS BIGINT) || 'd ' ||"
     " CAST(floor((minutes - 1440 * floor(minutes / 1440)) / 60) AS BIGINT) || 'h ' ||"
     " CAST((minutes - 60 * floor(minutes / 60)) AS BIGINT) || 'm' AS time_to_threshold FROM cd",
 )

@@ -92,6 +92,18 @@ def meta_lookup(spark, folder):
     return meta.lookup(tags, part_meta(spark, folder))
 
 
+@query
+def forecast_series(spark, folder):
+    parts = part_meta(spark, folder)
+    found = meta.lookup(parts.select(F.col("external_id").alias("tag")), parts)
+    made = sinks.forecast_series(found, "additive", "12_weeks")
+    facts = F.array_join(F.transform(
+        F.array_sort(F.map_entries("metadata")),
+        lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit(""))),
+    ), ";")
+    return made.select("external_id", "name", "description", "unit", facts.alias("facts"))
+
+
 @query
 def meta_unpivot(spark, folder):
     chosen = {"selected_start_time": "365d-ago", "selected_end_time": "now", "selected_granularity": "1h"}
@@ -164,6 +176,17 @@ def sigma_events(spark, folder):
     return sigma.sigma_events(c.clean, c.summary, c.size)
 
 
+@query
+def sigma_event_table(spark, folder):
+    c = cleaned(events_by_user(spark, folder))
+    return tables.event_table(sigma.sigma_events(c.clean, c.summary, c.size))
+
+
+@query
+def sigma_table(spark, folder):
+    return rounded(tables.sigma_table(cleaned(events_by_user(spark, folder)).summary))
+
+
 # Rates ---------------------------------------------------------------------------------------
 
 
@@ -352,6 +375,13 @@ def forecast_table(spark, folder):
     return rounded(tables.forecast_table(_forecasts(c, ("trend_168",), "1d", 84)), 2)
 
 
+@query
+def forecast_rebased(spark, folder):
+    c = cleaned(events_by_type(spark, folder))
+    at = F.lit("2024-03-01 10:47:12").cast("timestamp_ntz")
+    return rounded(tables.forecast_table(_forecasts(c, ("trend_72",)), at, "1h"))
+
+
 @query
 def forecast_summary(spark, folder):
     return rounded(evaluate.forecast_summary(_forecasts(cleaned(events_by_type(spark, folder)))))

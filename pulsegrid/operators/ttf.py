@@ -89,5 +89,7 @@ def countdown(breaches: DataFrame, as_of: Column) -> DataFrame:
         F.floor(F.pmod(rest, F.lit(3600)) / 60).cast("string"), F.lit("m"),
     )
     return breaches.where(F.col("predicted_ts").isNotNull()).select(
-        "tag", "breach_type", "predicted_ts", text.alias("time_to_threshold")
+        "tag", "breach_type", "predicted_ts",
+        F.date_format("predicted_ts", "dd MMMM yyyy - HH:mm").alias("threshold_time"),
+        text.alias("time_to_threshold"),
     )

@@ -6,7 +6,7 @@ import datetime as dt
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.timeops import DAY, freq_us, steps_ahead
@@ -17,10 +17,11 @@ from pulsegrid.operators.joins import SeriesProfile, profile
 from pulsegrid.operators.rate import rates_long
 from pulsegrid.operators.sigma import sigma_counts, sigma_events
 from pulsegrid.operators.ttf import breaches_long, first_breach_wide, slope_sides, slope_ttf
+from pulsegrid.plans import tables
 from pulsegrid.plans.search import tune
 from pulsegrid.plans.stages import SeriesStages
-from pulsegrid.plans.tables import breaches_wide
 from pulsegrid.session import stage
+from pulsegrid.sources import sinks
 from pulsegrid.sources.series import scan_interpolate, scan_trailing
 
 
@@ -149,7 +150,24 @@ def asset_health(health: Health) -> DataFrame:
     table = health.counts.drop("kept_count")
     for part in (
         health.summary.select("tag", "median", "mad", "sigma", "p3", "n3"), crossings, slopes,
-        scores, breaches_wide(health.breaches),
+        scores, tables.breaches_wide(health.breaches),
     ):
         table = table.join(part, "tag", "left")
     return table
+
+
+def result_tables(health: Health, as_of: Column) -> dict[str, DataFrame]:
+    """The five result tables."""
+    return {
+        "sigma_crossing_event": tables.event_table(health.events),
+        "sigma_summary": tables.sigma_table(health.summary),
+        "ttf_summary": tables.ttf_summary(health.scores, health.breaches, as_of),
+        "forecast": tables.forecast_table(health.forecast),
+        "rate_change": tables.rate_table(health.rates, as_of),
+    }
+
+
+def export_csv(health: Health, as_of: Column, folder: str) -> None:
+    """Write every result table as CSV below ``folder``."""
+    for name, table in result_tables(health, as_of).items():
+        sinks.write_csv(table, f"{folder}/{name}")

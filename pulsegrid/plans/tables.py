@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.functions.timeops import SECOND, floor_us, freq_us, from_us, to_us
+from pulsegrid.operators.sigma import LEVELS as LEVEL_NAMES
 from pulsegrid.operators.ttf import LEVELS, SLOPE_PERIODS
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
 COMPACT_STAMP = "yyyyMMdd_HHmmss"
+HALF_HOUR = 1800 * SECOND
 
 
 def rate_table(rates: DataFrame, as_of: Column) -> DataFrame:
@@ -18,9 +21,33 @@ def rate_table(rates: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def forecast_table(forecast: DataFrame) -> DataFrame:
+def event_table(events: DataFrame) -> DataFrame:
+    """Exceedances in time order; events of one time are ordered by tag and type."""
+    return events.select(
+        F.col("ts").alias("Timestamp"), F.col("value").alias("Value"), F.col("type").alias("Type"),
+        F.col("tag").alias("Tag"),
+    ).orderBy("Timestamp", "Tag", "Type")
+
+
+def sigma_table(summary: DataFrame) -> DataFrame:
+    return summary.select(
+        F.col("tag").alias("Tag"), F.col("median").alias("Median"), F.col("mad").alias("MAD"),
+        F.col("sigma").alias("Sigma"),
+        *[F.col(f"p{k}").alias(f"+{k}σ") for k in LEVEL_NAMES],
+        *[F.col(f"n{k}").alias(f"-{k}σ") for k in LEVEL_NAMES],
+    )
+
+
+def forecast_table(
+    forecast: DataFrame, rebase_to: Column | None = None, freq: str = "1h"
+) -> DataFrame:
+    """The forecast with its own times, or re-stamped from the hour nearest to ``rebase_to``."""
+    stamp = F.col("ds")
+    if rebase_to is not None:
+        start = floor_us(to_us(rebase_to) + HALF_HOUR, 2 * HALF_HOUR)
+        stamp = from_us(start + F.col("i") * freq_us(freq))
     return forecast.select(
-        F.col("ds").alias("Timestamp"), F.col("yhat").alias("Forecast"),
+        stamp.alias("Timestamp"), F.col("yhat").alias("Forecast"),
         F.col("lower").alias("Lower_CI"), F.col("upper").alias("Upper_CI"), F.col("tag").alias("Tag"),
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,17 @@ def as_series(table: DataFrame, tag: str | Column, ts: str | Column, value: str
     )
 
 
+def relative_time(text: str, as_of: dt.datetime) -> dt.datetime:
+    """``now`` or ``{n}{unit}-ago`` (weeks, days, hours, minutes, seconds) before ``as_of``."""
+    if text == "now":
+        return as_of
+    match = re.fullmatch(r"(\d+)([wdhms])-ago", text)
+    if not match:
+        raise ValueError(f"unknown time {text!r}")
+    unit = {"w": "weeks", "d": "days", "h": "hours", "m": "minutes", "s": "seconds"}[match[2]]
+    return as_of - dt.timedelta(**{unit: int(match[1])})
+
+
 def scan_range(
     series: DataFrame,
     start: dt.datetime | str,

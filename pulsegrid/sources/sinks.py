@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.session import stage
+from pulsegrid.sources.meta import FORECAST_PREFIX
 
 BUCKETS = 256
 
@@ -28,6 +29,22 @@ def forecast_points(forecast: DataFrame, ts: str | Column = "ds", value: str = "
     ).where(F.col("timestamp_ms").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value"))
 
 
+def forecast_series(looked_up: DataFrame, model: str, horizon: str) -> DataFrame:
+    """Metadata of the series that will hold each tag's forecast."""
+    own = F.concat(F.lit(FORECAST_PREFIX), F.col("tag"))
+    facts = {
+        "model_type": F.lit(model), "forecast_horizon": F.lit(horizon), "base_tag": F.col("tag"),
+        "created_by": F.lit("automated"), "asset_id": F.col("asset_id").cast("string"),
+        "data_set_id": F.col("data_set_id").cast("string"),
+    }
+    return looked_up.select(
+        own.alias("external_id"), own.alias("name"),
+        F.concat(F.lit("Forecast data for "), "tag").alias("description"),
+        F.coalesce("unit", F.lit("")).alias("unit"),
+        F.create_map(*[c for k, v in facts.items() for c in (F.lit(k), v)]).alias("metadata"),
+    )
+
+
 def _bucket() -> Column:
     return F.pmod(F.xxhash64("tag"), F.lit(BUCKETS)).cast("int")
 

@@ -1,13 +1,12 @@
+import datetime as dt
 import uuid
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.models.trend import TrendConfig
-from pulsegrid.operators import ensemble
 from pulsegrid.plans import health, tables
 from pulsegrid.sources import meta, sinks
+from pulsegrid.sources.series import relative_time
 from pulsegrid.session import scratch_folder, stage
 
 
@@ -57,6 +56,20 @@ def test_tag_without_values_is_reported(make):
     assert len(ids) == len(set(ids)) and "ok_sigma_summary" in ids and "ok_rate_14d" in ids
 
 
+def test_exports_and_relative_times(sine, spark):
+    result = health.analyse(sine, health.Analysis(models=("trend",), horizon_days=1), as_of="2024-03-01 00:00:00")
+    folder = f"{scratch_folder(spark)}/export-{uuid.uuid4().hex}"
+    as_of = F.lit("2024-03-01 00:00:00").cast("timestamp_ntz")
+    health.export_csv(result, as_of, folder)
+    for name, table in health.result_tables(result, as_of).items():
+        back = spark.read.option("header", True).csv(f"{folder}/{name}")
+        assert back.columns == table.columns and back.count() == table.count()
+    now = dt.datetime(2024, 3, 1)
+    assert relative_time("365d-ago", now) == now - dt.timedelta(days=365) and relative_time("now", now) == now
+    with pytest.raises(ValueError):
+        relative_time("soon", now)
+
+
 def test_replace_is_idempotent(make, spark):
     path = f"{scratch_folder(spark)}/points-{uuid.uuid4().hex}"
     sinks.replace_by_tag(make({"a": [(0, 1), (1, 2)], "b": [(0, 3)]}), path)
