@@ -155,7 +155,8 @@ def sides(periods=(14, 30, 60)) -> list[str]:
         return f"SELECT tag, {d} AS period, last_ts, {up} AS up_days, {down} AS down_days FROM ft JOIN sig USING (tag)"
 
     def moment(days: str) -> str:
-        return f"CASE WHEN {days} < 2.9e6 THEN last_ts + to_microseconds(CAST(floor({days} * 86400e6) AS BIGINT)) END"
+        ahead = f"CAST(floor(CASE WHEN {days} < 106751e0 THEN {days} END * 86400e6) AS BIGINT)"
+        return f"CASE WHEN epoch_us(last_ts) + {ahead} <= 9223372036854775 THEN last_ts + to_microseconds({ahead}) END"
 
     return [
         "reach AS (" + " UNION ALL ".join(reach(d) for d in periods) + ")",
@@ -587,7 +588,7 @@ ORACLES["ttf_slope_sides"] = statement(
 )
 ORACLES["ttf_slope"] = statement(
     BY_USER + CLEAN + SIGMA + fits() + sides(),
-    "SELECT tag, breach_type, strftime(predicted_ts, '%Y-%m-%d %H:%M') AS predicted_ts FROM slope_ttf",
+    "SELECT tag, breach_type, date_trunc('minute', predicted_ts) AS predicted_ts FROM slope_ttf",
 )
 ORACLES["ttf_countdown"] = statement(
     BY_TYPE + CLEAN + SIGMA + fits() + sides() + [

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 SECOND = 1_000_000
 DAY = 86_400 * SECOND
+LAST_US = (2**63 - 1) // 1000
 
 _UNITS = {"s": 1, "min": 60, "h": 3600, "d": 86_400}
 
@@ -40,10 +41,10 @@ def floor_us(us: Column, step_us: int) -> Column:
 
 
 def plus_days(ts: Column, days: Column) -> Column:
-    """Add a fractional number of days; NULL when the result leaves the calendar."""
-    limit = 2_900_000.0
-    inside = F.abs(days) < limit
-    return F.when(inside, from_us(to_us(ts) + F.floor(days * float(DAY)).cast("bigint")))
+    """Add a fractional number of days; NULL beyond the year 2262, the end of 64-bit nanoseconds."""
+    ahead = F.floor(F.when(F.abs(days) < LAST_US / DAY, days) * float(DAY)).cast("bigint")
+    us = to_us(ts) + ahead
+    return F.when(us <= LAST_US, from_us(us))
 
 
 def calendar_features(ts: Column) -> list[Column]:

@@ -107,3 +107,11 @@ def test_countdown_text(make, spark):
     texts = {r["breach_type"]: r["time_to_threshold"]
              for r in ttf.countdown(rows, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).collect()}
     assert texts == {"x": "2d 3h 4m", "z": "-1d 23h 59m"}
+
+
+def test_breaches_beyond_the_calendar_are_unknown(make):
+    flat = [(d, 100.0 + d % 2 + 1e-7 * d) for d in range(100)]
+    stages = SeriesStages(make({"t": flat}, hours=24))
+    rows = ttf.slope_ttf(ttf.slope_sides(stages.fits, stages.summary, stages.size)).collect()
+    assert len(rows) == 3 and all(r["predicted_ts"] is None or r["predicted_ts"].year < 2263 for r in rows)
+    assert any(r["predicted_ts"] is None for r in rows)
