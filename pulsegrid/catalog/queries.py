@@ -16,7 +16,7 @@ from pulsegrid.models import additive, kernel, registry, trees
 from pulsegrid.models.frames import full_frames
 from pulsegrid.models.trend import TrendConfig
 from pulsegrid.operators import clean, ensemble, evaluate, features, rate, resample, sigma, trend, ttf
-from pulsegrid.operators.joins import profile
+from pulsegrid.operators.joins import attach, profile
 from pulsegrid.plans import health as plan
 from pulsegrid.plans import search as parameter_search
 from pulsegrid.plans import tables
@@ -358,7 +358,7 @@ def horizon_blend(spark, folder):
     hours = trend.calendar_pattern(pos, "hour").select("tag", "slot", F.col("mean").alias("level"))
     stats = trend.history_stats(pos).drop("n")
     future = resample.future_grid(pos, STEPS, "1h").withColumn("slot", F.hour("ds"))
-    rows = future.join(F.broadcast(hours), ["tag", "slot"]).join(F.broadcast(stats), "tag")
+    rows = attach(attach(future, hours, c.size, ("tag", "slot"), rows_per_key=24), stats, c.size)
     value = trend.soft_clip(trend.horizon_blend(F.col("level"), trend.projected_trend(), 0.3, STEPS))
     return rounded(rows.select("tag", "ds", value.alias("yhat")))
 

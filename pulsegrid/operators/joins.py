@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 256 << 20
 SALTS = 64
 
 

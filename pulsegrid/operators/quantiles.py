@@ -43,7 +43,7 @@ def group_quantiles(
         counts = stage(_bracket(rows, value, probs, size, keys, margin, accuracy), "quantile")
         kept = _largest_group(counts, keys)
         while kept > exact_limit:
-            counts = stage(_thin(counts, probs, keys, exact_limit), "quantile")
+            counts = stage(_thin(counts, probs, size, keys, exact_limit), "quantile")
             before, kept = kept, _largest_group(counts, keys)
             if kept >= before:
                 break
@@ -108,22 +108,23 @@ def _cumulate(counts: DataFrame, keys, order: list[str]) -> DataFrame:
     )
 
 
-def _thin(counts: DataFrame, probs, keys, limit: int) -> DataFrame:
+def _thin(counts: DataFrame, probs, size: SeriesProfile, keys, limit: int) -> DataFrame:
     """Of groups above ``limit`` rows, keep single values only in the bins that hold a wanted rank.
 
     Bins are of equal width within each bracket; the stretches between the kept ones become gaps.
-    Groups above the limit are few: there cannot be more than rows / limit.
     """
     sizes = counts.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    big = F.broadcast(sizes.where(F.col("_rows") > limit).select(*keys))
-    small_part = counts.join(big, list(keys), "left_anti")
-    counts = counts.join(big, list(keys), "left_semi")
+    big = stage(sizes.where(F.col("_rows") > limit).select(*keys, F.lit(True).alias("_big")), "big")
+    few = SeriesProfile(big.count(), size.largest, size.tag_bytes)
+    told = attach(counts, big, few, keys, "left")
+    small_part = told.where(F.col("_big").isNull()).drop("_big")
+    counts = told.where("_big").drop("_big")
 
     zone = [*keys, "_zone"]
     real = F.when(~F.col("_gap"), F.col("_at"))
     edges = counts.groupBy(*zone).agg(F.min(real).alias("_lo"), F.max(real).alias("_hi"))
     share = (F.col("_at") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS
-    binned = counts.join(F.broadcast(edges), zone).select(
+    binned = attach(counts, edges, few, tuple(zone), rows_per_key=len(probs) + 1).select(
         *counts.columns,
         F.when(F.col("_at") < F.coalesce(F.col("_lo"), F.lit(float("inf"))), -1)
         .when(F.col("_at") > F.col("_hi"), BINS + 1)
@@ -138,7 +139,8 @@ def _thin(counts: DataFrame, probs, keys, limit: int) -> DataFrame:
     ordered = Window.partitionBy(*keys).orderBy("_zone", "_bin")
     segment = F.sum(F.col("_keep").cast("int")).over(ordered)
     labels = placed.select(*zone, "_bin", "_keep", segment.alias("_segment"))
-    labelled = binned.join(F.broadcast(labels), [*zone, "_bin"])
+    most = (len(probs) + 1) * (BINS + 3)
+    labelled = attach(binned, labels, few, (*zone, "_bin"), rows_per_key=most)
     single = labelled.where("_keep").select(*counts.columns)
     merged = labelled.where(~F.col("_keep")).groupBy(*keys, "_segment").agg(
         F.max("_zone").alias("_zone"), F.max("_at").alias("_at"), F.sum("_n").alias("_n")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.timeops import freq_us, from_us, to_us
 from pulsegrid.operators.joins import SeriesProfile, attach, profile
+from pulsegrid.session import stage
 from pulsegrid.sources.series import scan_aggregate
 
 
@@ -74,10 +75,14 @@ def with_position(
         )
     us = to_us(F.col(ts))
     span = rows.agg(F.min(us).alias("lo"), F.max(us).alias("hi")).first()
-    slices = max(1, 4 * -(-size.largest // limit))
-    width = max(1, (span["hi"] - span["lo"]) // slices + 1)
-    sliced = rows.withColumn("_slice", F.floor(us / width))
-    counts = sliced.groupBy("tag", "_slice").agg(F.count("*").alias("_c"))
+    width = max(1, (span["hi"] - span["lo"]) * limit // (4 * size.largest))
+    while True:
+        sliced = rows.withColumn("_slice", F.floor(us / width))
+        counts = stage(sliced.groupBy("tag", "_slice").agg(F.count("*").alias("_c")), "slices")
+        found = counts.agg(F.max("_c").alias("largest"), F.count("*").alias("slices")).first()
+        if found["largest"] <= limit or width == 1:
+            break
+        width = max(1, width // 16)  # readings crowd into a short time: cut it finer
     running = tag.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         "tag", "_slice",
@@ -85,7 +90,8 @@ def with_position(
         F.sum("_c").over(tag).alias("n"),
     )
     inside = Window.partitionBy("tag", "_slice").orderBy(ts)
-    placed = attach(sliced, offsets, size.with_groups(slices + 1), ("tag", "_slice"))
+    slices = SeriesProfile(found["slices"], found["largest"], size.tag_bytes)
+    placed = attach(sliced, offsets, slices, ("tag", "_slice"))
     return placed.select(
         *rows.columns,
         (F.row_number().over(inside) - 1 + F.col("_offset")).cast("bigint").alias("i"),

@@ -51,7 +51,7 @@ def test_step_flag_may_differ_by_tag(make):
 @pytest.mark.parametrize("limit", [1_000_000, 40])
 def test_positions(make, limit):
     rng = np.random.default_rng(2)
-    times = np.sort(rng.choice(10_000, 300, replace=False))
+    times = np.sort(np.append(rng.choice(100, 60, replace=False), rng.choice(np.arange(9_000, 10_000), 240, replace=False)))
     prepared = resample.as_prepared(make({"t": [(k, k) for k in times], "u": [(5, 1), (1, 0)]}))
     rows = resample.with_position(prepared, limit=limit).where("tag = 't'").orderBy("ds").collect()
     assert [r["i"] for r in rows] == list(range(300)) and {r["n"] for r in rows} == {300}
