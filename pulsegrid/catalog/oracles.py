@@ -671,7 +671,6 @@ ORACLES["ensemble_best"] = statement(
 
 # The whole analysis --------------------------------------------------------------------------
 
-GRID = BY_TYPE + interpolated("1 hour", "hour")
 ON_GRID = [
     "raw AS (SELECT event_type AS tag, ts, value FROM events)",
     *[c.replace("FROM s GROUP BY", "FROM raw GROUP BY").replace("JOIN s ", "JOIN raw ") for c in interpolated("1 hour", "hour")],

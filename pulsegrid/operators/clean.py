@@ -22,10 +22,12 @@ def outlier_bounds(series: DataFrame, size: SeriesProfile | None = None, **optio
     )
 
 
-def _banded(series: DataFrame, size: SeriesProfile | None, bounds: DataFrame | None) -> DataFrame:
+def _banded(
+    series: DataFrame, size: SeriesProfile | None, bounds: DataFrame | None, how: str = "inner"
+) -> DataFrame:
     size = size or profile(series)
     bounds = outlier_bounds(series, size) if bounds is None else bounds
-    return attach(series, bounds.select("tag", "lower_bound", "upper_bound"), size)
+    return attach(series, bounds.select("tag", "lower_bound", "upper_bound"), size, how=how)
 
 
 def _inside():
@@ -43,7 +45,7 @@ def outlier_counts(
     series: DataFrame, size: SeriesProfile | None = None, bounds: DataFrame | None = None
 ) -> DataFrame:
     """Per tag: all readings, removed readings, and the removed share in percent."""
-    counted = _banded(series, size, bounds).groupBy("tag").agg(
+    counted = _banded(series, size, bounds, "left").groupBy("tag").agg(
         F.count("*").alias("total_count"), F.count_if(_inside()).alias("kept_count")
     )
     removed = F.col("total_count") - F.col("kept_count")

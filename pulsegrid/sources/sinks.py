@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,16 +70,20 @@ def _existing(df: DataFrame, path: str) -> DataFrame | None:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _replace(new: DataFrame, path: str, key: str) -> None:
+def _merge(new: DataFrame, path: str, outdated: Callable[[DataFrame], list[DataFrame]]) -> None:
+    """Write ``new`` and whatever the table's touched buckets hold beside the ``outdated`` rows.
+
+    ``outdated`` names them from the new rows, as tables of column values.
+    """
     fresh = stage(new.withColumn("bucket", _bucket()), "fresh")
     old = _existing(fresh, path)
     if old is None:
         _write_buckets(fresh, path)
         return
     touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most BUCKETS
-    kept = old.where(F.col("bucket").isin(touched)).join(
-        fresh.select(key).distinct(), key, "left_anti"
-    )
+    kept = old.where(F.col("bucket").isin(touched))
+    for values in outdated(fresh):
+        kept = kept.join(values.distinct(), values.columns, "left_anti")
     _write_buckets(stage(kept.unionByName(fresh), "merged"), path)
 
 
@@ -86,20 +92,12 @@ def replace_by_tag(points: DataFrame, path: str) -> None:
 
     Only the buckets of those tags are rewritten, and writing the same points twice is harmless.
     """
-    _replace(points, path, "tag")
+    _merge(points, path, lambda fresh: [fresh.select("tag")])
 
 
 def upsert_nodes(nodes: DataFrame, path: str) -> None:
     """Write node records by id; a tag's earlier forecast nodes are dropped first."""
-    fresh = stage(nodes.withColumn("bucket", _bucket()), "fresh")
-    old = _existing(fresh, path)
-    if old is None:
-        _write_buckets(fresh, path)
-        return
-    touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]
-    inside = old.where(F.col("bucket").isin(touched)).join(
-        fresh.select("external_id").distinct(), "external_id", "left_anti"
-    )
-    redone = fresh.where(F.col("view") == "forecast").select("tag", "view").distinct()
-    kept = inside.join(redone, ["tag", "view"], "left_anti")
-    _write_buckets(stage(kept.unionByName(fresh), "merged"), path)
+    _merge(nodes, path, lambda fresh: [
+        fresh.select("external_id"),
+        fresh.where(F.col("view") == "forecast").select("tag", "view"),
+    ])

@@ -24,6 +24,9 @@ def test_nan_becomes_null_and_missing_values_never_pass(make, spark):
     assert (counts["t"]["total_count"], counts["t"]["removed_count"]) == (2, 1)
     assert counts["e"]["kept_count"] == 0
     assert clean.remove_outliers(series).count() == 1
+    without = clean.outlier_bounds(series).where("tag = 't'")
+    counts = {r["tag"]: r for r in clean.outlier_counts(series, profile(series), without).collect()}
+    assert (counts["e"]["total_count"], counts["e"]["kept_count"]) == (1, 0)
 
 
 def test_band_is_inclusive(make):

@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import features, resample, trend
-from pulsegrid.operators.joins import profile
 from pulsegrid.sources.series import scan_interpolate
 
 START = dt.datetime(2024, 1, 1)
