@@ -83,3 +83,45 @@ SELECT doc_id, size, source_size, target, (rounds * size + extra)::BIGINT AS tak
        END AS first_time
 FROM taken
 """
+
+_RULES = [
+    ("assign", r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 3, 12),
+    ("access", r"AKIA[A-Z0-9]+", 2, 18),
+    ("hex", r"[0-9a-f]+", 2, 16),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 2, 1),
+    ("github", r"gh[opsur]_[A-Za-z0-9]{36,}", 2, 1),
+]
+
+
+def _secret_sql() -> str:
+    """Every rule's gaps and matches as lists; positions are running sums of their lengths."""
+    parts = []
+    for order, (kind, pattern, group, least) in enumerate(_RULES):
+        piece = rf"([\s\S]*?)({pattern})"
+        parts.append(rf"""
+            SELECT doc_id, {order} AS ord, '{kind}' AS kind, e - match AS s, e FROM (
+                SELECT doc_id, match, kept, sum(whole) OVER (PARTITION BY doc_id ORDER BY idx) AS e FROM (
+                    SELECT doc_id, length(unnest(regexp_extract_all(text, '{piece}', 0))) AS whole,
+                           length(unnest(regexp_extract_all(text, '{piece}', 2))) AS match,
+                           length(unnest(regexp_extract_all(text, '{piece}', {group}))) AS kept,
+                           unnest(range(len(regexp_extract_all(text, '{piece}', 0)))) AS idx
+                    FROM d WHERE regexp_matches(text, '{pattern}')
+                )
+            ) WHERE kept >= {least}""")
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({' UNION ALL '.join(parts)}),
+per_doc AS (
+    SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+           count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+           string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) FILTER (WHERE ord < 3) AS base,
+           string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) AS spans
+    FROM found GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(d.text) AS blob
+FROM d LEFT JOIN per_doc USING (doc_id)
+"""
+
+
+ORACLES["op1_secret_scan"] = _secret_sql()

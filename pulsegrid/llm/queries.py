@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import exact, linededup, mixing, packing, simhash
-from pulsegrid.llm.common import table
+from pulsegrid.llm import embeddings, exact, langid, linededup, mixing, packing, quality, secrets, simhash, toxicity
+from pulsegrid.llm.common import held_out, table
 
 Query = Callable[..., DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,3 +52,46 @@ def op10_source_mixing(spark, folder):
         F.col("id").alias("doc_id"), "size", "source_size", "target", "taken",
         F.round(F.get("copies", F.lit(0))["time"], 6).alias("first_time"),
     )
+
+
+@query
+def op7_toxicity(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    return toxicity.score(docs, model).select(
+        F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", "predicted",
+    )
+
+
+@query
+def op8_language_id(spark, folder):
+    docs = table(spark, folder, "documents")
+    return langid.identify(docs, langid.fit(docs)).select(
+        F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "lang_pred", "score",
+    )
+
+
+@query
+def op1_secret_scan(spark, folder):
+    found = secrets.scan(table(spark, folder, "documents"), secrets.Ledger(spark))
+
+    def number(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
+    return found.select(
+        F.col("id").alias("doc_id"), number("assign"), number("access"), number("hex"),
+        F.sha2(secrets.joined(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.joined(F.col("spans")).alias("spans"), F.col("blob").alias("blob"),
+    )
+
+
+@query
+def op6_quality_classifier(spark, folder):
+    _, scores = quality.fit_and_score(table(spark, folder, "documents"))
+    return scores.select(F.col("id").alias("doc_id"), "votes", "score", "predicted")
+
+
+@query
+def op3_embedding_near_dedup(spark, folder):
+    return embeddings.near_duplicates(table(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id")

@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.common import bounded
 from pulsegrid.llm.components import connected, merge_pairs
 from pulsegrid.session import stage
 
@@ -235,14 +236,42 @@ def near_duplicates(
     their row but cannot be a component's id, which is NULL only if no id of it is known.
     """
     marked = stage(fingerprints(docs, config.shingle, id_col, text_col), "fingerprints")
-    distinct = stage(marked.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = stage(connected(fingerprint_links(distinct, config)), "roots")
-    tied = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"),
+    return marked.join(component_classes(marked, config), "fp").select("id", "fp", "component_id")
+
+
+def component_roots(distinct: DataFrame, config: SimHashConfig) -> DataFrame:
+    """``(fp, root)`` for distinct fingerprints ``fp``; linked ones share a root."""
+    tied = stage(connected(fingerprint_links(distinct, config)), "tied")
+    return distinct.select("fp").join(tied.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"),
     )
+
+
+def component_classes(marked: DataFrame, config: SimHashConfig) -> DataFrame:
+    """``(fp, component_id)`` for the distinct fingerprints of ``marked (id, fp)``, as a table."""
+    distinct = stage(marked.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    tied = stage(distinct.join(component_roots(distinct, config), "fp"), "roots")
     smallest = tied.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = stage(tied.join(smallest, "root").select("fp", "component_id"), "classes")
-    return marked.join(classes, "fp").select("id", "fp", "component_id")
+    return stage(tied.join(smallest, "root").select("fp", "component_id"), "classes")
+
+
+def keep_representatives(
+    docs: DataFrame, config: SimHashConfig = SimHashConfig(), id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: the first by id, NULL ids last.
+
+    Rows are numbered in a written copy, so that of rows that repeat an id one stays too.  The numbers
+    to keep are joined back to the texts, broadcast below a counted size and shuffled beyond.
+    """
+    own = stage(docs.withColumn("_sim_row", F.monotonically_increasing_id()), "rows")
+    keyed = own.select(F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), F.col("_sim_row").alias("row")).alias("key"), text_col)
+    marked = stage(fingerprints(keyed, config.shingle, "key", text_col), "fingerprints")
+    least = marked.groupBy("fp").agg(F.min("id").alias("least"))
+    distinct = stage(least, "distinct")
+    roots = stage(component_roots(distinct, config), "roots")
+    keep = stage(distinct.join(roots, "fp").groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("_sim_row")), "keep")
+    side, _ = bounded(keep, 16)
+    return own.join(side, "_sim_row", "left_semi").drop("_sim_row")
 
 
 def fingerprint_hex(fp):
