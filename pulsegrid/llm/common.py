@@ -39,3 +39,11 @@ def bounded(df: DataFrame, width: int, bound: int = BROADCAST_BYTES) -> tuple[Da
     """
     small = df.count() * width <= bound
     return (F.broadcast(df) if small else df), small
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import BLANK, BROADCAST_BYTES
+from pulsegrid.llm.common import BLANK, BROADCAST_BYTES, unused
 from pulsegrid.session import stage
 
 EDGE = " \t\n\x0b\x0c\r"
@@ -117,7 +117,9 @@ def remove_repeated_lines(
     docs: DataFrame, config: LineConfig = LineConfig(), id_col: str = "doc_id", text_col: str = "text",
     removed_col: str = "removed",
 ) -> DataFrame:
-    """``docs`` with repeated runs of lines cut out of the text, and the number of lines removed.
+    """``docs`` with repeated runs of lines cut out of the text, and their number in ``removed_col``.
+
+    A column of that name is replaced; all others are passed through.
 
     Lines are compared without blanks at their ends; blank lines do not count and stay.  A run of
     consecutive lines goes where it is not its first occurrence, by id and position, if it has
@@ -135,16 +137,15 @@ def remove_repeated_lines(
     lines = stage(line_table(docs, config, id_col, text_col), "lines")
     gone = stage(repeated_lines(lines, config), "gone")
     size = gone.agg((F.count("*") * 48 + F.coalesce(F.sum(F.size("gone")), F.lit(0)) * 4).alias("bytes")).first()["bytes"]
-    side = gone.select(F.col("id").alias("_gone_id"), F.col("body").alias("_gone_body"), F.col("gone").alias("_gone"))
+    key, body, gone_col = (unused(docs, f"_gone_{c}") for c in ("id", "body", "at"))
+    side = gone.select(F.col("id").alias(key), F.col("body").alias(body), F.col("gone").alias(gone_col))
     if size <= BROADCAST_BYTES:
         side = F.broadcast(side)
-    joined = docs.join(
-        side, docs[id_col].eqNullSafe(side["_gone_id"]) & (_body(text_col) == side["_gone_body"]), "left",
-    )
-    parts = _lines(F.col(text_col))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
+    joined = docs.join(side, F.col(id_col).eqNullSafe(F.col(key)) & (_body(text_col) == F.col(body)), "left")
+    parts, gone_at = _lines(F.col(text_col)), F.col(gone_col)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone_at)
     kept = F.array_join(F.transform(stay, lambda p: F.get(parts, p)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)
-    removed = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
-    columns = [text.alias(c) if c == text_col else docs[c] for c in docs.columns if c != removed_col]
-    return joined.select(*columns, F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(removed).cast("long").alias(removed_col))
+    text = F.when(gone_at.isNull(), F.col(text_col)).otherwise(kept)
+    columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c != removed_col]
+    removed = F.when(gone_at.isNull(), F.lit(0)).otherwise(F.size(gone_at)).cast("long")
+    return joined.select(*columns, removed.alias(removed_col))

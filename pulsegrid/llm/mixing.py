@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import bounded, word_count
+from pulsegrid.llm.common import bounded, unused, word_count
 from pulsegrid.session import stage
 
 
@@ -142,23 +142,19 @@ def mixed_documents(
     Rows are sorted by training time over ranges, so the written files follow one another.  A
     source's last document is cut after the words that its target still asks for.
     """
-    own = stage(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "rows")
+    row, size, copy = (unused(docs, f"_mix_{c}") for c in ("row", "size", "copy"))
+    own = stage(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     plan = stage(
-        mix(own, config, id_col, text_col, source_col, "_mix_row").where("taken > 0")
-        .select(F.col("row").alias("_mix_row"), F.col("size").alias("_size"), F.explode("copies").alias("_copy")),
-        "plan",
+        mix(own, config, id_col, text_col, source_col, row).where("taken > 0")
+        .select(F.col("row").alias(row), F.col("size").alias(size), F.explode("copies").alias(copy)), "plan",
     )
     side, _ = bounded(plan, 72)
-    cut = F.regexp_extract(
-        F.col(text_col), r"^[\x20\x09-\x0D]*", 0,
-    )
-    rows = own.join(side, "_mix_row")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = F.regexp_extract_all(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    text = F.when(F.col("_copy.words") == F.col("_size"), F.col(text_col)).otherwise(
-        F.concat(cut, F.array_join(F.slice(words, F.lit(1), F.col("_copy.words").cast("int")), "")),
-    )
-    ordered = rows.repartitionByRange(n, "_copy.time", "_mix_row", "_copy.part").sortWithinPartitions(
-        "_copy.time", "_mix_row", "_copy.part",
+    first = F.regexp_extract(F.col(text_col), r"^[\x20\x09-\x0D]*", 0)
+    text = F.when(F.col(f"{copy}.words") == F.col(size), F.col(text_col)).otherwise(
+        F.concat(first, F.array_join(F.slice(words, F.lit(1), F.col(f"{copy}.words").cast("int")), "")),
     )
+    order = [F.col(f"{copy}.time"), F.col(row), F.col(f"{copy}.part")]
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = own.join(side, row).repartitionByRange(n, *order).sortWithinPartitions(*order)
     return ordered.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import bounded
+from pulsegrid.llm.common import bounded, unused
 from pulsegrid.llm.components import connected, merge_pairs
 from pulsegrid.session import stage
 
@@ -263,15 +263,16 @@ def keep_representatives(
     Rows are numbered in a written copy, so that of rows that repeat an id one stays too.  The numbers
     to keep are joined back to the texts, broadcast below a counted size and shuffled beyond.
     """
-    own = stage(docs.withColumn("_sim_row", F.monotonically_increasing_id()), "rows")
-    keyed = own.select(F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), F.col("_sim_row").alias("row")).alias("key"), text_col)
+    row = unused(docs, "_row")
+    own = stage(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    keyed = own.select(F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), F.col(row).alias("row")).alias("key"), text_col)
     marked = stage(fingerprints(keyed, config.shingle, "key", text_col), "fingerprints")
     least = marked.groupBy("fp").agg(F.min("id").alias("least"))
     distinct = stage(least, "distinct")
     roots = stage(component_roots(distinct, config), "roots")
-    keep = stage(distinct.join(roots, "fp").groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("_sim_row")), "keep")
+    keep = stage(distinct.join(roots, "fp").groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias(row)), "keep")
     side, _ = bounded(keep, 16)
-    return own.join(side, "_sim_row", "left_semi").drop("_sim_row")
+    return own.join(side, row, "left_semi").drop(row)
 
 
 def fingerprint_hex(fp):
