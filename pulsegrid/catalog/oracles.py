@@ -692,3 +692,12 @@ ORACLES["asset_health"] = statement(
     + " FROM cn JOIN sig ON cn.tag = sig.tag JOIN cr ON cn.tag = cr.tag JOIN ft ON cn.tag = ft.tag"
     " JOIN sc ON cn.tag = sc.tag LEFT JOIN bp ON cn.tag = bp.tag",
 )
+
+# The ways that only large inputs take, forced by small limits: the same results.
+for _large, _same in (
+    ("scan_interpolate_slices", "scan_interpolate"), ("resample_ffill_slices", "resample_ffill"),
+    ("outlier_bounds_large", "outlier_bounds"), ("sigma_summary_large", "sigma_summary"),
+    ("outlier_clean_large", "outlier_clean"), ("prepared_as_is_large", "prepared_as_is"),
+    ("lag_sequences_large", "lag_sequences"),
+):
+    ORACLES[_large] = ORACLES[_same]

@@ -64,11 +64,7 @@ def scan_trailing(spark, folder):
 @query
 def scan_aggregate(spark, folder):
     events = events_by_type(spark, folder)
-    parts = [
-        series.scan_aggregate(events, "1h", how).withColumn("how", F.lit(how))
-        for how in series.AGGREGATES
-    ]
-    return rounded(ensemble.union(parts))
+    return rounded(series.scan_aggregates(events, "1h"))
 
 
 @query
@@ -76,6 +72,12 @@ def scan_interpolate(spark, folder):
     return rounded(series.scan_interpolate(events_by_type(spark, folder), "1h"))
 
 
+@query
+def scan_interpolate_slices(spark, folder):
+    """The same with slices of a day, as on a long series."""
+    return rounded(series.scan_interpolate(events_by_type(spark, folder), "1h", slice_bins=24))
+
+
 @query
 def scan_interpolate_step(spark, folder):
     return rounded(series.scan_interpolate(events_by_user(spark, folder), "1d", step=True))
@@ -143,6 +145,27 @@ def outlier_bounds(spark, folder):
     return rounded(clean.outlier_bounds(events_by_type(spark, folder)), 6)
 
 
+@query
+def outlier_bounds_large(spark, folder):
+    """The bracketed path of exact quantiles, with a limit that every event type is above."""
+    return rounded(clean.outlier_bounds(events_by_type(spark, folder), exact_limit=100, accuracy=50), 6)
+
+
+@query
+def sigma_summary_large(spark, folder):
+    c = cleaned(events_by_type(spark, folder))
+    return rounded(sigma.sigma_summary(c.clean, c.size, exact_limit=100))
+
+
+@query
+def outlier_clean_large(spark, folder):
+    """The salted join that is used beyond the broadcast bound."""
+    events = events_by_user(spark, folder)
+    bounds = clean.outlier_bounds(events)
+    joined = attach(events, bounds.select("tag", "lower_bound", "upper_bound"), profile(events), bound=0)
+    return joined.where(F.col("value").between(F.col("lower_bound"), F.col("upper_bound"))).select("tag", "ts", "value")
+
+
 @query
 def outlier_clean(spark, folder):
     return clean.remove_outliers(events_by_user(spark, folder))
@@ -235,6 +258,18 @@ def resample_ffill(spark, folder):
     return rounded(resample.prepare(cleaned(events_by_type(spark, folder)).clean, "1h"))
 
 
+@query
+def resample_ffill_slices(spark, folder):
+    clean_events = cleaned(events_by_type(spark, folder)).clean
+    return rounded(resample.resample_grid(clean_events, "1h", slice_bins=24).select("tag", "ds", "y"))
+
+
+@query
+def prepared_as_is_large(spark, folder):
+    c = cleaned(events_by_user(spark, folder))
+    return resample.with_position(resample.prepare(c.clean, auto_resample=False), c.size, limit=20)
+
+
 @query
 def prepared_as_is(spark, folder):
     c = cleaned(events_by_user(spark, folder))
@@ -267,10 +302,9 @@ def even_subsample(spark, folder):
     return features.even_subsample(pos, 100).select("tag", "ds", "i")
 
 
-@query
-def lag_sequences(spark, folder):
+def _lags(spark, folder, **options):
     pos = cleaned(events_by_type(spark, folder)).prepared("1h")
-    lags = features.lag_sequences(pos)
+    lags = features.lag_sequences(pos, **options)
     x = F.col("x")
     weighted = F.aggregate(
         F.transform(x, lambda v, k: v * (k + 1)), F.lit(0.0), lambda a, b: a + b
@@ -281,6 +315,16 @@ def lag_sequences(spark, folder):
     ))
 
 
+@query
+def lag_sequences(spark, folder):
+    return _lags(spark, folder)
+
+
+@query
+def lag_sequences_large(spark, folder):
+    return _lags(spark, folder, chunk=100)
+
+
 @query
 def minmax_scale(spark, folder):
     c = cleaned(events_by_type(spark, folder))

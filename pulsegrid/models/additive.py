@@ -172,7 +172,7 @@ def diagnostics(
     last_place = F.floor((F.col("n") - 1) * config.changepoint_range)
     return rows.select("*", trend.alias("trend"), components.alias("parts")).groupBy("tag").agg(
         F.first("n_changepoints").alias("num_changepoints"),
-        ((F.max("trend") - F.min("trend")) / F.stddev_samp("y")).alias("trend_strength"),
+        F.try_divide(F.max("trend") - F.min("trend"), F.stddev_samp("y")).alias("trend_strength"),
         F.max(F.when(F.col("i") <= last_place, F.col("ds"))).alias("last_changepoint"),
         F.first(F.array_join("parts", ",")).alias("seasonality_components"),
         F.first("changepoint_prior_scale").alias("changepoint_prior_scale"),

@@ -19,7 +19,7 @@ from pulsegrid.operators.features import (
 )
 from pulsegrid.operators.joins import SeriesProfile, attach
 
-LIMIT = 1e3  # in units of the historic range; keeps an unstable recursion finite
+STABLE = 0.999  # largest modulus of a root of the recursion
 
 
 @dataclass(frozen=True)
@@ -37,6 +37,24 @@ def _fit(sequences: DataFrame, size: SeriesProfile, config: AutoregressiveConfig
     return solve(moments(rows, ["tag"], largest=size.largest).withColumn("penalty", weights), ["tag"])
 
 
+def stabilised(coef: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """``[intercept, oldest lag, ..., newest lag]`` whose recursion does not grow without bound.
+
+    If a root of the recursion lies outside the unit circle, lag k is damped by the k-th power of
+    one factor, which moves all roots inside, and the intercept is set so that the level at
+    which the recursion comes to rest is the mean of the last values.
+    """
+    lags = coef[1:][::-1]  # newest first
+    companion = np.zeros((len(lags), len(lags)))
+    companion[0] = lags
+    companion[np.arange(1, len(lags)), np.arange(len(lags) - 1)] = 1.0
+    radius = np.abs(np.linalg.eigvals(companion)).max()
+    if radius <= STABLE:
+        return coef
+    damped = lags * (STABLE / radius) ** np.arange(1, len(lags) + 1)
+    return np.concatenate([[window.mean() * (1 - damped.sum())], damped[::-1]])
+
+
 def _one_step(rows: DataFrame, config: AutoregressiveConfig):
     terms = [F.lit(1.0)] + [F.col("x")[j] for j in range(config.lookback)]
     return minmax_inverse(dot(terms, F.col("coef")), F.col("y_min"), F.col("y_max"))
@@ -81,10 +99,11 @@ def forecast(
             if not len(pdf):
                 continue
             window, coef = _matrix(pdf["x"]), _matrix(pdf["coef"])
+            coef = np.stack([stabilised(c, w) for c, w in zip(coef, window)])
             path = np.empty((len(pdf), steps))
             for step in range(steps):
                 value = coef[:, 0] + np.einsum("ij,ij->i", window, coef[:, 1:])
-                path[:, step] = np.clip(value, -LIMIT, LIMIT)
+                path[:, step] = value
                 window = np.hstack([window[:, 1:], path[:, step : step + 1]])
             pdf["path"] = list(path)
             yield pdf[["tag", "y_min", "y_max", "noise", "last_us", "path"]]

@@ -1,4 +1,8 @@
-"""Kernel regression: random Fourier features (Rahimi & Recht, 2007) of the calendar, by ridge."""
+"""Kernel regression on random features of the calendar, by ridge, over all training rows.
+
+The RBF kernel has random Fourier features (Rahimi & Recht, 2007), the polynomial kernel products of
+random signs (Kar & Karnick, 2012), the linear kernel its columns.
+"""
 
 from __future__ import annotations
 
@@ -12,18 +16,23 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.timeops import CALENDAR_NAMES
 from pulsegrid.models.frames import KEYS, with_settings
 from pulsegrid.models.ridge import moments, predict_lifted, solve
-from pulsegrid.operators.features import even_subsample, feature_frame, future_time_index
+from pulsegrid.operators.features import feature_frame, future_time_index
 from pulsegrid.operators.joins import SeriesProfile, attach
 
 FEATURES = [*CALENDAR_NAMES, "time_idx"]
 
 
+KERNELS = ("rbf", "linear", "poly")
+DEGREES = (2, 3, 4)
+
+
+# The default settings.
 @dataclass(frozen=True)
 class KernelConfig:
     c: float = 15.0
     gamma: float = 1.0  # times 1 / number of features, which "scale" and "auto" mean here
     kernel: str = "rbf"
-    max_train_samples: int = 5000
+    degree: int = 3
     components: int = 128
     seed: int = 42
     trend_blend_weight: float = 0.35
@@ -34,13 +43,19 @@ def _lift(components: int, seed: int):
     rng = np.random.default_rng(seed)
     directions = rng.normal(size=(width, components))
     phases = rng.uniform(0.0, 2 * np.pi, components)
+    signs = rng.choice([-1.0, 1.0], size=(max(DEGREES), width, components))
 
     def lift(x: np.ndarray, pdf: pd.DataFrame) -> np.ndarray:
         gamma = pdf["gamma"].to_numpy(dtype=float)[:, None]
         waves = np.cos((x @ directions) * np.sqrt(2 * gamma / width) + phases)
         waves *= np.sqrt(2.0 / components)
-        waves[(pdf["kernel"] == "linear").to_numpy()] = 0.0
-        linear = x * (pdf["kernel"] == "linear").to_numpy()[:, None]
+        kernel, degree = pdf["kernel"].to_numpy(), pdf["degree"].to_numpy()
+        waves[kernel == "linear"] = 0.0
+        for d in np.unique(degree[kernel == "poly"]):
+            at = np.flatnonzero((kernel == "poly") & (degree == d))
+            product = np.prod([x[at] @ signs[k] for k in range(int(d))], axis=0)
+            waves[at] = product * (gamma[at] / width) ** (d / 2) / np.sqrt(components)
+        linear = x * (kernel == "linear")[:, None]
         return np.hstack([np.ones((len(x), 1)), waves, linear])
 
     return lift
@@ -57,7 +72,9 @@ def fit_predict(
     train: DataFrame, future: DataFrame, size: SeriesProfile, freq: str,
     config: KernelConfig = KernelConfig(), trials: DataFrame | None = None,
 ) -> DataFrame:
-    names = ("c", "gamma", "kernel", "max_train_samples")
+    names = ("c", "gamma", "kernel", "degree")
+    if trials is None and (config.kernel not in KERNELS or config.degree not in DEGREES):
+        raise ValueError(f"kernel must be one of {', '.join(KERNELS)}, a degree one of {DEGREES}")
 
     def settings(frame):
         if trials is not None:
@@ -65,7 +82,7 @@ def fit_predict(
             return with_settings(frame, trials.select(key, *names), size)
         return frame.select("*", *[F.lit(asdict(config)[k]).alias(k) for k in names])
 
-    rows = feature_frame(even_subsample(settings(train), F.col("max_train_samples")))
+    rows = feature_frame(settings(train))
     stats = rows.groupBy(*KEYS).agg(
         F.array(*[F.avg(c) for c in FEATURES]).alias("_mean"),
         F.array(*[F.stddev_pop(c) for c in FEATURES]).alias("_std"),
@@ -73,11 +90,11 @@ def fit_predict(
         F.greatest(F.stddev_pop("y"), F.lit(1e-12)).alias("scale"),
     )
     scaled = attach(rows, stats, size, KEYS, rows_per_key=20).select(
-        *KEYS, "gamma", "kernel", _scaled(rows).alias("x"),
+        *KEYS, "gamma", "kernel", "degree", _scaled(rows).alias("x"),
         ((F.col("y") - F.col("center")) / F.col("scale")).alias("z"),
     )
     lift = _lift(config.components, config.seed)
-    parts = moments(scaled, list(KEYS), lift, ("gamma", "kernel"), size.largest)
+    parts = moments(scaled, list(KEYS), lift, ("gamma", "kernel", "degree"), size.largest)
     width = config.components + len(FEATURES)
     weights = rows.groupBy(*KEYS).agg(
         F.array(F.lit(1e-6), *[F.first(1.0 / F.col("c"))] * width).alias("penalty")
@@ -87,8 +104,8 @@ def fit_predict(
         feature_frame(settings(future), future_time_index()), stats, size, KEYS, rows_per_key=20
     )
     keep = [*future.columns, "center", "scale"]
-    rows_ahead = ahead.select(*keep, "gamma", "kernel", _scaled(ahead).alias("x"))
-    scored = predict_lifted(rows_ahead, solved, list(KEYS), lift, keep)
+    rows_ahead = ahead.select(*keep, "gamma", "kernel", "degree", _scaled(ahead).alias("x"))
+    scored = predict_lifted(rows_ahead, solved, list(KEYS), lift, keep, size)
     return scored.select(
         *future.columns,
         (F.col("score") * F.col("scale") + F.col("center")).alias("yhat"),

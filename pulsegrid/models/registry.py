@@ -26,8 +26,6 @@ class ModelSpec:
     eval_mode: str = "full_horizon"
 
 
-MAX_CHANGEPOINTS = 25
-
 # In order of preference when scores tie.
 MODELS: dict[str, ModelSpec] = {
     spec.name: spec
@@ -52,7 +50,10 @@ def _settings_of(name: str, settings: DataFrame | None) -> dict[str, Any]:
     """Arguments that give every tag its own settings; the regression models can do that."""
     if settings is None:
         return {}
-    return {"trials": settings} | ({"changepoints": MAX_CHANGEPOINTS} if name == "additive" else {})
+    if name != "additive":
+        return {"trials": settings}
+    most = settings.agg(F.max("n_changepoints")).first()[0]
+    return {"trials": settings, "changepoints": int(most or 0)}
 
 
 def forecast(

@@ -14,8 +14,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.joins import SeriesProfile, attach
+
 HELD_GROUPS = 1000  # groups a task holds before it passes their moments on
-WIDE_GROUP = 5_000_000
+SLICE_ROWS = 50_000  # rows of a group that one task reduces to one matrix
 SPREAD = 64
 
 Lift = Callable[[np.ndarray, pd.DataFrame], np.ndarray]
@@ -32,8 +34,10 @@ def moments(
     """Partial moment matrices per group of ``(x ARRAY<DOUBLE>, z DOUBLE)`` rows.
 
     ``lift`` maps the matrix of a group's rows to more columns; it may read the ``carry`` columns,
-    which are constant within a group.  A group spread over very many tasks (``largest`` above
-    ``WIDE_GROUP`` rows) is added up in two levels.
+    which are constant within a group.  Rows are first clustered by group and slice, so a task sees
+    the rows of a slice together however they were interleaved, and hands on one matrix for
+    them; a group has at most ``largest / SLICE_ROWS`` slices.  The matrices are then added up by
+    slice number modulo ``SPREAD``, so no group hands more than ``SPREAD`` of them to its solution.
     """
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     fields = ["part int", "rows bigint", "zz double", "xz array<double>", "xx array<double>"]
@@ -61,16 +65,20 @@ def moments(
         if held:
             yield flush(held, part)
 
-    parts = rows.select(*keys, *carry, "x", "z").mapInPandas(reduce_task, schema)
-    if largest <= WIDE_GROUP:
+    slices = max(1, -(-largest // SLICE_ROWS))
+    spread = F.pmod(F.xxhash64("x", "z"), F.lit(slices)).cast("int").alias("_slice")
+    clustered = rows.select(*keys, *carry, "x", "z", spread)
+    clustered = clustered.repartition(*keys, "_slice").sortWithinPartitions(*keys, "_slice")
+    parts = clustered.mapInPandas(reduce_task, schema)
+    if slices == 1:
         return parts
 
     def add(key, pdf):
         return pd.DataFrame([(*key, int(pdf["rows"].sum()), pdf["zz"].sum(),
                               _matrix(pdf["xz"]).sum(axis=0), _matrix(pdf["xx"]).sum(axis=0))], columns=names)
 
-    spread = parts.withColumn("part", F.pmod("part", F.lit(SPREAD)))
-    return spread.groupBy(*keys, "part").applyInPandas(add, schema)
+    parts = parts.withColumn("part", F.pmod("part", F.lit(SPREAD)))
+    return parts.groupBy(*keys, "part").applyInPandas(add, schema)
 
 
 def solve(parts: DataFrame, keys: list[str], penalty: str = "penalty") -> DataFrame:
@@ -110,18 +118,21 @@ def dot(columns: list[Column], coef: Column) -> Column:
 
 
 def predict_lifted(
-    rows: DataFrame, fitted: DataFrame, keys: list[str], lift: Lift, keep: list[str]
+    rows: DataFrame, fitted: DataFrame, keys: list[str], lift: Lift, keep: list[str], size: SeriesProfile
 ) -> DataFrame:
-    """``score`` = lift(x) . coef and the fit's ``noise``; a group's coefficients are sent once."""
+    """``score`` = lift(x) . coef and the fit's ``noise``, batch by batch; no group is gathered.
+
+    The coefficients, one row per group, are joined to the rows and used once per run of rows of a
+    group within a batch.
+    """
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + ["score double", "noise double"])
 
-    def score(left, right):
-        if not len(left) or not len(right):
-            return pd.DataFrame({c: [] for c in [*keep, "score", "noise"]})
-        left["noise"] = right["noise"].iloc[0]
-        left["score"] = lift(_matrix(left["x"]), left) @ np.asarray(right["coef"].iloc[0], dtype=float)
-        return left[[*keep, "score", "noise"]]
+    def score(frames):
+        for frame in frames:
+            for _, pdf in frame.groupby(keys, sort=False):
+                found = lift(_matrix(pdf["x"]), pdf) @ np.asarray(pdf["coef"].iloc[0], dtype=float)
+                yield pdf.assign(score=found)[[*keep, "score", "noise"]]
 
-    sent = fitted.select(*keys, "coef", "noise").groupBy(*keys)
-    return rows.groupBy(*keys).cogroup(sent).applyInPandas(score, schema)
+    sent = fitted.select(*keys, "coef", "noise")
+    return attach(rows, sent, size, tuple(keys), rows_per_key=100).mapInPandas(score, schema)

@@ -22,6 +22,7 @@ from pulsegrid.session import scratch_folder, stage
 FEATURES = [*CALENDAR_NAMES, "time_idx", "hour_level", "weekday_level"]
 
 
+# The default settings of both ensembles.
 @dataclass(frozen=True)
 class ForestConfig:
     n_estimators: int = 300

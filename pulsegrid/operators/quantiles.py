@@ -29,7 +29,10 @@ def group_quantiles(
     exact_limit: int = EXACT_LIMIT,
     accuracy: int = ACCURACY,
 ) -> DataFrame:
-    """One row per group with a column per entry of ``probs``; NULL values are ignored."""
+    """One row per group with a column per entry of ``probs``; NULL values are ignored.
+
+    A group without any value has a row of NULLs, whatever the size of the others.
+    """
     size = size or profile(rows, keys)
     if size.largest <= exact_limit:
         wanted = F.array(*[F.lit(q) for q in probs.values()])
@@ -37,6 +40,7 @@ def group_quantiles(
         return found.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
 
     stamp = [c for c in ("ts",) if c in rows.columns]  # spreads equal values in a salted join
+    groups = rows.select(*keys).distinct()
     rows = rows.select(*keys, value, *stamp).where(F.col(value).isNotNull())
     margin = 2.0 / accuracy
     while True:
@@ -49,7 +53,7 @@ def group_quantiles(
                 break
         picked = _pick(counts, probs, keys)
         if picked.where("_missed").isEmpty():
-            return picked.drop("_missed")
+            return groups.join(picked.drop("_missed"), list(keys), "left")
         margin *= 16
 
 

@@ -8,29 +8,26 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.timeops import freq_us, from_us, to_us
 from pulsegrid.operators.joins import SeriesProfile, attach, profile
 from pulsegrid.session import stage
-from pulsegrid.sources.series import scan_aggregate
+from pulsegrid.sources.series import SLICE_BINS, explode_grid, scan_aggregate, with_previous
 
 
-def resample_grid(series: DataFrame, freq: str = "1h") -> DataFrame:
+def resample_grid(series: DataFrame, freq: str = "1h", slice_bins: int = SLICE_BINS) -> DataFrame:
     """Bin means on a regular grid, each carried forward over the empty bins after it.
 
     Gives ``(tag, ds, y, i, n)`` with the position ``i`` and the length ``n`` of the tag's grid.
-    Only non-empty bins are put in order, and every one is repeated up to the next, so no grid
-    table is built or joined; a tag's bins are bounded by its time span.
+    Only non-empty bins are put in order, slice by slice; each one yields itself and the empty bins
+    before it, which hold the previous bin's mean, so no grid table is built or joined.
     """
     width = freq_us(freq)
     bins = scan_aggregate(series, freq).where(F.col("value").isNotNull())
     bins = bins.select("tag", "value", to_us(F.col("ts")).alias("us"))
-    tag = Window.partitionBy("tag")
-    spans = bins.select(
-        "tag", "value", "us",
-        F.lead("us").over(tag.orderBy("us")).alias("next_us"),
-        F.min("us").over(tag).alias("first_us"), F.max("us").over(tag).alias("last_us"),
-    )
-    until = F.coalesce(F.col("next_us") - width, F.col("us"))
-    filled = spans.withColumn("at", F.explode(F.sequence("us", until, F.lit(width))))
+    ends = bins.groupBy("tag").agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+    paired = with_previous(bins, "us", ["value"], width, slice_bins)
+    start = F.coalesce(F.col("_prev.us") + width, F.col("us"))
+    filled = explode_grid(paired, start, F.col("us"), width, slice_bins, "at").join(ends, "tag")
     return filled.select(
-        "tag", from_us(F.col("at")).alias("ds"), F.col("value").alias("y"),
+        "tag", from_us(F.col("at")).alias("ds"),
+        F.when(F.col("at") == F.col("us"), F.col("value")).otherwise(F.col("_prev.value")).alias("y"),
         ((F.col("at") - F.col("first_us")) / width).cast("bigint").alias("i"),
         ((F.col("last_us") - F.col("first_us")) / width + 1).cast("bigint").alias("n"),
     )

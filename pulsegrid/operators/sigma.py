@@ -13,17 +13,20 @@ MAD_TO_SIGMA = 1.4826
 LEVELS = (1, 2, 3, 4, 5)
 
 
-def sigma_summary(clean: DataFrame, size: SeriesProfile | None = None) -> DataFrame:
+def sigma_summary(
+    clean: DataFrame, size: SeriesProfile | None = None, exact_limit: int = EXACT_LIMIT
+) -> DataFrame:
     """Median, MAD, sigma and the thresholds ``p1..p5`` above and ``n1..n5`` below the median."""
     size = size or profile(clean)
-    medians = group_quantiles(clean, "value", {"median": 0.5}, size)
-    if size.largest > EXACT_LIMIT:
+    medians = group_quantiles(clean, "value", {"median": 0.5}, size, exact_limit=exact_limit)
+    if size.largest > exact_limit:
         medians = stage(medians, "medians")
     deviations = attach(clean, medians, size).select(
         "tag", "ts", F.abs(F.col("value") - F.col("median")).alias("deviation"), "median"
     )
-    if size.largest > EXACT_LIMIT:
-        stats = medians.join(group_quantiles(deviations, "deviation", {"mad": 0.5}, size), "tag")
+    if size.largest > exact_limit:
+        mads = group_quantiles(deviations, "deviation", {"mad": 0.5}, size, exact_limit=exact_limit)
+        stats = medians.join(mads, "tag")
     else:  # the median travels with the deviations
         stats = deviations.groupBy("tag").agg(
             F.max("median").alias("median"), F.percentile("deviation", 0.5).alias("mad")

@@ -25,6 +25,9 @@ from pulsegrid.sources import sinks
 from pulsegrid.sources.series import scan_interpolate, scan_trailing
 
 
+COMBINATIONS = (None, "average", "best")
+
+
 @dataclass(frozen=True)
 class Analysis:
     """What to run; the presets below are the usual choices."""
@@ -93,6 +96,10 @@ def analyse(
     """
     for name in analysis.models:
         spec_of(name)
+    if analysis.combine not in COMBINATIONS:
+        raise ValueError(f"combine must be one of {COMBINATIONS}, not {analysis.combine!r}")
+    if len(analysis.models) > 1 and analysis.combine is None:
+        raise ValueError("several models need a combination")
     freq = analysis.freq
     if as_of is not None:
         series = scan_trailing(series, analysis.training_days, size, as_of)

@@ -56,7 +56,7 @@ def has_valid_id(external_id: Column) -> Column:
     )
 
 
-def search(meta: DataFrame, query: str = "", limit: int | None = 100, exact_match: bool = False) -> DataFrame:
+def search(meta: DataFrame, query: str = "", limit: int | None = None, exact_match: bool = False) -> DataFrame:
     """Series whose name matches, then those whose description does, each once, in id order.
 
     An exact search (or a query in double quotes) looks for the text anywhere, ignoring case; other

@@ -12,6 +12,7 @@ from pulsegrid.functions.timeops import DAY, floor_us, freq_us, from_us, to_us
 from pulsegrid.operators.joins import SeriesProfile, attach, profile
 from pulsegrid.operators.rate import last_timestamps
 
+SLICE_BINS = 4096  # bins of a tag that one task puts in order
 AGGREGATES = {"average": F.avg, "min": F.min, "max": F.max, "sum": F.sum, "count": F.count}
 
 
@@ -78,13 +79,54 @@ def scan_aggregate(series: DataFrame, freq: str, how: str = "average") -> DataFr
     )
 
 
-def scan_interpolate(series: DataFrame, freq: str, step: bool | Column = False) -> DataFrame:
+def scan_aggregates(series: DataFrame, freq: str) -> DataFrame:
+    """All aggregates in one pass, a row for each in ``how``."""
+    bins = from_us(floor_us(to_us(F.col("ts")), freq_us(freq)))
+    wide = series.groupBy("tag", bins.alias("ts")).agg(
+        *[f("value").cast("double").alias(how) for how, f in AGGREGATES.items()]
+    )
+    return wide.unpivot(["tag", "ts"], list(AGGREGATES), "how", "value")
+
+
+def with_previous(bins: DataFrame, at: str, carried: list[str], width: int, slice_bins: int) -> DataFrame:
+    """``bins`` with ``_prev``, the tag's bin before each one, as a struct of ``at`` and ``carried``.
+
+    Time is cut into slices of ``slice_bins`` bins, which are put in order separately; the first bin
+    of a slice gets the last one of the tag's slice before, from a table of one row per slice.  So
+    no task orders more than a slice of a tag, however long or dense the tag is.
+    """
+    held = F.struct(at, *carried)
+    sliced = bins.withColumn("_slice", F.floor(F.col(at) / (width * slice_bins)))
+    ends = sliced.groupBy("tag", "_slice").agg(F.max_by(held, F.col(at)).alias("_end"))
+    carry = ends.select(
+        "tag", "_slice", F.lag("_end").over(Window.partitionBy("tag").orderBy("_slice")).alias("_carry")
+    )
+    inside = Window.partitionBy("tag", "_slice").orderBy(at)
+    return (
+        sliced.withColumn("_own", F.lag(held).over(inside)).join(carry, ["tag", "_slice"])
+        .withColumn("_prev", F.coalesce("_own", "_carry")).drop("_own", "_carry", "_slice")
+    )
+
+
+def explode_grid(rows: DataFrame, first: Column, last: Column, width: int, slice_bins: int, name: str) -> DataFrame:
+    """A row for each grid point from ``first`` to ``last``, by slices: no array is longer than a slice."""
+    span = width * slice_bins
+    part = F.explode(F.sequence(F.floor(first / span), F.floor(last / span)))
+    cut = rows.where(first <= last).withColumn("_part", part)
+    low = F.greatest(first, F.ceil(F.col("_part") * F.lit(span) / width) * width)
+    high = F.least(last, (F.col("_part") + 1) * span - width)
+    return cut.where(low <= high).withColumn(name, F.explode(F.sequence(low, high, F.lit(width)))).drop("_part")
+
+
+def scan_interpolate(
+    series: DataFrame, freq: str, step: bool | Column = False, slice_bins: int = SLICE_BINS
+) -> DataFrame:
     """The value at every grid point between a tag's first and last reading, linearly interpolated.
 
     Step series (``step``) keep the previous value instead.  Readings are first reduced to the
-    first and last one per bin, with partial aggregation; only these bins, whose number a tag's
-    time span bounds, are put in order.  Each pair of consecutive non-empty bins then yields the
-    grid points between its neighbouring readings.
+    first and last one per bin, with partial aggregation; only these bins are put in order, slice
+    by slice.  Each pair of consecutive non-empty bins then yields the grid points between its
+    neighbouring readings.
     """
     width = freq_us(freq)
     us = to_us(F.col("ts"))
@@ -97,25 +139,14 @@ def scan_interpolate(series: DataFrame, freq: str, step: bool | Column = False)
             *([F.max(step).alias("_step")] if isinstance(step, Column) else []),
         )
     )
-    ordered = Window.partitionBy("tag").orderBy("bin")
-    paired = edges.select(
-        "*",
-        F.lag("bin").over(ordered).alias("prev_bin"),
-        F.lag("last_us").over(ordered).alias("prev_us"),
-        F.lag("last_value").over(ordered).alias("prev_value"),
-    )
+    paired = with_previous(edges, "bin", ["last_us", "last_value"], width, slice_bins)
     on_grid = F.col("first_us") == F.col("bin")
-    grid = F.when(
-        F.col("prev_bin").isNotNull(),
-        F.sequence(F.col("prev_bin") + width, F.col("bin"), F.lit(width)),
-    ).when(on_grid, F.array("bin"))
-    ratio = (F.col("g") - F.col("prev_us")) / (F.col("first_us") - F.col("prev_us"))
-    linear = F.col("prev_value") + (F.col("first_value") - F.col("prev_value")) * ratio
+    start = F.when(F.col("_prev").isNotNull(), F.col("_prev.bin") + width).when(on_grid, F.col("bin"))
+    ratio = (F.col("g") - F.col("_prev.last_us")) / (F.col("first_us") - F.col("_prev.last_us"))
+    linear = F.col("_prev.last_value") + (F.col("first_value") - F.col("_prev.last_value")) * ratio
     held = F.col("_step") if isinstance(step, Column) else F.lit(step)
     value = F.when(F.col("first_us") == F.col("g"), F.col("first_value")).otherwise(
-        F.when(held, F.col("prev_value")).otherwise(linear)
-    )
-    return (
-        paired.withColumn("g", F.explode(grid))
-        .select("tag", from_us(F.col("g")).alias("ts"), value.alias("value"))
+        F.when(held, F.col("_prev.last_value")).otherwise(linear)
     )
+    points = explode_grid(paired, start, F.col("bin"), width, slice_bins, "g")
+    return points.select("tag", from_us(F.col("g")).alias("ts"), value.alias("value"))
