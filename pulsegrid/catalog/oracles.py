@@ -617,7 +617,8 @@ NODES = SUMMARISED + EVENTS + RATES + [
     " UNION ALL SELECT tag || '_rate_' || period, 'rate_of_change', tag, slope_per_day FROM rt"
     " UNION ALL SELECT tag || '_sigma_summary', 'sigma_summary', tag, median FROM sig"
     " UNION ALL SELECT tag || '_ttf_summary', 'ttf_summary', tag, score FROM sc"
-    " UNION ALL SELECT tag || '_sigma_' || replace(type, ' ', '_') || '_' || strftime(ts, '%Y%m%d_%H%M%S'), 'sigma_event', tag, value FROM ev)",
+    " UNION ALL SELECT tag || '_sigma_' || replace(type, ' ', '_') || '_' || strftime(ts, '%Y%m%d_%H%M%S'), 'sigma_event', tag, value FROM"
+    " (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY tag, type, date_trunc('second', ts) ORDER BY ts DESC) = 1))",
 ]
 ORACLES["node_records"] = statement(
     NODES,
@@ -693,6 +694,56 @@ ORACLES["asset_health"] = statement(
     " JOIN sc ON cn.tag = sc.tag LEFT JOIN bp ON cn.tag = bp.tag",
 )
 
+# Fitted models: what can be stated without fitting them.
+for _name, _model in (
+    ("forecast_additive", "additive"), ("forecast_kernel", "kernel"), ("forecast_autoregressive", "autoregressive"),
+    ("forecast_random_forest", "random_forest"), ("forecast_gbt", "boosted_trees"),
+):
+    ORACLES[_name] = statement(
+        HOURLY,
+        f"SELECT tag, '{_model}' AS model, {STEPS}::BIGINT AS rows, max(ds) + INTERVAL 1 HOUR AS first_ds,"
+        f" max(ds) + {STEPS} * INTERVAL 1 HOUR AS last_ds, {STEPS}::BIGINT AS good_rows FROM pos GROUP BY tag",
+    )
+ORACLES["cv_metrics"] = statement(ORDERS_DAILY + FOLDS, "SELECT tag, count(*) AS folds, true AS sound FROM cu GROUP BY tag")
+ORACLES["holdout_eval"] = statement(
+    HOURLY + [
+        "mo AS (SELECT unnest(['boosted_trees', 'random_forest', 'kernel', 'autoregressive', 'additive', 'trend']) AS model)",
+    ],
+    f"SELECT tag, model, count(*) AS rows, min(ds) AS first_ds,"
+    f" CASE WHEN model = 'autoregressive' THEN 'one_step' ELSE 'full_horizon' END AS eval_mode, true AS sound"
+    f" FROM pos CROSS JOIN mo WHERE i >= {TRAIN_LENGTH} GROUP BY tag, model",
+)
+ORACLES["model_diagnostics"] = statement(
+    HOURLY,
+    "SELECT tag, 6::BIGINT AS num_changepoints, max(CASE WHEN i <= floor((n - 1) * 0.9) THEN ds END) AS last_changepoint,"
+    " concat_ws(',', CASE WHEN max(n) / 24.0 >= 2 THEN 'daily' END, CASE WHEN max(n) / 24.0 >= 14 THEN 'weekly' END,"
+    " CASE WHEN max(n) > greatest(500, floor(max(n) * 0.3)) THEN 'monthly' END) AS seasonality_components,"
+    " 0.1 AS changepoint_prior_scale, 'additive' AS seasonality_mode, 0.9 AS interval_width, true AS sound"
+    " FROM pos GROUP BY tag",
+)
+ORACLES["hpo_best_params"] = statement(
+    HOURLY,
+    "SELECT DISTINCT tag, unnest(['additive', 'kernel']) AS model, 50::BIGINT AS trials, 50::BIGINT AS places, 50::BIGINT AS good_trials FROM pos",
+)
+ORACLES["search_split"] = statement(
+    HOURLY + [
+        f"cut AS (SELECT *, {TRAIN_LENGTH} AS k FROM pos)",
+        "parts AS (SELECT *, CASE WHEN i >= k THEN 'scoring' WHEN i >= greatest(1, CAST(floor(k * 8e-1) AS BIGINT)) THEN 'validation' END AS part FROM cut)",
+    ],
+    "SELECT tag, part, count(*) AS rows, min(ds) AS first_ds, max(ds) AS last_ds FROM parts WHERE part IS NOT NULL GROUP BY tag, part",
+)
+ORACLES["asset_health_best"] = statement(
+    ON_GRID + CLEAN + SIGMA + fits() + [
+        f"cn AS (SELECT tag, count(*) AS total_count, count(*) - count(*) FILTER ({INSIDE}) AS removed_count FROM s JOIN b USING (tag) GROUP BY tag)",
+        "cr AS (SELECT tag, count(*) FILTER (value >= p1) AS above_1s, count(*) FILTER (value >= p3) AS above_3s,"
+        " count(*) FILTER (value <= n1) AS below_1s, count(*) FILTER (value <= n3) AS below_3s FROM c JOIN sig USING (tag) GROUP BY tag)",
+    ],
+    "SELECT cn.tag, total_count, removed_count, round(100.0 * removed_count / total_count, 3) AS percent_removed, "
+    + ", ".join(f"round({c}, 3) AS {c}" for c in ("median", "mad", "sigma", "p3", "n3"))
+    + ", above_1s, above_3s, below_1s, below_3s, last_ts, round(last_value, 3) AS last_value, true AS sound"
+    " FROM cn JOIN sig ON cn.tag = sig.tag JOIN cr ON cn.tag = cr.tag JOIN ft ON cn.tag = ft.tag",
+)
+
 # The ways that only large inputs take, forced by small limits: the same results.
 for _large, _same in (
     ("scan_interpolate_slices", "scan_interpolate"), ("resample_ffill_slices", "resample_ffill"),

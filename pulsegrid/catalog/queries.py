@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.catalog.inputs import (
@@ -13,7 +13,7 @@ from pulsegrid.catalog.inputs import (
 )
 from pulsegrid.functions.timeops import CALENDAR_NAMES
 from pulsegrid.models import additive, kernel, registry, trees
-from pulsegrid.models.frames import full_frames
+from pulsegrid.models.frames import full_frames, holdout_frames
 from pulsegrid.models.trend import TrendConfig
 from pulsegrid.operators import clean, ensemble, evaluate, features, rate, resample, sigma, trend, ttf
 from pulsegrid.operators.joins import attach, profile
@@ -40,6 +40,18 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     ])
 
 
+def _sound(value):
+    """Neither NULL nor NaN nor infinite."""
+    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
+
+
+def _all(*conditions):
+    held = F.lit(True)
+    for condition in conditions:
+        held = held & F.coalesce(condition, F.lit(False))
+    return held
+
+
 def as_of():
     return F.lit(AS_OF).cast("timestamp_ntz")
 
@@ -505,7 +517,12 @@ def cv_trend(spark, folder):
 def cv_metrics(spark, folder):
     c = cleaned(orders_daily(spark, folder))
     train, test = evaluate.cv_frames(c.prepared("1d"), "1d", c.size, 365, 90, 30)
-    return evaluate.cv_metrics(additive.fit_predict(train, test, c.size.with_groups(60), "1d"))
+    found = evaluate.cv_metrics(additive.fit_predict(train, test, c.size.with_groups(60), "1d"))
+    errors = [f"{m}_{n}" for m in ("mae", "rmse", "mape") for n in ("mean", "std")]
+    return found.select("tag", "folds", _all(
+        *[_sound(F.col(e)) & (F.col(e) >= 0) for e in errors], F.col("mae_mean") <= F.col("rmse_mean"),
+        F.col("coverage").between(0.5, 1),
+    ).alias("sound"))
 
 
 # Time to failure and result tables -----------------------------------------------------------
@@ -637,19 +654,37 @@ def sink_upsert_nodes(spark, folder):
 
 # Models --------------------------------------------------------------------------------------
 
-# Smaller ensembles than the defaults, the same data.
-FOREST = trees.ForestConfig(n_estimators=20, max_depth=8)
-BOOSTED = trees.BoostedConfig(n_estimators=20)
+FOREST = trees.ForestConfig()
+BOOSTED = trees.BoostedConfig()
 
 
 def _model_forecast(name, config=None):
     def run(spark, folder):
         c = cleaned(events_by_type(spark, folder))
-        return registry.forecast(name, c.prepared("1h"), STEPS, "1h", c.size, config)
+        rows = registry.forecast(name, c.prepared("1h"), STEPS, "1h", c.size, config)
+        return _forecast_facts(rows, c)
 
     return run
 
 
+def _forecast_facts(rows, c):
+    """What SQL can state of a fitted model's forecast: its grid, its bounds, its interval's order.
+
+    Blended models are clipped to the historic range and a fifth of its width beyond; the additive
+    model must stay within twice the range's width.
+    """
+    history = c.prepared("1h").groupBy("tag").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
+    reach = (F.col("hi") - F.col("lo")) * F.when(F.col("model") == "additive", 2.0).otherwise(0.2) + 1e-6
+    good = _all(
+        *[_sound(F.col(k)) for k in ("yhat", "lower", "upper")], F.col("lower") <= F.col("yhat"),
+        F.col("yhat") <= F.col("upper"), F.col("yhat").between(F.col("lo") - reach, F.col("hi") + reach),
+    )
+    return attach(rows, history, c.size).groupBy("tag", "model").agg(
+        F.count("*").alias("rows"), F.min("ds").alias("first_ds"), F.max("ds").alias("last_ds"),
+        F.count_if(good).alias("good_rows"),
+    )
+
+
 QUERIES["forecast_additive"] = _model_forecast("additive")
 QUERIES["forecast_kernel"] = _model_forecast("kernel", kernel.KernelConfig())
 QUERIES["forecast_autoregressive"] = _model_forecast("autoregressive")
@@ -667,14 +702,21 @@ def holdout_eval(spark, folder):
     ])
     scores = evaluate.scored(evaluate.forecast_metrics(rows), evaluate.data_std(c.clean), c.size)
     modes = F.create_map(*[F.lit(x) for s in registry.MODELS.values() for x in (s.name, s.eval_mode)])
-    return scores.withColumn("eval_mode", modes[F.col("model")])
+    held = rows.groupBy("tag", "model").agg(F.count("*").alias("rows"), F.min("ds").alias("first_ds"))
+    good = _all(*[_sound(F.col(k)) for k in ("mae", "rmse", "mape", "score")], F.col("mae") <= F.col("rmse") + 1e-9)
+    return scores.join(held, ["tag", "model"]).select(
+        "tag", "model", "rows", "first_ds", modes[F.col("model")].alias("eval_mode"), good.alias("sound")
+    )
 
 
 @query
 def model_diagnostics(spark, folder):
     c = cleaned(events_by_type(spark, folder))
     train, _ = full_frames(c.prepared("1h"), 1, "1h")
-    return additive.diagnostics(train, c.size, "1h")
+    found = additive.diagnostics(train, c.size, "1h")
+    return found.withColumn("num_changepoints", F.col("num_changepoints").cast("bigint")).withColumn(
+        "sound", _all(_sound(F.col("trend_strength")), F.col("trend_strength") >= 0)
+    ).drop("trend_strength")
 
 
 # Ensembles and search ------------------------------------------------------------------------
@@ -709,10 +751,28 @@ def ensemble_best(spark, folder):
 def hpo_best_params(spark, folder):
     c = cleaned(events_by_type(spark, folder))
     pos = c.prepared("1h")
-    results = [parameter_search.search(m, pos, "1h", c.size, trials=6) for m in ("additive", "kernel")]
-    space = {"n_estimators": (5, 15, "int5"), "max_depth": (2, 5, "int")}
-    results.append(parameter_search.search("random_forest", pos, "1h", c.size, trials=2, space=space))
-    return parameter_search.best_params(ensemble.union(results))
+    results = ensemble.union([
+        parameter_search.search(m, parameter_search.searchable(pos), "1h", c.size, trials=50)
+        for m in ("additive", "kernel")
+    ])
+    least = F.min("loss").over(Window.partitionBy("tag", "model"))
+    ranked = results.withColumn("_good", _all(_sound(F.col("loss")), (F.col("place") > 1) | (F.col("loss") == least)))
+    return ranked.groupBy("tag", "model").agg(
+        F.count("*").alias("trials"), F.count_distinct("place").alias("places"), F.count_if("_good").alias("good_trials"),
+    )
+
+
+@query
+def search_split(spark, folder):
+    """Rows that a search validates on, and rows that score its winner: they do not meet."""
+    pos = cleaned(events_by_type(spark, folder)).prepared("1h")
+    _, validation = holdout_frames(parameter_search.searchable(pos), clamp=True)
+    _, scoring = holdout_frames(pos)
+    parts = [
+        frame.groupBy("tag").agg(F.count("*").alias("rows"), F.min("ds").alias("first_ds"), F.max("ds").alias("last_ds"))
+        .withColumn("part", F.lit(part)) for part, frame in (("validation", validation), ("scoring", scoring))
+    ]
+    return ensemble.union(parts)
 
 
 # The whole analysis --------------------------------------------------------------------------
@@ -731,4 +791,9 @@ def asset_health(spark, folder):
 def asset_health_best(spark, folder):
     """Three models, the best one per tag."""
     analysis = plan.Analysis(models=("kernel", "autoregressive", "additive"), combine="best", horizon_days=14)
-    return plan.asset_health(plan.analyse(events_by_type(spark, folder), analysis))
+    found = plan.asset_health(plan.analyse(events_by_type(spark, folder), analysis))
+    good = _all(*[_sound(F.col(k)) for k in ("mae", "rmse", "mape", "score")], F.col("model").isin(*analysis.models))
+    return rounded(found.select(
+        "tag", "total_count", "removed_count", "percent_removed", "median", "mad", "sigma", "p3", "n3",
+        "above_1s", "above_3s", "below_1s", "below_3s", "last_ts", "last_value", good.alias("sound"),
+    ), 3)

@@ -102,7 +102,10 @@ def node_records(
     forecast: DataFrame, rates: DataFrame, summary: DataFrame, ttf: DataFrame, events: DataFrame,
     as_of: Column,
 ) -> DataFrame:
-    """``(external_id, view, tag, properties)`` of the five result tables; ids name their content."""
+    """``(external_id, view, tag, properties)`` of the five result tables; ids name their content.
+
+    Ids are unique: of the events of a tag and type within one second, the last is the node.
+    """
     modelled = as_of.alias("Date_Modelling")
 
     def stamp(column: str) -> Column:
@@ -115,7 +118,11 @@ def node_records(
         for side, word in (("p", "Pos"), ("n", "Neg")) for k in range(1, 6)
     ]
     unset = [F.lit(None).cast("timestamp_ntz").alias(f"TTF_{s}_{k}Sigma") for s in ("Pos", "Neg") for k in (4, 5)]
-    typed = events.withColumnRenamed("type", "Type")
+    second = F.date_trunc("second", "ts").alias("_second")
+    typed = (
+        events.groupBy("tag", F.col("type").alias("Type"), second)
+        .agg(F.max(F.struct("ts", "value")).alias("_last")).select("tag", "Type", "_last.ts", "_last.value")
+    )
     parts = [
         _node(
             forecast, "forecast", "Tag", F.concat("Tag", F.lit("_forecast_"), stamp("Timestamp")),

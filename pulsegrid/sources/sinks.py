@@ -96,7 +96,13 @@ def replace_by_tag(points: DataFrame, path: str) -> None:
 
 
 def upsert_nodes(nodes: DataFrame, path: str) -> None:
-    """Write node records by id; a tag's earlier forecast nodes are dropped first."""
+    """Write node records by id, one row for each; a tag's earlier forecast nodes are dropped first.
+
+    Of new records with one id, the one whose other columns come last in order is kept.
+    """
+    rest = [c for c in nodes.columns if c != "external_id"]
+    last = nodes.groupBy("external_id").agg(F.max(F.struct(*rest)).alias("_last"))
+    nodes = last.select(*[F.col(c) if c == "external_id" else F.col(f"_last.{c}") for c in nodes.columns])
     _merge(nodes, path, lambda fresh: [
         fresh.select("external_id"),
         fresh.where(F.col("view") == "forecast").select("tag", "view"),
