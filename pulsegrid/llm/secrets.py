@@ -13,6 +13,9 @@ from pulsegrid.llm.common import BROADCAST_BYTES
 from pulsegrid.session import scratch_folder, stage
 
 
+FEW_NEW = 0.1  # share of rows with unseen blobs up to which their list is sent to the texts
+
+
 @dataclass(frozen=True)
 class Rule:
     """``pattern`` is matched leftmost and without overlaps; a match counts if its group ``kept`` has ``least`` characters."""
@@ -119,8 +122,8 @@ def scan(
     A new version of a rule scans all blobs again, for that rule only.
 
     NULL counts as empty and has no spans; rows that repeat get the same spans; NULL ids keep their
-    row; an empty table gives no rows.  The table of unseen blobs is broadcast to the texts only
-    below a counted size, else it is shuffled with them.
+    row; an empty table gives no rows.  In an increment, where few blobs are unseen, their list
+    (below a counted size) is broadcast and no text moves; otherwise texts are shuffled to it, once.
     """
     addressed = stage(versions.select(
         F.col(id_col).alias("id"), blob_id(F.col(text_col)).alias("blob"),
@@ -128,7 +131,8 @@ def scan(
     ), "addressed")
     blobs = addressed.groupBy("blob").agg(F.min("carrier").alias("carrier"))
     todo = stage(unseen(blobs, ledger, rules), "unseen")
-    if todo.count() * 400 <= BROADCAST_BYTES:
+    new, all_ = todo.count(), addressed.count()
+    if new * 400 <= BROADCAST_BYTES and new <= FEW_NEW * all_:
         todo = F.broadcast(todo)
     texts = versions.select(
         F.xxhash64(F.col(id_col)).alias("carrier"), blob_id(F.col(text_col)).alias("blob"), F.coalesce(text_col, F.lit("")).alias("text"),
