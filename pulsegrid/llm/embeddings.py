@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pulsegrid.llm.common import bounded
 from pulsegrid.llm.components import connected, merge_pairs
 from pulsegrid.session import stage
 
@@ -221,8 +222,9 @@ def near_duplicates(
     dealt = classes.mapInPandas(hashed(True), "space long, class long, n long, raw binary, part int, code long")
     own = F.pmod(F.xxhash64("class"), F.coalesce("blocks", F.lit(1)))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1))
-    dealt = (  # at most one row of ``crowded`` per config.block places
-        dealt.join(F.broadcast(crowded), ["space", "part", "code"], "left").withColumn("own", own).withColumn("other", other)
+    cut, _ = bounded(crowded, 64)  # one row per config.block places at most, so it grows with the input
+    dealt = (
+        dealt.join(cut, ["space", "part", "code"], "left").withColumn("own", own).withColumn("other", other)
         .withColumn("left", F.least("own", "other")).withColumn("right", F.greatest("own", "other"))
         .withColumn("side", F.col("own") > F.col("other")).drop("own", "other", "blocks")
     )

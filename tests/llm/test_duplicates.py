@@ -193,8 +193,10 @@ def vector_brute(rows):
     return sorted(((k, int(n), least.get(r), k is not None and k == least.get(r)) for (k, _, _), n, r in zip(rows, links, label)), key=str)
 
 
-@pytest.mark.parametrize("block", [8, 4096])
-def test_embeddings_equal_brute_force(spark, block):
+@pytest.mark.parametrize("block, broadcast", [(8, True), (8, False), (4096, True)])
+def test_embeddings_equal_brute_force(spark, monkeypatch, block, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(embeddings, "bounded", lambda df, width: (df, False))
     rows = vector_rows()
     frame = spark.createDataFrame([(*r, "x", "y", 1) for r in rows], VECTORS)
     found = embeddings.near_duplicates(frame, embeddings.PolytopeConfig(block=block))
