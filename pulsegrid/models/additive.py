@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.timeops import DAY, freq_us, to_us
 from pulsegrid.models.frames import KEYS, with_settings
-from pulsegrid.models.ridge import dot, moments, solve
+from pulsegrid.models.ridge import clustered, dot, moments, solve
 from pulsegrid.operators.joins import SeriesProfile, attach
 
 # Name, period in days, Fourier order.
@@ -127,7 +127,7 @@ def fit(
         *KEYS, F.array(*design).alias("x"),
         ((target - F.col("center")) / F.col("scale")).alias("z"),
     )
-    parts = moments(prepared, list(KEYS), largest=size.largest)
+    parts = moments(clustered(prepared, list(KEYS), size.largest), list(KEYS), largest=size.largest)
     solved = solve(attach(parts, ranges.select(*KEYS, "penalty"), size, KEYS, rows_per_key=30), list(KEYS))
     return AdditiveFit(solved.join(ranges.drop("penalty"), list(KEYS)), changepoints)
 

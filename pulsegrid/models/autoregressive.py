@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.timeops import freq_us, from_us, to_us
-from pulsegrid.models.ridge import _matrix, dot, moments, solve
+from pulsegrid.models.ridge import _matrix, clustered, dot, moments, solve
 from pulsegrid.operators.features import (
     holdout_split, lag_sequences, minmax_inverse, minmax_scale,
 )
@@ -34,7 +34,7 @@ def _fit(sequences: DataFrame, size: SeriesProfile, config: AutoregressiveConfig
     design = F.concat(F.array(F.lit(1.0)), F.col("x"))
     rows = sequences.select("tag", design.alias("x"), F.col("scaled").alias("z"))
     weights = F.array(F.lit(1e-6), *[F.lit(config.penalty)] * config.lookback)
-    return solve(moments(rows, ["tag"], largest=size.largest).withColumn("penalty", weights), ["tag"])
+    return solve(moments(clustered(rows, ["tag"], size.largest), ["tag"], largest=size.largest).withColumn("penalty", weights), ["tag"])
 
 
 def stabilised(coef: np.ndarray, window: np.ndarray) -> np.ndarray:

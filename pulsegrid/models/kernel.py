@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.timeops import CALENDAR_NAMES
 from pulsegrid.models.frames import KEYS, with_settings
-from pulsegrid.models.ridge import moments, predict_lifted, solve
+from pulsegrid.models.ridge import clustered, moments, predict_lifted, solve
 from pulsegrid.operators.features import feature_frame, future_time_index
 from pulsegrid.operators.joins import SeriesProfile, attach
 
@@ -94,7 +94,7 @@ def fit_predict(
         ((F.col("y") - F.col("center")) / F.col("scale")).alias("z"),
     )
     lift = _lift(config.components, config.seed)
-    parts = moments(scaled, list(KEYS), lift, ("gamma", "kernel", "degree"), size.largest)
+    parts = moments(clustered(scaled, list(KEYS), size.largest), list(KEYS), lift, ("gamma", "kernel", "degree"), size.largest)
     width = config.components + len(FEATURES)
     weights = rows.groupBy(*KEYS).agg(
         F.array(F.lit(1e-6), *[F.first(1.0 / F.col("c"))] * width).alias("penalty")

@@ -27,6 +27,16 @@ def _matrix(values: pd.Series) -> np.ndarray:
     return np.stack(values.to_numpy()).astype(float)
 
 
+def clustered(rows: DataFrame, keys: list[str], largest: int) -> DataFrame:
+    """Rows dealt by group and slice, so that a task sees the rows of a slice together.
+
+    A group of ``largest`` rows is cut into slices of about ``SLICE_ROWS``.
+    """
+    slices = max(1, -(-largest // SLICE_ROWS))
+    by = [*keys, F.pmod(F.xxhash64("x", "z"), F.lit(slices))]
+    return rows.repartition(*by).sortWithinPartitions(*by)
+
+
 def moments(
     rows: DataFrame, keys: list[str], lift: Lift | None = None, carry: tuple[str, ...] = (),
     largest: int = 0,
@@ -34,10 +44,9 @@ def moments(
     """Partial moment matrices per group of ``(x ARRAY<DOUBLE>, z DOUBLE)`` rows.
 
     ``lift`` maps the matrix of a group's rows to more columns; it may read the ``carry`` columns,
-    which are constant within a group.  Rows are first clustered by group and slice, so a task sees
-    the rows of a slice together however they were interleaved, and hands on one matrix for
-    them; a group has at most ``largest / SLICE_ROWS`` slices.  The matrices are then added up by
-    slice number modulo ``SPREAD``, so no group hands more than ``SPREAD`` of them to its solution.
+    which are constant within a group.  Every task hands on one matrix per group that it holds, so
+    interleaved groups should be clustered first.  Those of a group above ``SLICE_ROWS`` rows are added
+    up by part number, so that no group hands more than ``SPREAD`` of them to its solution.
     """
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     fields = ["part int", "rows bigint", "zz double", "xz array<double>", "xx array<double>"]
@@ -65,12 +74,8 @@ def moments(
         if held:
             yield flush(held, part)
 
-    slices = max(1, -(-largest // SLICE_ROWS))
-    spread = F.pmod(F.xxhash64("x", "z"), F.lit(slices)).cast("int").alias("_slice")
-    clustered = rows.select(*keys, *carry, "x", "z", spread)
-    clustered = clustered.repartition(*keys, "_slice").sortWithinPartitions(*keys, "_slice")
-    parts = clustered.mapInPandas(reduce_task, schema)
-    if slices == 1:
+    parts = rows.select(*keys, *carry, "x", "z").mapInPandas(reduce_task, schema)
+    if largest <= SLICE_ROWS:
         return parts
 
     def add(key, pdf):

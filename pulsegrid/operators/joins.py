@@ -42,19 +42,19 @@ def attach(
     keys: tuple[str, ...] = ("tag",),
     how: str = "inner",
     rows_per_key: int = 1,
-    bound: int = BROADCAST_BYTES,
+    bound: int | None = None,
 ) -> DataFrame:
     """Join a per-tag table to readings.
 
     ``size`` bounds the number of rows of ``stats`` (tags x ``rows_per_key``).  Below
-    ``bound`` bytes the table is broadcast and the readings do not move.  Beyond it both
+    ``bound`` bytes (``BROADCAST_BYTES`` unless given) the table is broadcast and the readings do not move.  Beyond it both
     sides are shuffled on ``(keys, salt)``: each row of ``stats`` is repeated once per salt, so a
     tag that holds a large share of the readings is spread over ``SALTS`` tasks.
     """
     width = size.tag_bytes + 16 + sum(
         (f.dataType.simpleString() == "string" and 64) or 16 for f in stats.schema.fields
     )
-    if size.tags * rows_per_key * width <= bound:
+    if size.tags * rows_per_key * width <= (BROADCAST_BYTES if bound is None else bound):
         return rows.join(F.broadcast(stats), list(keys), how)
     spread = [c for c in rows.columns if c not in keys] or list(keys)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))

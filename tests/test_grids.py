@@ -94,3 +94,15 @@ def test_blend_clip_interval_endpoints(spark):
     assert np.allclose([r["blend"] for r in rows], [1.0, 1.075, 1.15, 1.225, 1.3])
     assert np.isclose(rows[-1]["half"], 1.96 * 2)
     assert [r["clipped"] for r in rows] == [0.0, 5.0, 10.0, 12.0, 12.0]
+
+
+@pytest.mark.parametrize("slice_bins", [1, 2, 7, 4096])
+def test_slices_do_not_change_grids(make, slice_bins):
+    from pulsegrid.sources.series import scan_interpolate
+
+    rows = make({"a": [(0, 1), (1.5, 2), (30, 5), (31, 4), (200, 0)], "b": [(-70, 3)], "c": [(5, 1), (6, 2)]})
+    whole = scan_interpolate(rows, "1h", slice_bins=10_000).orderBy("tag", "ts").collect()
+    assert scan_interpolate(rows, "1h", slice_bins=slice_bins).orderBy("tag", "ts").collect() == whole
+    filled = resample.resample_grid(rows, "1h", slice_bins=10_000).orderBy("tag", "ds").collect()
+    assert resample.resample_grid(rows, "1h", slice_bins=slice_bins).orderBy("tag", "ds").collect() == filled
+    assert len(filled) == 201 + 1 + 2 and [r["i"] for r in filled[:201]] == list(range(201))

@@ -129,3 +129,61 @@ def test_score_limits_and_ties(spark):
     assert found["u", "c"]["score"] is None and found["u", "c"]["nmse"] == float("inf")
     best = {r["tag"]: r["model"] for r in evaluate.best_model(scores, ["a", "b", "c"]).collect()}
     assert best == {"t": "a", "u": "c"}
+
+
+def test_unknown_kernels_are_refused_and_all_known_ones_differ(stages):
+    grid = stages.prepared("1h")
+    with pytest.raises(ValueError, match="kernel must be"):
+        forecast("kernel", grid, 4, "1h", stages.size, kernel.KernelConfig(kernel="sigmoid"))
+    means = {
+        (k, d): forecast("kernel", grid, 4, "1h", stages.size, kernel.KernelConfig(kernel=k, degree=d)).agg(F.sum("yhat")).first()[0]
+        for k, d in (("rbf", 3), ("linear", 3), ("poly", 2), ("poly", 3))
+    }
+    assert len({round(v, 6) for v in means.values()}) == 4 and all(np.isfinite(v) for v in means.values())
+
+
+def test_polynomial_features_approximate_the_kernel():
+    import pandas as pd
+
+    x = np.random.default_rng(1).normal(size=(20, len(kernel.FEATURES)))
+    pdf = pd.DataFrame({"gamma": [1.0] * 20, "kernel": ["poly"] * 20, "degree": [2] * 20})
+    z = kernel._lift(20_000, 1)(x, pdf)[:, 1:20_001]
+    exact = (x @ x.T / len(kernel.FEATURES)) ** 2
+    assert np.abs(z @ z.T - exact).max() < 0.15
+
+
+def test_an_unstable_recursion_is_damped():
+    from pulsegrid.models.autoregressive import stabilised
+
+    window, wild = np.linspace(0, 1, 5), np.array([0.1, 0.4, 0.2, 0.3, 0.5, 0.9])
+    coef = stabilised(wild, window)
+    state = window.copy()
+    for _ in range(20_000):
+        state = np.append(state[1:], coef[0] + state @ coef[1:])
+    assert state == pytest.approx(np.full(5, window.mean()), abs=1e-3)
+    calm = np.array([0.1, 0.0, 0.0, 0.1, 0.2, 0.3])
+    assert np.array_equal(stabilised(calm, window), calm)
+
+
+def test_a_flat_tag_has_no_trend_strength(make):
+    from pulsegrid.models.frames import full_frames
+
+    flat = SeriesStages(make({"f": [(k, 3.0) for k in range(100)], "g": [(k, k) for k in range(100)]}))
+    train, _ = full_frames(flat.prepared("1h"), 1, "1h")
+    found = {r["tag"]: r["trend_strength"] for r in additive.diagnostics(train, flat.size, "1h").collect()}
+    assert found["f"] is None and found["g"] > 1
+
+
+def test_a_search_does_not_see_the_scoring_rows(stages):
+    grid = stages.prepared("1h")
+    seen = parameter_search.searchable(grid).groupBy("tag").agg(F.max("i").alias("last"), F.max("n").alias("n")).collect()
+    held = {r["tag"]: r["first"] for r in grid.where(F.col("i") >= F.floor(F.col("n") * 0.8)).groupBy("tag").agg(F.min("i").alias("first")).collect()}
+    assert all(r["last"] < held[r["tag"]] and r["n"] == r["last"] + 1 for r in seen)
+
+
+def test_unknown_combinations_are_refused(sine):
+    from pulsegrid.plans.health import Analysis, analyse
+
+    for combine in ("avg", None):
+        with pytest.raises(ValueError):
+            analyse(sine, Analysis(models=("trend", "kernel"), combine=combine))

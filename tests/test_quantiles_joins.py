@@ -48,3 +48,10 @@ def test_join_size_is_checked(skewed):
     huge = SeriesProfile(tags=10**8, largest=10, tag_bytes=10)
     text = attach(skewed, stats, huge)._jdf.queryExecution().toString()
     assert "broadcast" not in text.split("== Analyzed")[0].lower()
+
+
+def test_groups_without_values_have_a_row_on_both_paths(make):
+    series = make({"a": [(k, k) for k in range(300)], "empty": [(k, None) for k in range(3)]})
+    for limit in (10, 100_000):
+        found = {r["tag"]: r["q"] for r in group_quantiles(series, "value", {"q": 0.5}, exact_limit=limit).collect()}
+        assert found == {"a": 149.5, "empty": None}
