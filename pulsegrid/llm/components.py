@@ -16,7 +16,7 @@ def _nearest(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node is tied to the smallest node of that neighbourhood."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    smallest = _nearest(both).select("u", F.least("u", "m").alias("m"))
+    smallest = stage(_nearest(both).select("u", F.least("u", "m").alias("m")), "nearest")
     return (
         both.join(smallest, "u").where("v > u")
         .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -25,7 +25,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its neighbours below it are tied to the smallest of them."""
-    tied = edges.join(_nearest(edges), "u")
+    tied = edges.join(stage(_nearest(edges), "nearest"), "u")
     rest = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     own = tied.select("u", F.col("m").alias("v"))
     return own.unionByName(rest).distinct()
@@ -34,8 +34,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
     """``(node, root)`` for every node of ``links (a, b)``; the root is the smallest node reached.
 
-    Each round is staged as a table, so that a lost executor costs one re-read, and all groups are
-    partially aggregated before they are shuffled: a node with very many links is no bottleneck.
+    Each half round is staged as a table, so that a lost executor costs one re-read.  Smallest
+    neighbours come from partial sums and are a table too, so that the join of a node's links with
+    its one row is a plain join, whose crowded keys Spark splits over tasks.
     The number of rounds grows with the logarithm of the longest chain.
     """
     edges = stage(
@@ -46,7 +47,7 @@ def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if mark[0] == 0:
             break
-        edges = stage(_small_star(_large_star(edges)), "links")
+        edges = stage(_small_star(stage(_large_star(edges), "links")), "links")
         before, mark = mark, _signature(edges)
         if before == mark:
             break

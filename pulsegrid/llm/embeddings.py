@@ -267,7 +267,7 @@ def near_duplicates(
     keyed = classes.select("space", "raw", "class").join(settled, "class")
     members = encoded.join(keyed, ["space", "raw"], "left").select("id", "row", F.coalesce("root", "row").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     members = stage(members, "members")
-    least = members.groupBy("root").agg(F.min("id").alias("component_id"))
+    least = stage(members.groupBy("root").agg(F.min("id").alias("component_id")), "least")
     return members.join(least, "root").select(
         "id", "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"),
     )

@@ -251,7 +251,7 @@ def component_classes(marked: DataFrame, config: SimHashConfig) -> DataFrame:
     """``(fp, component_id)`` for the distinct fingerprints of ``marked (id, fp)``, as a table."""
     distinct = stage(marked.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     tied = stage(distinct.join(component_roots(distinct, config), "fp"), "roots")
-    smallest = tied.groupBy("root").agg(F.min("least").alias("component_id"))
+    smallest = stage(tied.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
     return stage(tied.join(smallest, "root").select("fp", "component_id"), "classes")
 
 
