@@ -694,6 +694,20 @@ ORACLES["asset_health"] = statement(
     " JOIN sc ON cn.tag = sc.tag LEFT JOIN bp ON cn.tag = bp.tag",
 )
 
+ORACLES["publish_report"] = statement(
+    ON_GRID + CLEAN + SIGMA + fits() + prepared("1 hour") + holdouts({"trend": 168}) + SCORES
+    + forecasts("1 hour", STEPS, {"trend": 168}) + EVENTS + RATES + NODES[-1:] + [
+        "asked AS (SELECT DISTINCT unnest([tag, tag || '.missing']) AS tag FROM s)",
+        "wr AS (SELECT tag, count(DISTINCT external_id) AS nodes_written FROM no GROUP BY tag)",
+        "pt AS (SELECT tag, count(yhat) AS points_written FROM fc GROUP BY tag)",
+    ],
+    "SELECT tag, CASE WHEN nodes_written IS NULL THEN 'error' ELSE 'success' END AS status,"
+    " CASE WHEN nodes_written IS NULL THEN 'No data' END AS error,"
+    " CASE WHEN nodes_written IS NULL THEN 'no_data' ELSE 'success' END AS write_status,"
+    " coalesce(nodes_written, 0) AS nodes_written, coalesce(points_written, 0) AS points_written"
+    " FROM asked LEFT JOIN wr USING (tag) LEFT JOIN pt USING (tag)",
+)
+
 # Fitted models: what can be stated without fitting them.
 for _name, _model in (
     ("forecast_additive", "additive"), ("forecast_kernel", "kernel"), ("forecast_autoregressive", "autoregressive"),

@@ -20,7 +20,7 @@ from pulsegrid.operators.joins import attach, profile
 from pulsegrid.plans import health as plan
 from pulsegrid.plans import search as parameter_search
 from pulsegrid.plans import tables
-from pulsegrid.session import configure, scratch_folder
+from pulsegrid.session import configure, scratch_folder, stage
 from pulsegrid.sources import meta, series, sinks
 
 Query = Callable[..., DataFrame]
@@ -797,3 +797,18 @@ def asset_health_best(spark, folder):
         "tag", "total_count", "removed_count", "percent_removed", "median", "mad", "sigma", "p3", "n3",
         "above_1s", "above_3s", "below_1s", "below_3s", "last_ts", "last_value", good.alias("sound"),
     ), 3)
+
+
+@query
+def publish_report(spark, folder):
+    """The report of a published analysis, with the points of each tag as read back."""
+    events = events_by_type(spark, folder)
+    health = plan.analyse(events, plan.Analysis(models=("trend",), horizon_days=14))
+    asked = stage(
+        events.select(F.explode(F.array("tag", F.concat("tag", F.lit(".missing")))).alias("tag")).distinct(), "asked",
+    )
+    path = _folder(spark, "published")
+    found = meta.lookup(asked, part_meta(spark, folder))
+    report = plan.publish(health, asked, found, as_of(), path, "2_weeks")
+    points = spark.read.parquet(f"{path}/points").groupBy("tag").agg(F.count("*").alias("points_written"))
+    return report.join(points, "tag", "left").withColumn("points_written", F.coalesce("points_written", F.lit(0)))

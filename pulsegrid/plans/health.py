@@ -178,3 +178,38 @@ def export_csv(health: Health, as_of: Column, folder: str) -> None:
     """Write every result table as CSV below ``folder``."""
     for name, table in result_tables(health, as_of).items():
         sinks.write_csv(table, f"{folder}/{name}")
+
+
+def failures(requested: DataFrame, health: Health) -> DataFrame:
+    """``(tag, error)``: the requested tags that have no forecast, each with the reason."""
+    done = health.forecast.where(F.col("yhat").isNotNull()).select("tag").distinct()
+    read = health.counts.select("tag", F.lit(True).alias("_read"))
+    missing = requested.select("tag").distinct().join(done, "tag", "left_anti").join(read, "tag", "left")
+    return missing.select("tag", F.when(F.col("_read"), "No forecast").otherwise("No data").alias("error"))
+
+
+def publish(
+    health: Health, requested: DataFrame, looked_up: DataFrame, as_of: Column, folder: str, horizon: str,
+) -> DataFrame:
+    """Write an analysis as tables below ``folder`` and report on every requested tag.
+
+    ``series`` holds the metadata of the forecast series (of the tags ``looked_up``), ``points`` the
+    forecast values and ``nodes`` the records of the five result tables.  Tags are replaced, so
+    publishing twice is harmless.  A tag without a forecast gets nothing written, but a row in the
+    report with the reason; it holds up no other tag.  The report is derived from staged tables, so it
+    says what was written.
+    """
+    failed = stage(failures(requested, health), "failures")
+    model = health.scores.select("tag", F.col("model").alias("_model"))
+    found = looked_up.join(failed, "tag", "left_anti").join(model, "tag")
+    own = sinks.forecast_series(found, F.col("_model"), horizon)
+    sinks.replace_by_tag(own.withColumn("tag", F.col("metadata")["base_tag"]), f"{folder}/series")
+    points = sinks.forecast_points(health.forecast.join(failed, "tag", "left_anti"))
+    sinks.replace_by_tag(points, f"{folder}/points")
+    results = result_tables(health, as_of)
+    nodes = tables.node_records(
+        results["forecast"], results["rate_change"], health.summary, results["ttf_summary"], health.events, as_of,
+    )
+    nodes = stage(nodes.join(failed, "tag", "left_anti"), "nodes")
+    sinks.upsert_nodes(nodes, f"{folder}/nodes")
+    return tables.run_report(requested.select("tag").distinct(), nodes, failed)

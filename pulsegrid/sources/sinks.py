@@ -31,7 +31,7 @@ def forecast_points(forecast: DataFrame, ts: str | Column = "ds", value: str = "
     ).where(F.col("timestamp_ms").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def forecast_series(looked_up: DataFrame, model: str, horizon: str) -> DataFrame:
+def forecast_series(looked_up: DataFrame, model: str | Column, horizon: str) -> DataFrame:
     """Metadata of the series that will hold each tag's forecast."""
     own = F.concat(F.lit(FORECAST_PREFIX), F.col("tag"))
     facts = {
