@@ -125,3 +125,70 @@ FROM d LEFT JOIN per_doc USING (doc_id)
 
 
 ORACLES["op1_secret_scan"] = _secret_sql()
+
+ORACLES["op12_filter_audit"] = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents
+), told AS (
+    SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id
+), words AS (
+    SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d
+), fails AS (
+    SELECT words.doc_id, part, (len(w) < 200)::INTEGER AS a, (100 * len(list_distinct(w)) < 50 * len(w))::INTEGER AS b,
+           (100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text))::INTEGER AS c,
+           regexp_matches(text, '[#$%&*|]')::INTEGER AS d,
+           (words.doc_id > min(words.doc_id) OVER (PARTITION BY text))::INTEGER AS e
+    FROM words
+), marked AS (
+    SELECT part, [a, b, c, d, e] AS f, a + b + c + d + e AS failed,
+           coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+    FROM fails LEFT JOIN told USING (doc_id)
+), letters AS (SELECT unnest([1, 2, 3, 4, 5]) AS k), orders AS (
+    SELECT [v.k, w.k, x.k, y.k, z.k] AS o
+    FROM letters v, letters w, letters x, letters y, letters z
+    WHERE len(list_distinct([v.k, w.k, x.k, y.k, z.k])) = 5
+), steps AS (
+    SELECT part, o, step, o[step] AS k, f[o[step]] AS fails, failed, good, toxic,
+           list_sum(list_transform(o[1:step - 1], lambda p: f[p])) AS before
+    FROM marked, orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+), counted AS (
+    SELECT part, o, step, k,
+           count(*) FILTER (WHERE coalesce(before, 0) = 0 AND fails = 0) AS kept,
+           count(*) FILTER (WHERE coalesce(before, 0) = 0 AND fails = 1) AS removed,
+           count(*) FILTER (WHERE before > 0 AND fails = 1) AS redundant,
+           count(*) FILTER (WHERE fails = 1 AND failed = 1) AS unique_fails,
+           count(*) FILTER (WHERE coalesce(before, 0) = 0 AND fails = 1 AND good = 1) AS good_lost,
+           count(*) FILTER (WHERE coalesce(before, 0) = 0 AND fails = 1 AND toxic = 1) AS toxic_lost
+    FROM steps GROUP BY part, o, step, k
+)
+SELECT part, array_to_string(list_transform(o, lambda p: 'ABCDE'[p]), '') AS filter_order, step::INTEGER AS step,
+       kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) OVER (PARTITION BY part, k)::BIGINT AS shapley
+FROM counted
+"""
+
+ORACLES["op13_lexical_search"] = r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents WHERE text IS NOT NULL
+), sized AS (SELECT *, len(w)::BIGINT AS n FROM d WHERE len(w) > 0
+), totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS occurrences FROM sized
+), postings AS (
+    SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM sized) GROUP BY ALL
+), wanted AS (
+    SELECT item_id, term, count(*) AS repeats FROM (
+        SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+    ) GROUP BY ALL
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+    FROM postings, totals GROUP BY term, docs
+), scored AS (
+    SELECT item_id, doc_id,
+           sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // occurrences))))::BIGINT AS score
+    FROM wanted JOIN postings USING (term) JOIN weights USING (term), totals GROUP BY item_id, doc_id
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import embeddings, exact, langid, linededup, mixing, packing, quality, secrets, simhash, toxicity
+from pulsegrid.llm import (
+    audit, embeddings, exact, langid, linededup, mixing, packing, quality, search, secrets, simhash, tokens, toxicity,
+)
 from pulsegrid.llm.common import held_out, table
 
 Query = Callable[..., DataFrame]
@@ -95,3 +97,22 @@ def op6_quality_classifier(spark, folder):
 @query
 def op3_embedding_near_dedup(spark, folder):
     return embeddings.near_duplicates(table(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@query
+def op11_token_output(spark, folder):
+    import public_tokenizers
+
+    files = tokens.write_shards(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens.read_documents(files).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op12_filter_audit(spark, folder):
+    return audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op13_lexical_search(spark, folder):
+    found = search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
