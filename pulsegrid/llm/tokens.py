@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,10 +32,10 @@ class Encoder:
 
     Byte-level tokenizers part a text into pieces before they merge, and no piece goes on past a
     letter into a blank, nor past the last of several blanks into the word behind it.  So a text may
-    be cut before each single space that a letter, digit or ASCII sign follows, and after a run of
-    Latin letters, without changing its ids.  Texts that hold a special token's string are encoded
-    whole.  Pieces that were met before are looked up; they are forgotten when ``HELD_PIECES`` pieces
-    or ``HELD_CHARACTERS`` characters are held.
+    be cut before each single space that a letter, digit or ASCII sign follows without changing its
+    ids.  Texts that hold a special token's string are encoded whole, and so are all texts if the
+    tokenizer is not byte-level.  Pieces that were met before are looked up; they are forgotten when
+    ``HELD_PIECES`` pieces or ``HELD_CHARACTERS`` characters are held.
     """
 
     def __init__(self, path: str):
@@ -45,93 +44,87 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._specials = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._word = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([^A-Za-zÀ-ÖØ-öø-ɏ].*)", re.S)
+        told = json.loads(self._tokenizer.to_str())
+        before = told["pre_tokenizer"] or {}
+        self._in_pieces = before.get("type") == "ByteLevel" and not before["add_prefix_space"] and not told["normalizer"]
+        vocabulary = self._tokenizer.get_vocab()
+        # A byte-level token has one character for each of its bytes.
+        self._bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self._bytes[list(vocabulary.values())] = list(map(len, vocabulary))
         self._clear()
 
     def _clear(self) -> None:
         self._seen: dict[str, int] = {}  # a piece without the space before it -> its entry
-        self._parts: dict[str, int] = {}  # a string that was encoded by itself -> its entry
-        self._flat, self._starts, self._ends = array("I"), array("q"), array("q")
+        self._flat, self._bounds = np.zeros(1 << 16, np.uint32), np.zeros(1 << 15, np.int64)
         self._held = 0
 
-    def _raw(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _entry(self, ids) -> int:
-        self._starts.append(len(self._flat))
-        self._flat.extend(ids)
-        self._ends.append(len(self._flat))
-        return len(self._starts) - 1
-
-    def _learn_parts(self, strings: set[str]) -> None:
-        new = [s for s in strings if s not in self._parts]
-        for string, ids in zip(new, self._raw(new)):
-            self._parts[string] = self._entry(ids)
-            self._held += len(string)
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Entries for new pieces, from those of their leading letters and of what follows them."""
-        split = {}
-        for piece in pieces:
-            word = self._word.fullmatch(piece)
-            split[piece] = (" " + word[1], word[2]) if word else (" " + piece,)
-        self._learn_parts({part for parts in split.values() for part in parts})
-        for piece, parts in split.items():
-            entries = [self._parts[p] for p in parts]
-            if len(entries) == 1:
-                self._seen[piece] = entries[0]
-            else:
-                a, b = entries
-                ids = self._flat[self._starts[a]:self._ends[a]] + self._flat[self._starts[b]:self._ends[b]]
-                self._seen[piece] = self._entry(ids)
-            self._held += len(piece)
+    def _raw(self, texts: list[str]) -> list[np.ndarray]:
+        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, np.uint32) for e in found]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Entries for new pieces: they are encoded in a row and parted again by their bytes."""
+        joined = [" " + " ".join(pieces[a:a + 256]) for a in range(0, len(pieces), 256)]
+        ids = np.concatenate(self._raw(joined)) if joined else np.zeros(0, np.uint32)
+        raw = np.frombuffer("".join(joined).encode("utf-8", "replace"), np.uint8)
+        starts = np.flatnonzero(raw == 0x20)
+        if len(starts) > len(pieces):  # some pieces have spaces inside
+            sizes = np.fromiter((1 + len(p.encode("utf-8", "replace")) for p in pieces), np.int64, len(pieces))
+        else:
+            sizes = np.diff(starts, append=len(raw))
+        ends = np.searchsorted(np.cumsum(self._bytes[ids]), np.cumsum(sizes)) + 1
+        known = len(self._seen)
+        first = int(self._bounds[known])
+        while first + len(ids) > len(self._flat):
+            self._flat = np.concatenate([self._flat, np.zeros_like(self._flat)])
+        while known + len(pieces) >= len(self._bounds):
+            self._bounds = np.concatenate([self._bounds, np.zeros_like(self._bounds)])
+        self._flat[first:first + len(ids)] = ids
+        self._bounds[known + 1:known + 1 + len(pieces)] = first + ends
+        self._seen.update(zip(pieces, range(known, known + len(pieces))))
+        self._held += int(sizes.sum())
 
     @staticmethod
     def _cut_before(piece: str) -> bool:
         return bool(piece) and ("!" <= piece[0] <= "~" or piece[0].isalnum())
 
-    def _gather(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of entries in a row, and where each entry ends."""
-        starts = np.frombuffer(self._starts, np.int64)[entries]
-        lengths = np.frombuffer(self._ends, np.int64)[entries] - starts
-        ends = np.cumsum(lengths)
-        places = np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
-        return np.frombuffer(self._flat, np.uint32)[places], ends
+    def _cut(self, text: str) -> tuple[str, list[str], list[int | None], list[int]]:
+        """What stands before the first cut, the pieces, their entries, and which of them have none."""
+        head, *pieces = text.split(" ")
+        entries = list(map(self._seen.get, pieces))
+        gaps = [k for k, e in enumerate(entries) if e is None]
+        if all([self._cut_before(pieces[k]) for k in gaps]):
+            return head, pieces, entries, gaps
+        joined: list[str] = []
+        for piece in pieces:
+            if self._cut_before(piece):
+                joined.append(piece)
+            elif joined:
+                joined[-1] += " " + piece
+            else:
+                head += " " + piece
+        return head, joined, [None] * len(joined), list(range(len(joined)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of every text, as the tokenizer gives them without special tokens added."""
         if len(self._seen) > HELD_PIECES or self._held > HELD_CHARACTERS:
             self._clear()
-        out: dict[int, np.ndarray] = {}
-        whole = [k for k, t in enumerate(texts) if any(s in t for s in self._specials)]
-        for k, ids in zip(whole, self._raw([texts[k] for k in whole])):
-            out[k] = np.array(ids, np.uint32)
+        whole = [k for k, t in enumerate(texts) if not self._in_pieces or any(s in t for s in self._specials)]
+        out = dict(zip(whole, self._raw([texts[k] for k in whole])))
         rest = [k for k in range(len(texts)) if k not in out]
-        heads, cuts, missing = [], [], set()
-        for k in rest:
-            head, *pieces = texts[k].split(" ")
-            new = {p for p in pieces if p not in self._seen}
-            if not all(map(self._cut_before, new)):
-                joined: list[str] = []
-                for piece in pieces:
-                    if self._cut_before(piece):
-                        joined.append(piece)
-                    elif joined:
-                        joined[-1] += " " + piece
-                    else:
-                        head += " " + piece
-                pieces = joined
-                new = {p for p in pieces if p not in self._seen}
-            heads.append(head)
-            cuts.append(pieces)
-            missing |= new
-        self._learn(missing)
-        self._learn_parts(set(heads))
-        entries = np.array([e for h, c in zip(heads, cuts) for e in (self._parts[h], *map(self._seen.__getitem__, c))], np.int64)
-        ids, ends = self._gather(entries)
-        last = np.cumsum([1 + len(c) for c in cuts], dtype=np.int64) - 1
-        bounds = [0, *ends[last].tolist()]
-        out.update((k, ids[a:b]) for k, a, b in zip(rest, bounds, bounds[1:]))
+        cuts = [self._cut(texts[k]) for k in rest]
+        missing = {pieces[g] for _, pieces, _, gaps in cuts for g in gaps}
+        self._learn([p for p in missing if p not in self._seen])
+        for k, head, (_, pieces, found, gaps) in zip(rest, self._raw([cut[0] for cut in cuts]), cuts):
+            for g in gaps:
+                found[g] = self._seen[pieces[g]]
+            entries = np.array(found, np.int64)
+            starts = self._bounds[entries]
+            lengths = self._bounds[entries + 1] - starts
+            ends = np.cumsum(lengths)
+            places = np.repeat(starts - (ends - lengths), lengths)
+            places += np.arange(len(places))
+            out[k] = np.concatenate([head, self._flat[places]])
         return [out[k] for k in range(len(texts))]
 
 
