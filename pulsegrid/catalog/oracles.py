@@ -718,6 +718,28 @@ for _name, _model in (
         f"SELECT tag, '{_model}' AS model, {STEPS}::BIGINT AS rows, max(ds) + INTERVAL 1 HOUR AS first_ds,"
         f" max(ds) + {STEPS} * INTERVAL 1 HOUR AS last_ds, {STEPS}::BIGINT AS good_rows FROM pos GROUP BY tag",
     )
+_NAMED = ", ".join(
+    f"struct_pack(place := {j}, feature := '{name}', value := CAST({term} AS DOUBLE))"
+    for j, (name, term) in enumerate(CALENDAR + [("time_idx", "pos_idx")])
+)
+_PART = "(sign({g}) * greatest(abs({g}) - 0.12, 0))"
+_SCORE = "(power(greatest(abs({g}) - 0.12, 0), 2) / ({h} + 0.27))"
+ORACLES["boosted_stump"] = statement(
+    HOURLY + [
+        "pt AS (SELECT tag, y, hour(ds) AS hr, isodow(ds) - 1 AS dow, day(ds) AS dom, month(ds) AS mon,"
+        " CASE WHEN n > 256 THEN floor(i * 256 / n::DOUBLE) / 256 ELSE i / n::DOUBLE END AS pos_idx,"
+        " avg(y) OVER (PARTITION BY tag) AS base FROM pos)",
+        f"un AS (SELECT tag, base, y, unnest([{_NAMED}]) AS f FROM pt)",
+        "hi AS (SELECT tag, f.place AS place, f.feature AS feature, f.value AS value, count(*) AS h, sum(base - y) AS g FROM un GROUP BY ALL)",
+        "cu AS (SELECT tag, place, feature, value, sum(h) OVER w AS lh, sum(g) OVER w AS lg,"
+        " sum(h) OVER (PARTITION BY tag, place) AS h FROM hi WINDOW w AS (PARTITION BY tag, place ORDER BY value))",
+        f"sc AS (SELECT *, round({_SCORE.format(g='lg', h='lh')} + {_SCORE.format(g='lg', h='(h - lh)')}, 3) AS gain"
+        " FROM cu WHERE lh >= 7 AND h - lh >= 7)",
+    ],
+    "SELECT tag, feature, round(value, 6) AS value, round(gain, 2) AS gain, lh::BIGINT AS left_rows,"
+    f" round(-{_PART.format(g='lg')} / (lh + 0.27), 5) AS left_leaf, round({_PART.format(g='lg')} / (h - lh + 0.27), 5) AS right_leaf"
+    " FROM sc WHERE gain > 1e-6 QUALIFY row_number() OVER (PARTITION BY tag ORDER BY gain DESC, place, value) = 1",
+)
 ORACLES["cv_metrics"] = statement(ORDERS_DAILY + FOLDS, "SELECT tag, count(*) AS folds, true AS sound FROM cu GROUP BY tag")
 ORACLES["holdout_eval"] = statement(
     HOURLY + [

@@ -692,6 +692,17 @@ QUERIES["forecast_random_forest"] = _model_forecast("random_forest", FOREST)
 QUERIES["forecast_gbt"] = _model_forecast("boosted_trees", BOOSTED)
 
 
+@query
+def boosted_stump(spark, folder):
+    """The first split of the boosted trees of every tag."""
+    train, _ = full_frames(cleaned(events_by_type(spark, folder)).prepared("1h"), 1, "1h")
+    found = trees.best_splits(trees.training_cells(train), BOOSTED)
+    return found.select(
+        "tag", "feature", F.round("value", 6).alias("value"), F.round("gain", 2).alias("gain"), "left_rows",
+        F.round("left_leaf", 5).alias("left_leaf"), F.round("right_leaf", 5).alias("right_leaf"),
+    )
+
+
 @query
 def holdout_eval(spark, folder):
     c = cleaned(events_by_type(spark, folder))

@@ -47,7 +47,7 @@ def spec_of(name: str) -> ModelSpec:
 
 
 def _settings_of(name: str, settings: DataFrame | None) -> dict[str, Any]:
-    """Arguments that give every tag its own settings; the regression models can do that."""
+    """Arguments that give every tag its own settings."""
     if settings is None:
         return {}
     if name != "additive":

@@ -1,14 +1,12 @@
 """Hyper-parameter search: seeded random trials, scored on a time-ordered validation part.
 
-All trials of a regression model are fitted in one job, a trial being one more key beside the tag.
-Tree ensembles are pooled over the tags, so each trial is one MLlib fit.
+All trials of a model are fitted in one job, a trial being one more key beside the tag.
 """
 
 from __future__ import annotations
 
 import math
 import random
-from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -78,22 +76,16 @@ def trial_table(spark: SparkSession, model: str, settings: list[dict]) -> DataFr
 def _validated(model, positioned, freq, size, settings) -> DataFrame:
     train, test = holdout_frames(positioned, clamp=True)
     spark = positioned.sparkSession
-    if model in ("additive", "kernel"):
-        trials = trial_table(spark, model, settings)
-        folds = F.explode(F.array(*[F.lit(f"{k:04d}") for k in range(len(settings))]))
-        train, test = train.withColumn("fold", folds), test.withColumn("fold", folds)
-        many = size.with_groups(len(settings))
-        if model == "additive":
-            top = max(s["n_changepoints"] for s in settings)
-            return additive.fit_predict(train, test, many, freq, trials=trials, changepoints=top)
+    trials = trial_table(spark, model, settings)
+    folds = F.explode(F.array(*[F.lit(f"{k:04d}") for k in range(len(settings))]))
+    train, test = train.withColumn("fold", folds), test.withColumn("fold", folds)
+    many = size.with_groups(len(settings))
+    if model == "additive":
+        top = max(s["n_changepoints"] for s in settings)
+        return additive.fit_predict(train, test, many, freq, trials=trials, changepoints=top)
+    if model == "kernel":
         return kernel.fit_predict(train, test, many, freq, trials=trials)
-    base = TREE_CONFIGS[model]
-    table, levels = trees.training_table(train, size)
-    return union([
-        trees.fit(table, levels, size, replace(base, **s)).predict(test)
-        .withColumn("fold", F.lit(f"{k:04d}"))
-        for k, s in enumerate(settings)
-    ])
+    return trees.fit_predict(train, test, many, freq, TREE_CONFIGS[model], trials)
 
 
 def search(
@@ -128,11 +120,6 @@ def searchable(positioned: DataFrame, test_size: float = 0.2) -> DataFrame:
     return positioned.withColumn("n", train_length(F.col("n"), test_size)).where("i < n")
 
 
-def _ratio(loss, least):
-    """Loss relative to a tag's best; a tag that some trial predicts exactly counts 1 for those trials."""
-    return F.when(loss == least, 1.0).otherwise(F.coalesce(F.try_divide(loss, least), F.lit(float("inf"))))
-
-
 def tune(
     model: str, positioned: DataFrame, freq: str, size: SeriesProfile, trials: int,
     metric: str = "rmse", seed: int = 42,
@@ -140,21 +127,11 @@ def tune(
     """The searched ``(config, settings)`` of a model; models without a space keep their defaults.
 
     Trials are fitted and validated within the training part of the holdout, so the rows on which the
-    winner is scored play no part in choosing it.
-
-    Regression models get the best trial of every tag, as a settings table.  Pooled ensembles
-    share one setting: the trial with the smallest loss relative to each tag's best, on average.
+    winner is scored play no part in choosing it.  Every tag gets its own best trial, as a settings table.
     """
     if model not in SPACES:
         return None, None
     results = stage(search(model, searchable(positioned), freq, size, trials, metric, seed), "search")
-    settings = sample_trials(model, trials, seed)
-    if model in ("additive", "kernel"):
-        table = trial_table(positioned.sparkSession, model, settings)
-        winners = best_params(results).select("tag", "fold")
-        return None, stage(winners.join(F.broadcast(table), "fold").drop("fold"), "settings")
-    best = results.select(
-        "fold", _ratio(F.col("loss"), F.min("loss").over(Window.partitionBy("tag"))).alias("ratio")
-    )
-    top = best.groupBy("fold").agg(F.avg("ratio").alias("ratio")).orderBy("ratio", "fold").first()
-    return replace(TREE_CONFIGS[model], **settings[int(top["fold"])]), None
+    table = trial_table(positioned.sparkSession, model, sample_trials(model, trials, seed))
+    winners = best_params(results).select("tag", "fold")
+    return None, stage(winners.join(F.broadcast(table), "fold").drop("fold"), "settings")
