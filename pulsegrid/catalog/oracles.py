@@ -757,6 +757,16 @@ ORACLES["model_diagnostics"] = statement(
     " 0.1 AS changepoint_prior_scale, 'additive' AS seasonality_mode, 0.9 AS interval_width, true AS sound"
     " FROM pos GROUP BY tag",
 )
+# Two coefficients of the trend, six changes of slope and thirty seasonal ones; all must be optimal.
+ORACLES["additive_optimality"] = statement(
+    LINES, "SELECT DISTINCT tag, unnest(range(38)) AS j, 0.0::DOUBLE AS residual FROM s",
+)
+# Variance of the changes to come: in proportion to the cube of the time since the last training point.
+ORACLES["additive_band"] = statement(
+    LINES,
+    "SELECT tag, i, round((power(i + 1, 3) - 1) / (power(84, 3) - 1), 5) AS growth"
+    " FROM (SELECT DISTINCT tag FROM s), (SELECT unnest(range(84)) AS i)",
+)
 ORACLES["hpo_best_params"] = statement(
     HOURLY,
     "SELECT DISTINCT tag, unnest(['additive', 'kernel']) AS model, 50::BIGINT AS trials, 50::BIGINT AS places, 50::BIGINT AS good_trials FROM pos",

@@ -726,8 +726,32 @@ def model_diagnostics(spark, folder):
     train, _ = full_frames(c.prepared("1h"), 1, "1h")
     found = additive.diagnostics(train, c.size, "1h")
     return found.withColumn("num_changepoints", F.col("num_changepoints").cast("bigint")).withColumn(
-        "sound", _all(_sound(F.col("trend_strength")), F.col("trend_strength") >= 0)
-    ).drop("trend_strength")
+        "sound", _all(
+            _sound(F.col("trend_strength")), F.col("trend_strength") >= 0,
+            F.col("live_changepoints").between(0, F.col("num_changepoints")),
+        ),
+    ).drop("trend_strength", "live_changepoints")
+
+
+@query
+def additive_optimality(spark, folder):
+    """How far each coefficient of the additive fits is from its optimality condition."""
+    c = cleaned(lineitem_daily(spark, folder))
+    train, _ = full_frames(c.prepared("1d"), 1, "1d")
+    found = additive.fit_optimality(additive.fit(train, c.size, "1d"), c.size)
+    return found.select("tag", F.col("j").cast("bigint").alias("j"), F.round("residual", 6).alias("residual"))
+
+
+@query
+def additive_band(spark, folder):
+    """How the squared width of the additive interval grows over the horizon, as a share of its whole growth."""
+    c = cleaned(lineitem_daily(spark, folder))
+    rows = registry.forecast("additive", c.prepared("1d"), 84, "1d", c.size)
+    square = F.pow((F.col("upper") - F.col("lower")) / 2, 2)
+    ends = [F.max(F.when(F.col("i") == k, F.col("square"))).over(Window.partitionBy("tag")) for k in (0, 83)]
+    grown = rows.withColumn("square", square).withColumns({"first": ends[0], "last": ends[1]})
+    share = (F.col("square") - F.col("first")) / (F.col("last") - F.col("first"))
+    return grown.select("tag", "i", F.round(share, 5).alias("growth"))
 
 
 # Ensembles and search ------------------------------------------------------------------------

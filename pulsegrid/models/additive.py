@@ -1,8 +1,9 @@
 """Additive trend-and-seasonality regression (after Taylor & Letham, 2018).
 
 A piecewise linear trend with evenly spaced changepoints plus Fourier series for day, week and
-month, fitted by ridge regression.  All settings are columns, so one job can fit every tag under
-many settings at once.
+month, fitted as the most likely coefficients under normal priors and a Laplace prior on the changes
+of slope, most of which it sets to exactly zero.  The interval widens with the changes that may yet
+come.  All settings are columns, so one job can fit every tag under many settings at once.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.timeops import DAY, freq_us, to_us
 from pulsegrid.models.frames import KEYS, with_settings
-from pulsegrid.models.ridge import clustered, dot, moments, solve
+from pulsegrid.models.ridge import clustered, dot, moments, optimality, solve
 from pulsegrid.operators.joins import SeriesProfile, attach
 
 # Name, period in days, Fourier order.
@@ -80,12 +81,26 @@ def _season_terms(flags: dict[str, Column]) -> list[Column]:
     return terms
 
 
+SEASONAL = 2 * sum(order for _, _, order in SEASONS)
+
+
 def _penalty(changepoints: int) -> Column:
+    """Precisions of the normal priors; changes of slope have none."""
     trend = F.lit(1.0 / TREND_PRIOR**2)
-    hinge = 1.0 / (F.col("changepoint_prior_scale") * F.col("changepoint_prior_scale"))
     season = 1.0 / (F.col("seasonality_prior_scale") * F.col("seasonality_prior_scale"))
-    seasonal = 2 * sum(order for _, _, order in SEASONS)
-    return F.array(trend, trend, *[hinge] * changepoints, *[season] * seasonal)
+    return F.array(trend, trend, *[F.lit(0.0)] * changepoints, *[season] * SEASONAL)
+
+
+def _price(changepoints: int) -> Column:
+    """Inverse scales of the Laplace priors on the changes of slope."""
+    hinge = 1.0 / F.col("changepoint_prior_scale")
+    return F.array(F.lit(0.0), F.lit(0.0), *[hinge] * changepoints, *[F.lit(0.0)] * SEASONAL)
+
+
+def _change_size(changepoints: int) -> Column:
+    """Sum of the absolute changes of slope of a fit."""
+    changes = F.slice("coef", 3, changepoints)
+    return F.aggregate(changes, F.lit(0.0), lambda total, change: total + F.abs(change))
 
 
 def _position(frame: DataFrame, after_training: bool) -> Column:
@@ -95,8 +110,10 @@ def _position(frame: DataFrame, after_training: bool) -> Column:
 
 @dataclass
 class AdditiveFit:
-    coefficients: DataFrame  # tag, fold, coef, noise, center, scale, logged
+    coefficients: DataFrame  # tag, fold, coef, noise, variance, center, scale, logged
     changepoints: int
+    rows: DataFrame  # tag, fold, x, z: the design that was fitted
+    priors: DataFrame  # tag, fold, penalty, price
 
 
 def fit(
@@ -112,24 +129,31 @@ def fit(
         F.avg("y").alias("_m"), F.stddev_pop("y").alias("_s"),
         F.avg(F.when(F.col("y") > 0, F.ln("y"))).alias("_lm"),
         F.stddev_pop(F.when(F.col("y") > 0, F.ln("y"))).alias("_ls"),
-        F.first(_penalty(changepoints)).alias("penalty"),
+        F.max(F.abs("y")).alias("_a"), F.max(F.abs(F.when(F.col("y") > 0, F.ln("y")))).alias("_la"),
+        F.first(_penalty(changepoints)).alias("penalty"), F.first(_price(changepoints)).alias("price"),
     )
     spread = F.when(F.col("logged"), F.col("_ls")).otherwise(F.col("_s"))
     ranges = ranges.select(
-        *KEYS, "logged", "penalty",
+        *KEYS, "logged", "penalty", "price", F.when(F.col("logged"), F.col("_la")).otherwise(F.col("_a")).alias("reach"),
         F.when(F.col("logged"), F.col("_lm")).otherwise(F.col("_m")).alias("center"),
         F.when(spread > 0, spread).otherwise(1.0).alias("scale"),
     )
     target = F.when(F.col("logged"), F.ln("y")).otherwise(F.col("y"))
     t = _position(train, False)
     design = _trend_terms(t, changepoints) + _season_terms(_season_flags(freq))
-    prepared = attach(rows, ranges.drop("penalty"), size, KEYS).select(
+    # Changes of slope are priced in units of the largest absolute value, rows are in units of the deviation.
+    unit = F.when(F.col("reach") > 0, F.col("reach") / F.col("scale")).otherwise(1.0)
+    priors = ranges.select(*KEYS, "penalty", unit.alias("unit"), "price").select(
+        *KEYS, "penalty", F.transform("price", lambda p: p / F.col("unit")).alias("price"),
+    )
+    ranges = ranges.drop("penalty", "price", "reach")
+    prepared = attach(rows, ranges, size, KEYS).select(
         *KEYS, F.array(*design).alias("x"),
         ((target - F.col("center")) / F.col("scale")).alias("z"),
     )
     parts = moments(clustered(prepared, list(KEYS), size.largest), list(KEYS), largest=size.largest)
-    solved = solve(attach(parts, ranges.select(*KEYS, "penalty"), size, KEYS, rows_per_key=30), list(KEYS))
-    return AdditiveFit(solved.join(ranges.drop("penalty"), list(KEYS)), changepoints)
+    solved = solve(attach(parts, priors, size, KEYS, rows_per_key=60), list(KEYS), price="price")
+    return AdditiveFit(solved.join(ranges, list(KEYS)), changepoints, prepared, priors)
 
 
 def predict(
@@ -142,7 +166,11 @@ def predict(
         _settings(future, config, trials, size), fitted.coefficients, size, KEYS, rows_per_key=20
     )
     linear = dot(design, F.col("coef")) * F.col("scale") + F.col("center")
-    noise = F.col("noise") * F.col("scale")
+    # Changes of slope go on at the fitted rate and mean size; their sum over a time h has this variance.
+    mean_change = _change_size(fitted.changepoints) / F.greatest(F.col("n_changepoints"), F.lit(1))
+    beyond = t - 1.0
+    drift = F.lit(2.0 / 3.0) * F.col("n_changepoints") * mean_change * mean_change * beyond * beyond * beyond
+    noise = F.sqrt(F.col("noise") * F.col("noise") + F.greatest(drift, F.lit(0.0))) * F.col("scale")
     level = F.when(F.col("logged"), F.exp(linear)).otherwise(linear)
     return joined.select(
         *future.columns, level.alias("yhat"),
@@ -159,6 +187,12 @@ def fit_predict(
     return predict(fitted, future, size, freq, config, trials)
 
 
+def fit_optimality(fitted: AdditiveFit, size: SeriesProfile) -> DataFrame:
+    """``(tag, fold, j, coef, residual)``: distance of each coefficient from its optimality condition."""
+    told = fitted.coefficients.select(*KEYS, "coef", "variance").join(fitted.priors, list(KEYS))
+    return optimality(fitted.rows, told, list(KEYS), size, "price")
+
+
 def diagnostics(
     train: DataFrame, size: SeriesProfile, freq: str, config: AdditiveConfig = AdditiveConfig()
 ) -> DataFrame:
@@ -170,8 +204,9 @@ def diagnostics(
     flags = _season_flags(freq)
     components = F.array_compact(F.array(*[F.when(flags[n], F.lit(n)) for n, _, _ in SEASONS]))
     last_place = F.floor((F.col("n") - 1) * config.changepoint_range)
-    return rows.select("*", trend.alias("trend"), components.alias("parts")).groupBy("tag").agg(
-        F.first("n_changepoints").alias("num_changepoints"),
+    live = F.size(F.filter(F.slice("coef", 3, fitted.changepoints), lambda change: change != 0))
+    return rows.select("*", trend.alias("trend"), components.alias("parts"), live.alias("live")).groupBy("tag").agg(
+        F.first("n_changepoints").alias("num_changepoints"), F.first("live").alias("live_changepoints"),
         F.try_divide(F.max("trend") - F.min("trend"), F.stddev_samp("y")).alias("trend_strength"),
         F.max(F.when(F.col("i") <= last_place, F.col("ds"))).alias("last_changepoint"),
         F.first(F.array_join("parts", ",")).alias("seasonality_components"),

@@ -86,14 +86,53 @@ def moments(
     return parts.groupBy(*keys, "part").applyInPandas(add, schema)
 
 
-def solve(parts: DataFrame, keys: list[str], penalty: str = "penalty") -> DataFrame:
-    """``coef`` and residual deviation ``noise`` per group, from the parts of its moments.
+def _sparse(system: np.ndarray, target: np.ndarray, price: np.ndarray) -> np.ndarray:
+    """The minimum of ``c'Sc/2 - t'c + sum(price |c|)``: coefficients with a price become exactly zero.
 
-    ``penalty`` holds one prior precision per coefficient, in units of the noise variance, which
-    is estimated first: solve with a unit variance, then again with the residual variance.
+    Priceless coefficients are eliminated first.  Coordinate descent with soft thresholding on the
+    others finds which of them live; the equations of these are then solved exactly.
+    """
+    free, priced = np.flatnonzero(price == 0), np.flatnonzero(price > 0)
+    if not len(priced):
+        return np.linalg.solve(system, target)
+    carried = np.linalg.solve(system[np.ix_(free, free)], np.column_stack([system[np.ix_(free, priced)], target[free]]))
+    inner = system[np.ix_(priced, priced)] - system[np.ix_(priced, free)] @ carried[:, :-1]
+    wanted = target[priced] - system[np.ix_(priced, free)] @ carried[:, -1]
+    inner[np.diag_indices(len(priced))] += 1e-9 * max(1.0, np.abs(np.diag(inner)).max())
+    cost, found = price[priced], np.zeros(len(priced))
+    for _ in range(20):
+        for _ in range(2000):
+            largest = 0.0
+            for j in range(len(priced)):
+                pull = wanted[j] - inner[j] @ found + inner[j, j] * found[j]
+                new = np.sign(pull) * max(abs(pull) - cost[j], 0.0) / inner[j, j]
+                largest = max(largest, abs(new - found[j]) * np.sqrt(inner[j, j]))
+                found[j] = new
+            if largest < 1e-9 * (1.0 + np.abs(wanted).max()):
+                break
+        live = np.flatnonzero(found)
+        exact = np.zeros(len(priced))
+        if len(live):
+            exact[live] = np.linalg.solve(inner[np.ix_(live, live)], wanted[live] - cost[live] * np.sign(found[live]))
+        slack = np.abs(wanted - inner @ exact) - cost
+        slack[live] = 0.0
+        if (exact[live] * found[live] >= 0).all() and (slack <= 1e-9 * (1.0 + cost)).all():
+            found = exact
+            break
+    coef = np.empty(len(target))
+    coef[priced], coef[free] = found, carried[:, -1] - carried[:, :-1] @ found
+    return coef
+
+
+def solve(parts: DataFrame, keys: list[str], penalty: str = "penalty", price: str | None = None) -> DataFrame:
+    """``coef``, residual deviation ``noise`` and ``variance`` per group, from the parts of its moments.
+
+    ``penalty`` holds one normal prior precision per coefficient, ``price`` one inverse scale of a
+    Laplace prior, both in units of the noise variance, which is estimated first: solve with a unit
+    variance, then again with the residual variance.  ``variance`` is the one that ``coef`` was found with.
     """
     types = {f.name: f.dataType.simpleString() for f in parts.schema.fields}
-    schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["coef array<double>", "noise double"])
+    schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["coef array<double>", "noise double", "variance double"])
 
     def solve_group(key, pdf):
         pdf = pdf.sort_values("part")
@@ -102,18 +141,43 @@ def solve(parts: DataFrame, keys: list[str], penalty: str = "penalty") -> DataFr
         xx = _matrix(pdf["xx"]).sum(axis=0).reshape(len(xz), len(xz))
         zz = float(pdf["zz"].sum())
         prior = np.asarray(pdf[penalty].iloc[0], dtype=float)
+        cost = np.asarray(pdf[price].iloc[0], dtype=float) if price else np.zeros(len(xz))
         variance = 1.0
         for _ in range(3):
+            used = variance
             system = xx + np.diag(np.maximum(variance * prior, 1e-9))
-            coef = np.linalg.solve(system, xz)
+            coef = _sparse(system, xz, variance * cost)
             residual = zz - 2 * coef @ xz + coef @ xx @ coef
             variance = max(residual / max(1, count), 1e-6)
         frame = dict(zip(keys, ([k] for k in key)))
-        return pd.DataFrame(frame | {"coef": [coef], "noise": [float(np.sqrt(variance))]})
+        return pd.DataFrame(frame | {"coef": [coef], "noise": [float(np.sqrt(variance))], "variance": [used]})
 
     return parts.groupBy(*keys).applyInPandas(solve_group, schema)
 
 
+def optimality(rows: DataFrame, fitted: DataFrame, keys: list[str], size: SeriesProfile, price: str | None = None) -> DataFrame:
+    """``(keys, j, coef, residual)``: how far each coefficient is from where its objective is flat.
+
+    Computed anew from the ``(x, z)`` rows, per row: the gradient of the squared loss and the normal
+    prior; a Laplace price is added with the coefficient's sign, and a coefficient of 0 may resist up to
+    its price.
+    """
+    told = attach(rows, fitted, size, tuple(keys), rows_per_key=100)
+    fit = F.aggregate(F.zip_with("x", "coef", lambda x, c: x * c), F.lit(0.0), lambda a, b: a + b)
+    cost = F.col(price) if price else F.transform("penalty", lambda p: p * 0.0)
+    terms = told.select(*keys, "variance", (fit - F.col("z")).alias("err"), F.posexplode(F.arrays_zip(
+        F.col("x"), F.col("coef"), F.col("penalty"), cost.alias("cost"),
+    )).alias("j", "t"))
+    sums = terms.groupBy(*keys, "j").agg(
+        F.sum(F.col("t.x") * F.col("err")).alias("g"), F.count("*").alias("rows"), F.first("variance").alias("v"),
+        F.first("t.coef").alias("coef"), F.first("t.penalty").alias("p"), F.first("t.cost").alias("c"),
+    )
+    g = F.col("g") + F.greatest(F.col("v") * F.col("p"), F.lit(1e-9)) * F.col("coef")
+    cost = F.col("v") * F.col("c")
+    off = F.when(F.col("coef") == 0, F.greatest(F.abs(g) - cost, F.lit(0.0))).otherwise(F.abs(g + F.signum("coef") * cost))
+    return sums.select(*keys, "j", "coef", (off / F.col("rows")).alias("residual"))
+
+
 def dot(columns: list[Column], coef: Column) -> Column:
     """Linear prediction as one compiled expression."""
     total = columns[0] * coef[0]
