@@ -757,6 +757,7 @@ ORACLES["model_diagnostics"] = statement(
     " 0.1 AS changepoint_prior_scale, 'additive' AS seasonality_mode, 0.9 AS interval_width, true AS sound"
     " FROM pos GROUP BY tag",
 )
+ORACLES["kernel_tube"] = statement(BY_TYPE, "SELECT DISTINCT tag, 0.0::DOUBLE AS residual, true AS settled FROM s")
 # Two coefficients of the trend, six changes of slope and thirty seasonal ones; all must be optimal.
 ORACLES["additive_optimality"] = statement(
     LINES, "SELECT DISTINCT tag, unnest(range(38)) AS j, 0.0::DOUBLE AS residual FROM s",

@@ -733,6 +733,16 @@ def model_diagnostics(spark, folder):
     ).drop("trend_strength", "live_changepoints")
 
 
+@query
+def kernel_tube(spark, folder):
+    """Distance of each kernel fit from its optimality condition, and whether its rounds came to rest."""
+    c = cleaned(events_by_type(spark, folder))
+    train, _ = full_frames(c.prepared("1h"), 1, "1h")
+    found = kernel.fit_summary(train, c.size)
+    good = _all(F.col("rounds") < kernel.ROUNDS, F.col("inside").between(0.01, 1.0), _sound(F.col("noise")))
+    return found.select("tag", F.round("residual", 5).alias("residual"), good.alias("settled"))
+
+
 @query
 def additive_optimality(spark, folder):
     """How far each coefficient of the additive fits is from its optimality condition."""

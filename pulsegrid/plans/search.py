@@ -33,7 +33,8 @@ SPACES = {
         "bootstrap": [True, False],
     },
     "kernel": {
-        "kernel": ["rbf", "linear", "poly"], "degree": (2, 4, "int"), "c": (0.1, 100.0, "log"), "gamma": [0.5, 1.0, 2.0],
+        "kernel": ["rbf", "linear", "poly"], "degree": (2, 4, "int"), "c": (0.1, 100.0, "log"), "epsilon": (1e-4, 1.0, "log"),
+        "gamma": [0.5, 1.0, 2.0],
     },
     "additive": {
         "changepoint_prior_scale": (0.001, 0.5, "log"),
