@@ -1,7 +1,10 @@
-"""Autoregression on the last 72 values, scaled to 0-1, fitted by ridge regression.
+"""A recurrent model of the last 72 values, scaled to 0-1.
 
-Holdout predictions are one step ahead and use the actual previous values; forecasts feed their
-own predictions back.
+A window's values pass one after another through a fixed nonlinear recursion (an echo state, after
+Jaeger, 2001), whose last state is read out, beside the values themselves, by ridge regression.  A
+window starts from rest, so a row's state follows from its window alone: rows are reduced to
+moments wherever they lie, and no tag is run through in one task.  Holdout predictions are one step
+ahead and use the actual previous values; forecasts feed their own predictions back.
 """
 
 from __future__ import annotations
@@ -13,51 +16,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.timeops import freq_us, from_us, to_us
-from pulsegrid.models.ridge import _matrix, clustered, dot, moments, solve
+from pulsegrid.models.ridge import _matrix, clustered, moments, predict_lifted, solve
 from pulsegrid.operators.features import (
     holdout_split, lag_sequences, minmax_inverse, minmax_scale,
 )
 from pulsegrid.operators.joins import SeriesProfile, attach
 
-STABLE = 0.999  # largest modulus of a root of the recursion
+REACH = 0.2  # how far a recursive prediction may leave the range 0-1
 
 
 @dataclass(frozen=True)
 class AutoregressiveConfig:
     lookback: int = 72
     penalty: float = 1.0
+    units: int = 64
+    memory: float = 0.9  # largest modulus of an eigenvalue of the recursion
+    seed: int = 42
     test_size: float = 0.2
     trend_blend_weight: float = 0.3
 
 
-def _fit(sequences: DataFrame, size: SeriesProfile, config: AutoregressiveConfig) -> DataFrame:
-    design = F.concat(F.array(F.lit(1.0)), F.col("x"))
-    rows = sequences.select("tag", design.alias("x"), F.col("scaled").alias("z"))
-    weights = F.array(F.lit(1e-6), *[F.lit(config.penalty)] * config.lookback)
-    return solve(moments(clustered(rows, ["tag"], size.largest), ["tag"], largest=size.largest).withColumn("penalty", weights), ["tag"])
-
+def state_lift(config: AutoregressiveConfig):
+    """``[1, the window, the state after the window]`` for a matrix of windows, oldest value first."""
+    rng = np.random.default_rng(config.seed)
+    within = rng.normal(size=(config.units, config.units))
+    within *= config.memory / np.abs(np.linalg.eigvals(within)).max()
+    entry, bias = rng.normal(0, 1.0, config.units), rng.uniform(-1.0, 1.0, config.units)
 
-def stabilised(coef: np.ndarray, window: np.ndarray) -> np.ndarray:
-    """``[intercept, oldest lag, ..., newest lag]`` whose recursion does not grow without bound.
+    def lift(x: np.ndarray, pdf=None) -> np.ndarray:
+        state = np.zeros((len(x), config.units))
+        for j in range(x.shape[1]):
+            state = np.tanh((2.0 * x[:, j : j + 1] - 1.0) * entry + state @ within + bias)
+        return np.hstack([np.ones((len(x), 1)), x, state])
 
-    If a root of the recursion lies outside the unit circle, lag k is damped by the k-th power of
-    one factor, which moves all roots inside, and the intercept is set so that the level at
-    which the recursion comes to rest is the mean of the last values.
-    """
-    lags = coef[1:][::-1]  # newest first
-    companion = np.zeros((len(lags), len(lags)))
-    companion[0] = lags
-    companion[np.arange(1, len(lags)), np.arange(len(lags) - 1)] = 1.0
-    radius = np.abs(np.linalg.eigvals(companion)).max()
-    if radius <= STABLE:
-        return coef
-    damped = lags * (STABLE / radius) ** np.arange(1, len(lags) + 1)
-    return np.concatenate([[window.mean() * (1 - damped.sum())], damped[::-1]])
+    return lift
 
 
-def _one_step(rows: DataFrame, config: AutoregressiveConfig):
-    terms = [F.lit(1.0)] + [F.col("x")[j] for j in range(config.lookback)]
-    return minmax_inverse(dot(terms, F.col("coef")), F.col("y_min"), F.col("y_max"))
+def _fit(sequences: DataFrame, size: SeriesProfile, config: AutoregressiveConfig) -> DataFrame:
+    rows = clustered(sequences.select("tag", "x", F.col("scaled").alias("z")), ["tag"], size.largest)
+    parts = moments(rows, ["tag"], state_lift(config), largest=size.largest)
+    weights = F.array(F.lit(1e-6), *[F.lit(config.penalty)] * (config.lookback + config.units))
+    return solve(parts.withColumn("penalty", weights), ["tag"])
 
 
 def holdout(
@@ -68,15 +67,20 @@ def holdout(
     scaled = minmax_scale(holdout_split(positioned, config.test_size), size)
     sequences = lag_sequences(scaled, config.lookback, "scaled")
     fitted = _fit(sequences.where(~F.col("is_test")), size, config)
-    rows = attach(sequences.where("is_test"), fitted, size, rows_per_key=10)
-    return rows.select("tag", "ds", F.col("y").alias("actual"), _one_step(rows, config).alias("predicted"))
+    keep = ["tag", "ds", "y", "y_min", "y_max"]
+    scored = predict_lifted(sequences.where("is_test"), fitted, ["tag"], state_lift(config), keep, size)
+    value = minmax_inverse(F.col("score"), F.col("y_min"), F.col("y_max"))
+    return scored.select("tag", "ds", F.col("y").alias("actual"), value.alias("predicted"))
 
 
 def forecast(
     positioned: DataFrame, steps: int, size: SeriesProfile, freq: str,
     config: AutoregressiveConfig = AutoregressiveConfig(),
 ) -> DataFrame:
-    """Recursive forecast from the last ``lookback`` values: one row of state per tag."""
+    """Recursive forecast from the last ``lookback`` values: one row of state per tag.
+
+    Predictions that are fed back stay within the training range and ``REACH`` of its width beyond.
+    """
     whole = positioned.withColumn("is_test", F.lit(False))
     scaled = minmax_scale(whole, size)
     fitted = _fit(lag_sequences(scaled, config.lookback, "scaled"), size, config)
@@ -98,12 +102,11 @@ def forecast(
         for pdf in frames:
             if not len(pdf):
                 continue
-            window, coef = _matrix(pdf["x"]), _matrix(pdf["coef"])
-            coef = np.stack([stabilised(c, w) for c, w in zip(coef, window)])
+            window, coef, lift = _matrix(pdf["x"]), _matrix(pdf["coef"]), state_lift(config)
             path = np.empty((len(pdf), steps))
             for step in range(steps):
-                value = coef[:, 0] + np.einsum("ij,ij->i", window, coef[:, 1:])
-                path[:, step] = value
+                value = np.einsum("ij,ij->i", lift(window), coef)
+                path[:, step] = np.clip(value, -REACH, 1.0 + REACH)
                 window = np.hstack([window[:, 1:], path[:, step : step + 1]])
             pdf["path"] = list(path)
             yield pdf[["tag", "y_min", "y_max", "noise", "last_us", "path"]]
