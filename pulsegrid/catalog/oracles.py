@@ -287,6 +287,32 @@ ORACLES["meta_search_words"] = statement(
     ],
     "SELECT id, external_id, name, CAST(match_rank AS BIGINT) AS match_rank FROM hits WHERE match_rank IS NOT NULL",
 )
+def _grams(text: str) -> str:
+    return (
+        "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(coalesce(" + text + ", '')), '[^a-z0-9]+'),"
+        " lambda w: w <> ''), lambda w: list_transform(range(1, len(w) + 2), lambda k: substring('  ' || w || ' ', k, 3)))))"
+    )
+
+
+ORACLES["meta_search_fuzzy"] = statement(
+    META + [
+        f"en AS (SELECT id, 0 AS field, {_grams('name')} AS g FROM valid UNION ALL SELECT id, 1, {_grams('description')} FROM valid)",
+        "ix AS (SELECT unnest(g) AS gram, id, field, len(g) AS size FROM en)",
+        "tot AS (SELECT count(*) AS entries FROM (SELECT DISTINCT id, field FROM ix))",
+        "qs AS (SELECT id AS query_id, name[1:6] || name[8:] AS query FROM meta WHERE id % 100 = 0)",
+        f"qg AS (SELECT query_id, unnest({_grams('query')}) AS gram FROM qs)",
+        "df AS (SELECT gram, count(*) AS df FROM ix GROUP BY gram)",
+        "wt AS (SELECT query_id, gram, ln(1 + entries / coalesce(df, 1)::DOUBLE) AS w,"
+        " row_number() OVER (PARTITION BY query_id ORDER BY df NULLS LAST, gram) AS place FROM qg LEFT JOIN df USING (gram), tot)",
+        "al AS (SELECT query_id, sum(w) AS whole FROM wt GROUP BY query_id)",
+        "hi AS (SELECT query_id, id, field, any_value(size) AS size, min(place) AS place, round(sum(w) / any_value(whole), 9) AS o"
+        " FROM wt JOIN ix USING (gram) JOIN al USING (query_id) GROUP BY query_id, id, field)",
+        "on1 AS (SELECT * FROM hi WHERE place <= 4 AND o >= 0.5"
+        " QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY o DESC, field) = 1)",
+    ],
+    "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY o DESC, field, size, id) AS rank, id, round(o, 6) AS overlap"
+    " FROM on1 QUALIFY rank <= 20",
+)
 ORACLES["meta_field_filter"] = statement(
     META, "SELECT id, external_id, description FROM valid WHERE external_id LIKE 'Brand1%'"
 )
@@ -642,6 +668,13 @@ ORACLES["sink_replace_tag"] = statement(
     " SELECT tag, time_bucket(INTERVAL '1 hour', ts), CAST(count(*) AS DOUBLE) FROM s"
     " WHERE tag IN ('click', 'view') GROUP BY 1, 2",
 )
+ORACLES["store_change"] = statement(
+    BY_TYPE + [
+        "runs AS (SELECT tag, 'broken' AS phase, count(DISTINCT time_bucket(INTERVAL '1 day', ts)) AS rows FROM s GROUP BY tag"
+        " UNION ALL SELECT tag, 'rerun', count(DISTINCT time_bucket(INTERVAL '12 hours', ts)) FROM s GROUP BY tag)",
+    ],
+    "SELECT phase, name, tag, rows FROM runs, (SELECT unnest(['points', 'nodes']) AS name)",
+)
 ORACLES["sink_upsert_nodes"] = statement(
     NODES,
     "SELECT external_id, view, tag FROM no WHERE NOT (tag = 'click' AND view = 'forecast'"

@@ -22,6 +22,7 @@ from pulsegrid.plans import search as parameter_search
 from pulsegrid.plans import tables
 from pulsegrid.session import configure, scratch_folder, stage
 from pulsegrid.sources import meta, series, sinks
+from pulsegrid.sources.store import Store
 
 Query = Callable[..., DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -137,6 +138,18 @@ def meta_search_words(spark, folder):
     return found.select("id", "external_id", "name", F.col("match_rank").cast("bigint").alias("match_rank"))
 
 
+@query
+def meta_search_fuzzy(spark, folder):
+    """The entries nearest to misspelt names of parts: every hundredth part's name without its third letter."""
+    parts = part_meta(spark, folder)
+    index = stage(meta.trigram_index(parts), "trigrams")
+    asked = parts.where(F.col("id") % 100 == 0).select(
+        F.col("id").alias("query_id"), F.concat(F.substring("name", 1, 6), F.expr("substring(name, 8)")).alias("query"),
+    )
+    found = meta.search_fuzzy(index, asked)
+    return found.select("query_id", F.col("rank").cast("bigint").alias("rank"), "id", F.round(F.round("overlap", 9), 6).alias("overlap"))
+
+
 @query
 def meta_field_filter(spark, folder):
     found = meta.search(part_meta(spark, folder), "", limit=None)
@@ -637,7 +650,32 @@ def sink_replace_tag(spark, folder):
     again = series.scan_aggregate(events.where(F.col("tag").isin("click", "view")), "1h", "count")
     sinks.replace_by_tag(again, path)
     sinks.replace_by_tag(again, path)
-    return spark.read.parquet(path).select("tag", "ts", "value")
+    return sinks.read_rows(spark, path).select("tag", "ts", "value")
+
+
+@query
+def store_change(spark, folder):
+    """Points and node records before a change, after one that broke off between two tables, and after its rerun."""
+    events = events_by_type(spark, folder)
+    results = Store(spark, _folder(spark, "store"))
+    points = {freq: series.scan_aggregate(events, freq, "count") for freq in ("1d", "12h")}
+
+    def nodes(rows):
+        return rows.select(F.concat("tag", F.lit("_"), F.date_format("ts", "yyyyMMddHH")).alias("external_id"), F.lit("forecast").alias("view"), "tag")
+
+    results.begin().replace_by_tag("points", points["1d"]).upsert_nodes("nodes", nodes(points["1d"])).commit()
+    results.begin().replace_by_tag("points", points["12h"])  # ends here: never valid
+
+    def counted(when):
+        parts = [
+            results.read(name).groupBy("tag").count().select(F.lit(when).alias("phase"), F.lit(name).alias("name"), "tag", F.col("count").alias("rows"))
+            for name in ("points", "nodes")
+        ]
+        return stage(ensemble.union(parts), "counted")
+
+    broken = counted("broken")
+    results.begin().replace_by_tag("points", points["12h"]).upsert_nodes("nodes", nodes(points["12h"])).commit()
+    return broken.unionByName(counted("rerun"))
 
 
 @query
@@ -649,7 +687,7 @@ def sink_upsert_nodes(spark, folder):
     sinks.upsert_nodes(nodes, path)
     late = (F.col("view") != "forecast") | (F.col("external_id") >= "click_forecast_20240205")
     sinks.upsert_nodes(nodes.where((F.col("tag") == "click") & late), path)
-    return spark.read.parquet(path).select("external_id", "view", "tag")
+    return sinks.read_rows(spark, path).select("external_id", "view", "tag")
 
 
 # Models --------------------------------------------------------------------------------------
@@ -855,5 +893,5 @@ def publish_report(spark, folder):
     path = _folder(spark, "published")
     found = meta.lookup(asked, part_meta(spark, folder))
     report = plan.publish(health, asked, found, as_of(), path, "2_weeks")
-    points = spark.read.parquet(f"{path}/points").groupBy("tag").agg(F.count("*").alias("points_written"))
+    points = Store(spark, path).read("points").groupBy("tag").agg(F.count("*").alias("points_written"))
     return report.join(points, "tag", "left").withColumn("points_written", F.coalesce("points_written", F.lit(0)))

@@ -23,6 +23,7 @@ from pulsegrid.plans.stages import SeriesStages
 from pulsegrid.session import stage
 from pulsegrid.sources import sinks
 from pulsegrid.sources.series import scan_interpolate, scan_trailing
+from pulsegrid.sources.store import Store
 
 
 COMBINATIONS = (None, "average", "best")
@@ -191,11 +192,11 @@ def failures(requested: DataFrame, health: Health) -> DataFrame:
 def publish(
     health: Health, requested: DataFrame, looked_up: DataFrame, as_of: Column, folder: str, horizon: str,
 ) -> DataFrame:
-    """Write an analysis as tables below ``folder`` and report on every requested tag.
+    """Write an analysis as tables of the store at ``folder`` and report on every requested tag.
 
     ``series`` holds the metadata of the forecast series (of the tags ``looked_up``), ``points`` the
-    forecast values and ``nodes`` the records of the five result tables.  Tags are replaced, so
-    publishing twice is harmless.  A tag without a forecast gets nothing written, but a row in the
+    forecast values and ``nodes`` the records of the five result tables.  They become valid together,
+    and tags are replaced, so publishing twice is harmless.  A tag without a forecast gets nothing written, but a row in the
     report with the reason; it holds up no other tag.  The report is derived from staged tables, so it
     says what was written.
     """
@@ -203,13 +204,14 @@ def publish(
     model = health.scores.select("tag", F.col("model").alias("_model"))
     found = looked_up.join(failed, "tag", "left_anti").join(model, "tag")
     own = sinks.forecast_series(found, F.col("_model"), horizon)
-    sinks.replace_by_tag(own.withColumn("tag", F.col("metadata")["base_tag"]), f"{folder}/series")
+    change = Store(own.sparkSession, folder).begin()
+    change.replace_by_tag("series", own.withColumn("tag", F.col("metadata")["base_tag"]))
     points = sinks.forecast_points(health.forecast.join(failed, "tag", "left_anti"))
-    sinks.replace_by_tag(points, f"{folder}/points")
+    change.replace_by_tag("points", points)
     results = result_tables(health, as_of)
     nodes = tables.node_records(
         results["forecast"], results["rate_change"], health.summary, results["ttf_summary"], health.events, as_of,
     )
     nodes = stage(nodes.join(failed, "tag", "left_anti"), "nodes")
-    sinks.upsert_nodes(nodes, f"{folder}/nodes")
+    change.upsert_nodes("nodes", nodes).commit()
     return tables.run_report(requested.select("tag").distinct(), nodes, failed)

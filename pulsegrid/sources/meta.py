@@ -84,6 +84,59 @@ def search(meta: DataFrame, query: str = "", limit: int | None = None, exact_mat
     return unique if limit is None else unique.orderBy("match_rank", "id").limit(limit)
 
 
+def trigrams(text: Column) -> Column:
+    """The distinct trigrams of each word of a text, in small letters, with two blanks before and one behind a word."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
+    padded = F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    grams = F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda k: F.substring(w, k, F.lit(3))))
+    return F.array_distinct(F.flatten(grams))
+
+
+def trigram_index(meta: DataFrame) -> DataFrame:
+    """``(gram, id, field, size)``: the inverted index of names (field 0) and descriptions (field 1).
+
+    ``size`` is the number of trigrams of the entry's text.  Written once (partitioned or bucketed by
+    ``gram`` as a table), it serves any number of searches.
+    """
+    valid = meta.where(has_valid_id(F.col("external_id")))
+    texts = valid.select("id", F.inline(F.array(*[
+        F.struct(F.lit(k).alias("field"), trigrams(F.col(c)).alias("grams")) for k, c in enumerate(("name", "description"))
+    ])))
+    return texts.select(F.explode("grams").alias("gram"), "id", "field", F.size("grams").alias("size")).distinct()
+
+
+def search_fuzzy(
+    index: DataFrame, queries: DataFrame, least: float = 0.5, rare: int = 4, limit: int = 20,
+) -> DataFrame:
+    """``(query_id, rank, id, field, overlap)``: the entries nearest to each of ``(query_id, query)``.
+
+    A trigram weighs ``ln(1 + entries / entries that hold it)``.  ``overlap`` is the weight that a
+    query shares with an entry's text over the query's whole weight; entries of ``least`` or more are
+    ranked by it, names before descriptions, then texts with fewer trigrams, then ids.  Candidates come
+    from the ``rare`` rarest trigrams of a query that the index has, so they are what shares one of these;
+    common trigrams only add to the weight of candidates.  Each entry is listed once, with its better
+    field.  Trigrams that no entry has weigh as if one had them.  The names are not read: the plan
+    joins the index to the queries' trigrams.  NULL and empty queries find nothing.
+    """
+    asked = queries.select("query_id", F.explode(trigrams(F.col("query"))).alias("gram"))
+    entries = index.select("id", "field").distinct().count()
+    held = index.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
+    weight = F.ln(1 + F.lit(entries) / F.coalesce("df", F.lit(1)))
+    own = Window.partitionBy("query_id")
+    weighed = asked.join(held, "gram", "left").withColumn("weight", weight).withColumns({
+        "whole": F.sum("weight").over(own),
+        "place": F.row_number().over(own.orderBy(F.col("df").isNull(), "df", "gram")),
+    })
+    hits = index.join(weighed, "gram").groupBy("query_id", "id", "field").agg(
+        (F.sum("weight") / F.first("whole")).alias("overlap"), F.min("place").alias("place"), F.first("size").alias("size"),
+    ).where((F.col("place") <= rare) & (F.round("overlap", 9) >= least))
+    order = [F.desc(F.round("overlap", 9)), F.col("field"), F.col("size"), F.col("id")]
+    once = Window.partitionBy("query_id", "id").orderBy(*order[:2])
+    best = hits.withColumn("_own", F.row_number().over(once)).where("_own = 1")
+    ranked = best.withColumn("rank", F.row_number().over(own.orderBy(*order))).where(F.col("rank") <= limit)
+    return ranked.select("query_id", "rank", "id", "field", "overlap")
+
+
 def field_filter(found: DataFrame, field: str | None, prefixes: dict[str, str]) -> DataFrame:
     """Keep series whose id starts with the prefix of ``field``; an unknown field keeps all."""
     prefix = prefixes.get(field, "") if field else ""

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.session import stage
 from pulsegrid.sources.meta import FORECAST_PREFIX
-
-BUCKETS = 256
+from pulsegrid.sources.store import Store
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -47,63 +43,24 @@ def forecast_series(looked_up: DataFrame, model: str | Column, horizon: str) ->
     )
 
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("tag"), F.lit(BUCKETS)).cast("int")
-
-
-def _write_buckets(df: DataFrame, path: str) -> None:
-    """One directory per bucket of tags, so the number of files does not grow with the tags.
-
-    The rebalance hint lets large buckets be written by several tasks.
-    """
-    (
-        df.hint("rebalance", "bucket").write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    )
-
-
-def _existing(df: DataFrame, path: str) -> DataFrame | None:
-    hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-    system = hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
-    if not system.exists(hadoop):
-        return None
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _merge(new: DataFrame, path: str, outdated: Callable[[DataFrame], list[DataFrame]]) -> None:
-    """Write ``new`` and whatever the table's touched buckets hold beside the ``outdated`` rows.
-
-    ``outdated`` names them from the new rows, as tables of column values.
-    """
-    fresh = stage(new.withColumn("bucket", _bucket()), "fresh")
-    old = _existing(fresh, path)
-    if old is None:
-        _write_buckets(fresh, path)
-        return
-    touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most BUCKETS
-    kept = old.where(F.col("bucket").isin(touched))
-    for values in outdated(fresh):
-        kept = kept.join(values.distinct(), values.columns, "left_anti")
-    _write_buckets(stage(kept.unionByName(fresh), "merged"), path)
+#: The table that these functions keep in a store of its own.
+ROWS = "rows"
 
 
 def replace_by_tag(points: DataFrame, path: str) -> None:
     """Write points, replacing everything the table holds for the same tags.
 
-    Only the buckets of those tags are rewritten, and writing the same points twice is harmless.
+    Only the buckets of those tags are rewritten, readers see the old rows or the new ones, and
+    writing the same points twice is harmless.
     """
-    _merge(points, path, lambda fresh: [fresh.select("tag")])
+    Store(points.sparkSession, path).begin().replace_by_tag(ROWS, points).commit()
 
 
 def upsert_nodes(nodes: DataFrame, path: str) -> None:
-    """Write node records by id, one row for each; a tag's earlier forecast nodes are dropped first.
+    """Write node records by id, one row for each; a tag's earlier forecast nodes are dropped first."""
+    Store(nodes.sparkSession, path).begin().upsert_nodes(ROWS, nodes).commit()
 
-    Of new records with one id, the one whose other columns come last in order is kept.
-    """
-    rest = [c for c in nodes.columns if c != "external_id"]
-    last = nodes.groupBy("external_id").agg(F.max(F.struct(*rest)).alias("_last"))
-    nodes = last.select(*[F.col(c) if c == "external_id" else F.col(f"_last.{c}") for c in nodes.columns])
-    _merge(nodes, path, lambda fresh: [
-        fresh.select("external_id"),
-        fresh.where(F.col("view") == "forecast").select("tag", "view"),
-    ])
+
+def read_rows(spark: SparkSession, path: str) -> DataFrame | None:
+    """What ``replace_by_tag`` or ``upsert_nodes`` last made valid."""
+    return Store(spark, path).read(ROWS)

@@ -75,7 +75,7 @@ def test_replace_is_idempotent(make, spark):
     sinks.replace_by_tag(make({"a": [(0, 1), (1, 2)], "b": [(0, 3)]}), path)
     for _ in range(2):
         sinks.replace_by_tag(make({"a": [(7, 9)], "c": [(0, 4)]}), path)
-    found = sorted((r["tag"], r["value"]) for r in spark.read.parquet(path).collect())
+    found = sorted((r["tag"], r["value"]) for r in sinks.read_rows(spark, path).collect())
     assert found == [("a", 9.0), ("b", 3.0), ("c", 4.0)]
 
 
