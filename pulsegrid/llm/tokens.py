@@ -22,8 +22,8 @@ from pulsegrid.session import scratch_folder, stage
 
 END_ID = 0
 SHARD_TOKENS = 1 << 22
-HELD_PIECES = 1 << 20
-HELD_CHARACTERS = 1 << 25
+HELD_PIECES = 1 << 21
+HELD_CHARACTERS = 1 << 26
 MANIFEST = "part int, seq int, path string, documents long, tokens long, bytes long"
 
 
