@@ -8,6 +8,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -55,6 +56,7 @@ class Encoder:
 
     def _clear(self) -> None:
         self._seen: dict[str, int] = {}  # a piece without the space before it -> its entry
+        self._heads: dict[str, int] = {}  # what stands before a text's first cut -> its entry
         self._flat, self._bounds = np.zeros(1 << 16, np.uint32), np.zeros(1 << 15, np.int64)
         self._held = 0
 
@@ -73,16 +75,27 @@ class Encoder:
         else:
             sizes = np.diff(starts, append=len(raw))
         ends = np.searchsorted(np.cumsum(self._bytes[ids]), np.cumsum(sizes)) + 1
-        known = len(self._seen)
+        self._seen.update(zip(pieces, self._entries(ids, ends)))
+        self._held += len(raw)
+
+    def _learn_heads(self, heads: list[str]) -> None:
+        """Entries for new heads, each encoded by itself."""
+        found = self._raw(heads)
+        if heads:
+            self._heads.update(zip(heads, self._entries(np.concatenate(found), np.cumsum([len(f) for f in found]))))
+            self._held += sum(map(len, heads))
+
+    def _entries(self, ids: np.ndarray, ends: np.ndarray) -> range:
+        """Numbers of new entries, which hold ``ids`` up to each of ``ends``."""
+        known = len(self._seen) + len(self._heads)
         first = int(self._bounds[known])
         while first + len(ids) > len(self._flat):
             self._flat = np.concatenate([self._flat, np.zeros_like(self._flat)])
-        while known + len(pieces) >= len(self._bounds):
+        while known + len(ends) >= len(self._bounds):
             self._bounds = np.concatenate([self._bounds, np.zeros_like(self._bounds)])
         self._flat[first:first + len(ids)] = ids
-        self._bounds[known + 1:known + 1 + len(pieces)] = first + ends
-        self._seen.update(zip(pieces, range(known, known + len(pieces))))
-        self._held += int(sizes.sum())
+        self._bounds[known + 1:known + 1 + len(ends)] = first + ends
+        return range(known, known + len(ends))
 
     @staticmethod
     def _cut_before(piece: str) -> bool:
@@ -115,16 +128,21 @@ class Encoder:
         cuts = [self._cut(texts[k]) for k in rest]
         missing = {pieces[g] for _, pieces, _, gaps in cuts for g in gaps}
         self._learn([p for p in missing if p not in self._seen])
-        for k, head, (_, pieces, found, gaps) in zip(rest, self._raw([cut[0] for cut in cuts]), cuts):
+        self._learn_heads(list({cut[0] for cut in cuts} - self._heads.keys()))
+        for _, pieces, found, gaps in cuts:
             for g in gaps:
                 found[g] = self._seen[pieces[g]]
-            entries = np.array(found, np.int64)
-            starts = self._bounds[entries]
-            lengths = self._bounds[entries + 1] - starts
-            ends = np.cumsum(lengths)
-            places = np.repeat(starts - (ends - lengths), lengths)
-            places += np.arange(len(places))
-            out[k] = np.concatenate([head, self._flat[places]])
+        sizes = [1 + len(pieces) for _, pieces, _, _ in cuts]
+        rows = chain.from_iterable(chain((self._heads[head],), found) for head, _, found, _ in cuts)
+        entries = np.fromiter(rows, np.int64, sum(sizes))
+        starts = self._bounds[entries]
+        lengths = self._bounds[entries + 1] - starts
+        ends = np.cumsum(lengths)
+        places = np.repeat(starts - (ends - lengths), lengths)
+        places += np.arange(len(places))
+        ids, last = self._flat[places], np.cumsum(sizes, dtype=np.int64) - 1
+        bounds = [0, *ends[last].tolist()]
+        out.update((k, ids[a:b]) for k, a, b in zip(rest, bounds, bounds[1:]))
         return [out[k] for k in range(len(texts))]
 
 
