@@ -32,8 +32,8 @@ def feature_frame(
 
 
 def train_length(n: Column, test_size: float = TEST_SHARE, clamp: bool = False) -> Column:
-    """Rows in the training part: the first 80 %; the search keeps >= 50 and leaves >= 10."""
-    split = F.floor(n * F.lit(1.0 - test_size)).cast("bigint")
+    """Rows in the training part: the first 80 %, one at least; the search keeps >= 50 and leaves >= 10."""
+    split = F.greatest(F.lit(1), F.floor(n * F.lit(1.0 - test_size))).cast("bigint")
     return F.greatest(F.lit(50), F.least(n - 10, split)) if clamp else split
 
 
