@@ -812,6 +812,54 @@ ORACLES["search_split"] = statement(
     ],
     "SELECT tag, part, count(*) AS rows, min(ds) AS first_ds, max(ds) AS last_ds FROM parts WHERE part IS NOT NULL GROUP BY tag, part",
 )
+_NEAR = "exp(-pow((a - at_a) / (1 / (1 + sqrt({n}))), 2) / 2) / ((1 / (1 + sqrt({n}))) * sqrt(2 * pi()))"
+ORACLES["search_density"] = statement(
+    [
+        "tr AS (SELECT CAST(o_custkey AS VARCHAR) AS tag, dayofyear(o_orderdate) / 366.0::DOUBLE AS a,"
+        " CAST(substr(o_orderpriority, 1, 1) AS INT) - 1 AS b, count(*) OVER (PARTITION BY o_custkey) AS n,"
+        " row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, CAST(o_orderkey AS VARCHAR)) AS p FROM orders)",
+        "gr AS (SELECT *, p <= ceil(n / 3.0) AS good, ceil(n / 3.0)::BIGINT AS ng, n - ceil(n / 3.0)::BIGINT AS nr FROM tr)",
+        "pt AS (SELECT * FROM (VALUES (0.25::DOUBLE, 0), (0.5, 1), (0.75, 4)) AS v(at_a, at_b))",
+        "dn AS (SELECT tag, at_a, any_value(ng) AS ng, any_value(nr) AS nr,"
+        f" (1 + coalesce(sum({_NEAR.format(n='ng')}) FILTER (good), 0)) / (any_value(ng) + 1) AS ga,"
+        f" (1 + coalesce(sum({_NEAR.format(n='nr')}) FILTER (NOT good), 0)) / (any_value(nr) + 1) AS ra,"
+        " (1.0 + count(*) FILTER (good AND b = at_b)) / (any_value(ng) + 5) AS gb,"
+        " (1.0 + count(*) FILTER (NOT good AND b = at_b)) / (any_value(nr) + 5) AS rb FROM gr CROSS JOIN pt GROUP BY tag, at_a)",
+    ],
+    "SELECT tag, at_a AS season, ng AS good, nr AS rest, round(ln(ga) - ln(ra) + ln(gb) - ln(rb), 6) AS preference FROM dn",
+)
+ORACLES["search_importance"] = statement(
+    [
+        "tr AS (SELECT l_returnflag AS tag, CAST(l_extendedprice AS DOUBLE) AS loss,"
+        " least(floor((CAST(l_quantity AS DOUBLE) - 1.0::DOUBLE) / 49.0::DOUBLE * 4), 3) AS quantity,"
+        " least(floor(CAST(l_discount AS DOUBLE) * 10.0::DOUBLE * 4), 3) AS discount,"
+        " CASE WHEN l_linestatus = 'O' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS status FROM lineitem)",
+        "un AS (UNPIVOT tr ON quantity, discount, status INTO NAME setting VALUE level)",
+        "me AS (SELECT *, avg(loss) OVER (PARTITION BY tag, setting, level) AS lm, avg(loss) OVER (PARTITION BY tag, setting) AS tm FROM un)",
+        "ex AS (SELECT tag, setting, count(*) AS trials, sum(pow(lm - tm, 2)) / sum(pow(loss - tm, 2)) AS explained FROM me GROUP BY tag, setting)",
+    ],
+    "SELECT tag, setting, trials, round(explained, 6) AS explained,"
+    " round(coalesce(explained / nullif(sum(explained) OVER (PARTITION BY tag), 0), 0), 6) AS share FROM ex",
+)
+ORACLES["search_rung_rows"] = statement(
+    HOURLY + [
+        f"cut AS (SELECT tag, {TRAIN_LENGTH} AS k FROM pos WHERE i = 0)",
+        "ln AS (SELECT tag, k, greatest(50, least(k - 10, greatest(1, CAST(floor(k * 8e-1) AS BIGINT)))) AS t FROM cut)",
+        "ru AS (SELECT * FROM (VALUES (0, 9, 9), (1, 3, 3), (2, 1, 1)) AS v(rung, trials, part_of))",
+        "le AS (SELECT *, least(t, greatest(50, CAST(ceil(t / CAST(part_of AS DOUBLE)) AS BIGINT))) AS m FROM ln CROSS JOIN ru)",
+    ],
+    "SELECT tag, rung::BIGINT AS rung, unnest(['train', 'validation']) AS part, trials::BIGINT AS trials,"
+    " unnest([trials * m, trials * (k - t)])::BIGINT AS rows, m AS length, 0::BIGINT AS first_i FROM le",
+)
+ORACLES["search_rounds"] = statement(
+    HOURLY + [
+        "mo AS (SELECT unnest(['boosted_trees', 'random_forest', 'kernel', 'additive']) AS model)",
+        "ru AS (SELECT * FROM (VALUES (0, 6), (1, 2), (2, 1)) AS v(rung, trials))",
+        "tu AS (SELECT unnest([0, 1]) AS round)",
+    ],
+    "SELECT DISTINCT tag, round, rung, model, trials::BIGINT AS trials, trials::BIGINT AS good_trials"
+    " FROM pos CROSS JOIN mo CROSS JOIN ru CROSS JOIN tu",
+)
 ORACLES["asset_health_best"] = statement(
     ON_GRID + CLEAN + SIGMA + fits() + [
         f"cn AS (SELECT tag, count(*) AS total_count, count(*) - count(*) FILTER ({INSIDE}) AS removed_count FROM s JOIN b USING (tag) GROUP BY tag)",

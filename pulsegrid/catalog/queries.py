@@ -17,6 +17,7 @@ from pulsegrid.models.frames import full_frames, holdout_frames
 from pulsegrid.models.trend import TrendConfig
 from pulsegrid.operators import clean, ensemble, evaluate, features, rate, resample, sigma, trend, ttf
 from pulsegrid.operators.joins import attach, profile
+from pulsegrid.plans import adaptive
 from pulsegrid.plans import health as plan
 from pulsegrid.plans import search as parameter_search
 from pulsegrid.plans import tables
@@ -858,6 +859,74 @@ def search_split(spark, folder):
     return ensemble.union(parts)
 
 
+ORDER_SPACE = {"season": (0.0, 1.0, "float"), "urgency": [1, 2, 3, 4, 5]}
+LINE_SPACE = {"quantity": (0.0, 1.0, "float"), "discount": (0.0, 1.0, "float"), "status": ["F", "O"]}
+
+
+@query
+def search_density(spark, folder):
+    """Orders as trials of their customers: how much more a place is liked by the cheapest third than by the rest."""
+    u = F.array(
+        F.dayofyear("o_orderdate") / F.lit(366.0), (F.substring("o_orderpriority", 1, 1).cast("int") - 1).cast("double"),
+    )
+    trials = table(spark, folder, "orders").select(
+        F.col("o_custkey").cast("string").alias("tag"), F.col("o_orderkey").cast("string").alias("fold"),
+        F.lit(0).alias("rung"), F.col("o_totalprice").cast("double").alias("loss"), u.alias("u"),
+    )
+    points = F.explode(F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in ((0.25, 0.0), (0.5, 1.0), (0.75, 4.0))]))
+    told = adaptive.split_trials(trials).withColumn("at", points)
+    liked = adaptive.preference(F.col("good"), F.col("rest"), [F.col("at")[0], F.col("at")[1]], ORDER_SPACE)
+    counts = [F.size(part).cast("bigint").alias(part) for part in ("good", "rest")]
+    told = told.withColumn("preference", F.round(liked, 6))
+    return told.select("tag", F.col("at")[0].alias("season"), *counts, "preference")
+
+
+@query
+def search_importance(spark, folder):
+    """Order lines as trials, their price as the loss: what each of three settings explains."""
+    trials = table(spark, folder, "lineitem").select(
+        F.col("l_returnflag").alias("tag"), F.col("l_extendedprice").cast("double").alias("loss"),
+        F.array(
+            (F.col("l_quantity").cast("double") - 1.0) / 49.0, F.col("l_discount").cast("double") * 10.0,
+            (F.col("l_linestatus") == "O").cast("double"),
+        ).alias("u"),
+    )
+    return rounded(adaptive.importance(trials, LINE_SPACE))
+
+
+@query
+def search_rung_rows(spark, folder):
+    """Rows that every rung of a round copies for training and validation."""
+    c = cleaned(events_by_type(spark, folder))
+    pos, settings = parameter_search.searchable(c.prepared("1h")), adaptive.SearchPlan()
+    tags, none = pos.select("tag").distinct(), spark.createDataFrame([], adaptive.HISTORY)
+    batch = stage(adaptive.propose(tags, none, parameter_search.SPACES["kernel"], settings, 0), "proposed")
+    parts = []
+    for rung, (count, share) in enumerate(settings.rungs):
+        alive = adaptive.promoted(batch.withColumn("loss", F.lit(0.0)), count)
+        for part, frame in zip(("train", "validation"), adaptive.rung_frames(pos, alive, share, c.size, settings.batch)):
+            parts.append(frame.groupBy("tag").agg(
+                F.lit(rung).cast("bigint").alias("rung"), F.lit(part).alias("part"), F.count_distinct("fold").alias("trials"),
+                F.count("*").alias("rows"), F.max("n").alias("length"), F.min("i").alias("first_i"),
+            ))
+    return ensemble.union(parts)
+
+
+@query
+def search_rounds(spark, folder):
+    """Trials by the rung that they reached, in two rounds for each of the four model spaces."""
+    c = cleaned(events_by_type(spark, folder))
+    pos, settings = parameter_search.searchable(c.prepared("1h")), adaptive.SearchPlan(rounds=2)
+    parts = []
+    for model, space in parameter_search.SPACES.items():
+        found = adaptive.adaptive_search(model, pos, "1h", c.size, settings)
+        inside = F.forall("u", lambda x: x >= 0)
+        parts.append(found.withColumn("_good", _all(_sound(F.col("loss")), inside)).groupBy("tag", "round", "rung").agg(
+            F.lit(model).alias("model"), F.count("*").alias("trials"), F.count_if("_good").alias("good_trials"),
+        ))
+    return ensemble.union(parts)
+
+
 # The whole analysis --------------------------------------------------------------------------
 
 

@@ -45,8 +45,14 @@ def holdout_frames(
     )
 
 
+def setting_keys(settings: DataFrame) -> list[str]:
+    """The keys of a settings table: ``fold`` (a search trial), ``tag``, or both (a tag's own trials)."""
+    return [k for k in KEYS if k in settings.columns]
+
+
 def with_settings(frame: DataFrame, settings: DataFrame, size: SeriesProfile) -> DataFrame:
-    """Join settings keyed by ``fold`` (one row per search trial) or by ``tag``."""
-    if "tag" in settings.columns:
-        return attach(frame, settings, size)
+    """Join settings; those that differ by tag may be as many as the groups that ``size`` tells of."""
+    keys = setting_keys(settings)
+    if "tag" in keys:
+        return attach(frame, settings, size, tuple(keys))
     return frame.join(F.broadcast(settings), "fold")

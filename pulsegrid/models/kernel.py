@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.timeops import CALENDAR_NAMES
-from pulsegrid.models.frames import KEYS, with_settings
+from pulsegrid.models.frames import KEYS, setting_keys, with_settings
 from pulsegrid.models.ridge import SLICE_ROWS, _matrix, clustered, moments, predict_lifted
 from pulsegrid.operators.features import feature_frame, future_time_index
 from pulsegrid.operators.joins import SeriesProfile, attach
@@ -223,9 +223,9 @@ def _fitted(train: DataFrame, future: DataFrame, size: SeriesProfile, config: Ke
 
     def settings(frame):
         if trials is not None:
-            key = "tag" if "tag" in trials.columns else "fold"
+            keys = setting_keys(trials)
             told = trials if "epsilon" in trials.columns else trials.withColumn("epsilon", F.lit(config.epsilon))
-            return with_settings(frame, told.select(key, *names), size)
+            return with_settings(frame, told.select(*keys, *names), size)
         return frame.select("*", *[F.lit(asdict(config)[k]).alias(k) for k in names])
 
     rows = feature_frame(settings(train))

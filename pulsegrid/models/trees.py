@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.timeops import CALENDAR_NAMES, calendar_features
-from pulsegrid.models.frames import KEYS, with_settings
+from pulsegrid.models.frames import KEYS, setting_keys, with_settings
 from pulsegrid.operators.joins import SeriesProfile
 from pulsegrid.session import stage
 
@@ -313,8 +313,8 @@ def fit_predict(
     cells = training_cells(train).unionByName(ahead)
     if trials is not None:
         own = [n for n in names if n in trials.columns]
-        key = "tag" if "tag" in trials.columns else "fold"
-        cells = with_settings(cells, trials.select(key, *own), size)
+        keys = setting_keys(trials)
+        cells = with_settings(cells, trials.select(*keys, *own), size)
         names, fixed = own, {n: v for n, v in asdict(config).items() if n not in own}
     else:
         names, fixed = [], asdict(config)

@@ -74,19 +74,26 @@ def trial_table(spark: SparkSession, model: str, settings: list[dict]) -> DataFr
     return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], names)
 
 
-def _validated(model, positioned, freq, size, settings) -> DataFrame:
+def fit_trials(
+    model: str, train: DataFrame, test: DataFrame, freq: str, size: SeriesProfile, trials: DataFrame, space: dict,
+) -> DataFrame:
+    """Fit and predict frames that have one ``fold`` per trial, with the settings table ``trials``."""
+    if model == "additive":
+        if "interval_width" not in trials.columns:
+            trials = trials.withColumn("interval_width", F.lit(0.9))
+        top = space["n_changepoints"][1]
+        return additive.fit_predict(train, test, size, freq, trials=trials, changepoints=top)
+    if model == "kernel":
+        return kernel.fit_predict(train, test, size, freq, trials=trials)
+    return trees.fit_predict(train, test, size, freq, TREE_CONFIGS[model], trials)
+
+
+def _validated(model, positioned, freq, size, settings, space) -> DataFrame:
     train, test = holdout_frames(positioned, clamp=True)
-    spark = positioned.sparkSession
-    trials = trial_table(spark, model, settings)
+    trials = trial_table(positioned.sparkSession, model, settings)
     folds = F.explode(F.array(*[F.lit(f"{k:04d}") for k in range(len(settings))]))
     train, test = train.withColumn("fold", folds), test.withColumn("fold", folds)
-    many = size.with_groups(len(settings))
-    if model == "additive":
-        top = max(s["n_changepoints"] for s in settings)
-        return additive.fit_predict(train, test, many, freq, trials=trials, changepoints=top)
-    if model == "kernel":
-        return kernel.fit_predict(train, test, many, freq, trials=trials)
-    return trees.fit_predict(train, test, many, freq, TREE_CONFIGS[model], trials)
+    return fit_trials(model, train, test, freq, size.with_groups(len(settings)), trials, space)
 
 
 def search(
@@ -97,7 +104,7 @@ def search(
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {', '.join(METRICS)}")
     settings = sample_trials(model, trials, seed, space)
-    predicted = _validated(model, positioned, freq, size, settings)
+    predicted = _validated(model, positioned, freq, size, settings, space or SPACES[model])
     scores = predicted.groupBy("tag", "fold").agg(*error_metrics(F.col("actual"), F.col("yhat")))
     value = F.col(metric)
     loss = F.when(value.isNull() | F.isnan(value), float("inf")).otherwise(value)
