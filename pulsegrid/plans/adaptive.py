@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.score import error_metrics
 from pulsegrid.models.frames import holdout_frames
 from pulsegrid.operators.joins import SeriesProfile, attach
-from pulsegrid.plans.search import METRICS, SPACES, fit_trials
+from pulsegrid.plans.search import METRICS, SPACES, fit_trials, searchable
 from pulsegrid.session import stage
 
 LEAST_ROWS = 50  # a rung trains on at least so many rows, as far as there are
@@ -221,6 +221,20 @@ def best_trials(history: DataFrame, space: dict) -> DataFrame:
     return first.select("tag", "fold", "loss", *settings_of(F.col("u"), space))
 
 
+def tune_adaptively(
+    model: str, positioned: DataFrame, freq: str, size: SeriesProfile, plan: SearchPlan, metric: str = "rmse",
+) -> DataFrame | None:
+    """Every tag's own best settings as a table; None for a model without a space.
+
+    As with random trials, the rows that will score the winner play no part.
+    """
+    if model not in SPACES:
+        return None
+    history = adaptive_search(model, searchable(positioned), freq, size, plan, metric)
+    best = best_trials(history, SPACES[model]).drop("fold", "loss")
+    return stage(best.withColumn("interval_width", F.lit(0.9)) if model == "additive" else best, "settings")
+
+
 def importance(history: DataFrame, space: dict, bins: int = 4) -> DataFrame:
     """``(tag, setting, trials, explained, share)``: variance of the loss that a setting explains alone.
 

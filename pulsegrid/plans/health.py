@@ -18,6 +18,7 @@ from pulsegrid.operators.rate import rates_long
 from pulsegrid.operators.sigma import sigma_counts, sigma_events
 from pulsegrid.operators.ttf import breaches_long, first_breach_wide, slope_sides, slope_ttf
 from pulsegrid.plans import tables
+from pulsegrid.plans.adaptive import SearchPlan, tune_adaptively
 from pulsegrid.plans.search import tune
 from pulsegrid.plans.stages import SeriesStages
 from pulsegrid.session import stage
@@ -39,6 +40,7 @@ class Analysis:
     horizon_days: int = 84
     freq: str = "1h"
     search_trials: int = 0
+    search_plan: SearchPlan | None = None  # an adaptive search, used if there are no random trials
     configs: dict[str, Any] = field(default_factory=dict)
 
 
@@ -119,6 +121,9 @@ def analyse(
         for m in analysis.models:
             config, settings = tune(m, prepared, freq, size, analysis.search_trials)
             chosen[m] = (config or chosen[m][0], settings)
+    elif analysis.search_plan:
+        for m in analysis.models:
+            chosen[m] = (chosen[m][0], tune_adaptively(m, prepared, freq, size, analysis.search_plan))
     holdouts = ensemble.union([
         holdout(m, prepared, freq, size, c, settings=s) for m, (c, s) in chosen.items()
     ])
