@@ -583,14 +583,16 @@ ORACLES["cv_folds"] = statement(
         for part, source in (("train", "cvtr"), ("test", "cvte"))
     ),
 )
+FOLD_ERRORS = [
+    "cs AS (SELECT tag, cutoff, max(n) AS n, avg(y) AS mean, stddev_pop(y) AS std,"
+    " CASE WHEN max(n) > 168 THEN regr_slope(CASE WHEN i >= n - 168 THEN y END, i) ELSE 0 END AS slope,"
+    " arg_max(y, i) AS last FROM cvtr GROUP BY tag, cutoff)",
+    "cp AS (SELECT tag, cutoff, y, std, mean, last, slope, date_diff('day', cutoff, ds) - 1 AS i"
+    " FROM cvte JOIN cs USING (tag, cutoff))",
+    f"cq AS (SELECT tag, cutoff, i, y, std, {TREND} AS yhat FROM cp)",
+]
 ORACLES["cv_trend"] = statement(
-    ORDERS_DAILY + FOLDS + [
-        "cs AS (SELECT tag, cutoff, max(n) AS n, avg(y) AS mean, stddev_pop(y) AS std,"
-        " CASE WHEN max(n) > 168 THEN regr_slope(CASE WHEN i >= n - 168 THEN y END, i) ELSE 0 END AS slope,"
-        " arg_max(y, i) AS last FROM cvtr GROUP BY tag, cutoff)",
-        "cp AS (SELECT tag, cutoff, y, std, mean, last, slope, date_diff('day', cutoff, ds) - 1 AS i"
-        " FROM cvte JOIN cs USING (tag, cutoff))",
-        f"cq AS (SELECT tag, cutoff, y, std, {TREND} AS yhat FROM cp)",
+    ORDERS_DAILY + FOLDS + FOLD_ERRORS + [
         f"cm AS (SELECT tag, cutoff, {METRICS.format('y', 'yhat')},"
         " avg(CASE WHEN abs(y - yhat) <= std * 1.6448536269514722 THEN 1.0 ELSE 0.0 END) AS coverage FROM cq GROUP BY tag, cutoff)",
     ],
@@ -598,9 +600,34 @@ ORACLES["cv_trend"] = statement(
         f"round(avg({m}), 3) AS {m}_mean, round(stddev_samp({m}), 3) AS {m}_std" for m in ("mae", "rmse", "mape")
     ) + ", round(avg(coverage), 3) AS coverage FROM cm GROUP BY tag",
 )
+ORACLES["cv_trend_sums"] = ORACLES["cv_trend"]
+# Residuals one by one in order of their step; a window of w residuals ends with each step, and the residuals of
+# the step in which it begins count alike, in part.
+HORIZON = FOLD_ERRORS + [
+    "er AS (SELECT tag, i, abs(yhat - y) AS mae, pow(yhat - y, 2) AS rmse, abs(yhat - y) / greatest(abs(y), 2.220446049250313e-16) AS mape,"
+    " CASE WHEN abs(y - yhat) <= std * 1.6448536269514722 THEN 1.0 ELSE 0.0 END AS coverage FROM cq)",
+    "st AS (SELECT tag, i, count(*) AS points, avg(mae) AS mae, avg(rmse) AS rmse, avg(mape) AS mape, avg(coverage) AS coverage FROM er GROUP BY tag, i)",
+    "cn AS (SELECT *, sum(points) OVER (PARTITION BY tag ORDER BY i) AS hi,"
+    " greatest(1, floor(sum(points) OVER (PARTITION BY tag) * 1e-1)) AS w FROM st)",
+    "pr AS (SELECT a.tag, a.i, a.points, a.w, greatest(0, least(a.hi, b.hi) - greatest(a.hi - a.w, b.hi - b.points)) AS part,"
+    " b.mae, b.rmse, b.mape, b.coverage FROM cn a JOIN cn b ON a.tag = b.tag AND b.i <= a.i WHERE a.hi >= a.w)",
+    "hz AS (SELECT tag, i, any_value(points) AS points, sum(part * mae) / any_value(w) AS mae, sqrt(sum(part * rmse) / any_value(w)) AS rmse,"
+    " sum(part * mape) / any_value(w) AS mape, sum(part * coverage) / any_value(w) AS coverage FROM pr GROUP BY tag, i)",
+]
+ORACLES["cv_horizon"] = statement(
+    ORDERS_DAILY + FOLDS + HORIZON,
+    "SELECT tag, i, points, round(mae, 3) AS mae, round(rmse, 3) AS rmse, round(mape, 3) AS mape, round(coverage, 3) AS coverage FROM hz",
+)
 
 # Time to failure and result tables -----------------------------------------------------------
 
+ORACLES["cv_horizon_summary"] = statement(
+    LINES_DAILY + FOLDS + HORIZON,
+    "SELECT tag, count(*) AS steps, " + ", ".join(
+        f"round(avg({m}), 3) AS {m}_mean, round(stddev_samp({m}), 3) AS {m}_std" for m in ("mae", "rmse", "mape")
+    ) + ", round(avg(coverage), 3) AS coverage FROM hz GROUP BY tag",
+)
+
 ORACLES["ttf_first_breach"] = statement(
     LINES_DAILY + SIGMA + forecasts("1 day", 180, ONE) + breach_wide(), "SELECT * FROM bl"
 )

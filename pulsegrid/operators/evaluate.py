@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.score import category, colour, composite_score, error_metrics, nmse
-from pulsegrid.functions.timeops import DAY, freq_us, from_us, to_us
+from pulsegrid.operators import origins
 from pulsegrid.operators.joins import SeriesProfile, attach
+from pulsegrid.session import stage
 
 
 def forecast_metrics(holdout: DataFrame, keys: tuple[str, ...] = ("tag", "model")) -> DataFrame:
@@ -82,43 +83,20 @@ def parity_range(holdout: DataFrame, padding: float = 0.05) -> DataFrame:
     )
 
 
-def cv_cutoffs(
-    positioned: DataFrame, initial_days: int = 30, period_days: int = 7, horizon_days: int = 7
-) -> DataFrame:
-    """Cutoffs of each tag, counted back from its end and leaving the initial period for training."""
-    us = to_us(F.col("ds"))
-    ends = positioned.groupBy("tag").agg(F.min(us).alias("lo"), F.max(us).alias("hi"))
-    latest = F.col("hi") - horizon_days * DAY
-    earliest = F.col("lo") + initial_days * DAY
-    count = F.floor((latest - earliest) / (period_days * DAY))
-    return (
-        ends.where(latest >= earliest)
-        .withColumn("k", F.explode(F.sequence(F.lit(0), count.cast("int"))))
-        .select("tag", "lo", (latest - F.col("k") * period_days * DAY).alias("cutoff_us"))
-    )
-
-
 def cv_frames(
     positioned: DataFrame, freq: str, size: SeriesProfile, initial_days: int = 30,
     period_days: int = 7, horizon_days: int = 7,
-) -> tuple[DataFrame, DataFrame]:
-    """Training and test frames of the rolling-origin folds; ``fold`` is the cutoff's timestamp."""
-    cutoffs = cv_cutoffs(positioned, initial_days, period_days, horizon_days)
-    folds = cutoffs.groupBy("tag").agg(
-        F.first("lo").alias("lo"), F.collect_list("cutoff_us").alias("cutoffs")
-    )
-    us = to_us(F.col("ds"))
-    rows = attach(positioned.select("tag", "ds", "y", "i"), folds, size, rows_per_key=50)
-    near = F.filter("cutoffs", lambda c: us <= c + horizon_days * DAY)
-    placed = rows.withColumn("cutoff_us", F.explode(near))
-    width = freq_us(freq)
-    length = (F.floor((F.col("cutoff_us") - F.col("lo")) / width) + 1).alias("n")
-    fold = F.date_format(from_us(F.col("cutoff_us")), "yyyy-MM-dd HH:mm:ss").alias("fold")
-    train = placed.where(us <= F.col("cutoff_us")).select("tag", fold, "ds", "y", "i", length)
-    test = placed.where(us > F.col("cutoff_us")).select(
-        "tag", fold, "ds", "y", "i", length
-    ).select("tag", "fold", "ds", (F.col("i") - F.col("n")).alias("i"), "n", F.col("y").alias("actual"))
-    return train, test
+) -> tuple[DataFrame, DataFrame, SeriesProfile]:
+    """Training and test frames of the rolling-origin folds, and the profile of their groups.
+
+    ``fold`` is the cutoff's timestamp.  For models that must see the rows of each fold: a row is copied into
+    every later fold.  Models that are fitted from sums need no copies; see ``origins``.
+    """
+    spacing = origins.Origins(initial_days, period_days, horizon_days)
+    ends = stage(origins.fold_ends(positioned, spacing), "ends")
+    train = origins.fold_trains(positioned, ends, freq, size, spacing)
+    test = origins.fold_tests(positioned, ends, freq, size, spacing)
+    return train, test, size.with_groups(origins.fold_count(ends))
 
 
 def cv_metrics(predictions: DataFrame, z: float = 1.6448536269514722) -> DataFrame:

@@ -101,7 +101,7 @@ def test_search_ranks_all_trials(stages):
 
 
 def test_cross_validation_of_the_additive_model(stages):
-    train, test = evaluate.cv_frames(stages.prepared("1h"), "1h", stages.size)
+    train, test, _ = evaluate.cv_frames(stages.prepared("1h"), "1h", stages.size)
     size = stages.size.with_groups(4)
     rows = evaluate.cv_metrics(additive.fit_predict(train, test, size, "1h")).collect()
     assert {r["folds"] for r in rows} == {4}
