@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -177,7 +178,9 @@ def fit(
     """Count n-grams of a bounded sample of labelled texts that may be learned from.
 
     About ``config.sample`` texts of every language are taken by a hash of their id.  The counts
-    (a row per language and bucket at most) and the shares of scripts come to the driver.
+    (a row per language and bucket at most) and the shares of scripts come to the driver.  Rows with a NULL
+    text or language teach nothing; rows that repeat count as often as they come; sampled texts are read whole,
+    however long.  Without a row to learn from, as in an empty table, the model has no language.
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col))).select(
         F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(id_col), F.lit(1 << 20)).alias("draw"), F.col(text_col).alias("text"),
@@ -216,7 +219,8 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     """``(id, lang_pred, score)`` for every row: the language of most words, and its share of the words.
 
     Whole texts are labelled.  A NULL text and one without a letter are ``und`` with score 0, as is
-    every text if no language was learned.  Ties go to the language first in order.
+    every text if no language was learned.  Ties go to the language first in order.  Rows that repeat get the
+    same; very long texts are labelled in one piece; an empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -241,8 +245,12 @@ def keep(
     """The rows of ``docs`` whose text is in a learned language, with a share of ``least`` of its words.
 
     Rows pass through the labelling with all their columns, so nothing is shuffled or joined.  Texts
-    without a letter are rejected.
+    without a letter are rejected, NULL and empty ones too.  A model without a language can judge nothing, so
+    it warns and all rows stay.
     """
+    if not model.languages:
+        warnings.warn("no language was learned: all documents stay", stacklevel=2)
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

@@ -28,13 +28,12 @@ PATTERNS = 3
 class ToxicityConfig:
     """Bounds of what is learned from: ``labelled`` labelled texts, ``training`` texts of either class.
 
-    ``terms`` words and ``terms`` stems at most make up ``lexicons`` lexicons each; a term needs
-    ``support`` toxic texts and ``odds`` times the clean rate.
+    Words and stems make up ``lexicons`` lexicons each; a term needs ``support`` toxic texts and ``odds``
+    times the clean rate, and every term that has both is in one.
     """
 
     labelled: int = 12000
     training: int = 4000
-    terms: int = 512
     lexicons: int = 4
     support: int = 4
     odds: float = 20.0
@@ -99,7 +98,10 @@ def _labelled(docs, labels, config, id_col, text_col, label_id, label_col) -> Da
 
 
 def mine_lexicons(sample: DataFrame, config: ToxicityConfig) -> tuple[dict[str, int], dict[str, int]]:
-    """Words and stems far more frequent in toxic texts, dealt over the lexicons in order of support."""
+    """Words and stems far more frequent in toxic texts, dealt over the lexicons in order of support.
+
+    Ties in support go by fewer clean texts, then by the term.
+    """
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         toxic, clean = Counter(), Counter()
@@ -124,7 +126,7 @@ def mine_lexicons(sample: DataFrame, config: ToxicityConfig) -> tuple[dict[str,
     )
     lexicons: list[dict[str, int]] = []
     for mark in ("w", "s"):
-        best = counted.where(F.col("term").startswith(mark)).orderBy(F.desc("toxic"), "clean", "term").limit(config.terms).collect()
+        best = counted.where(F.col("term").startswith(mark)).orderBy(F.desc("toxic"), "clean", "term").collect()
         lexicons.append({r["term"][1:]: k % config.lexicons for k, r in enumerate(best)})
     return lexicons[0], lexicons[1]
 
@@ -138,8 +140,13 @@ def fit(
     Lexicons are mined from a bounded sample of labelled texts.  All texts are voted on; a row per
     pattern of votes and label (there are ``2^voters`` patterns) comes to the driver, where
     expectation-maximisation estimates the voters' accuracies and, along a tree, their
-    correlations; labels that may be learned from are held fixed.  The posterior labels of a
-    bounded sample of texts, labelled or not, train a sparse linear model of hashed words and stems.
+    correlations; labels that may be learned from are held fixed, and a labelled text counts once.  Texts
+    that are held out take part here without their labels, and never in training.  The posterior labels of a
+    bounded sample of the other texts, labelled or not, train a sparse linear model of hashed words and stems.
+
+    NULL and empty texts get no votes; rows that repeat count as often as they come; texts are read whole,
+    however long; a NULL label teaches nothing.  Without a label, as in an empty table, there are no lexicons,
+    and only the patterns vote.
     """
     sample = stage(_labelled(docs, labels, config, id_col, text_col, label_id, label_col), "labelled")
     words, stems = mine_lexicons(sample, config)
@@ -161,6 +168,8 @@ def fit(
         .groupBy("bits").agg(F.count("*").alias("n"), F.count(F.when(~F.col("held"), 1)).alias("usable")), "votes",
     ).toPandas()
     told = sample.select("text", "toxic").mapInPandas(votes, "bits long, toxic int").groupBy("bits", "toxic").agg(F.count("*").alias("n")).toPandas()
+    known_n = counted["bits"].map(told.groupby("bits")["n"].sum()).fillna(0).astype("int64")
+    counted["n"] = np.maximum(counted["n"] - known_n, 0)
     bits = np.concatenate([counted["bits"], told["bits"]]).astype(np.int64)
     known = np.concatenate([np.full(len(counted), -1), told["toxic"]]).astype(np.int64)
     number = np.concatenate([counted["n"], told["n"]]).astype(float)
@@ -218,7 +227,8 @@ def score(
 ) -> DataFrame:
     """``(id, score, predicted)`` for every row and its whole text.
 
-    NULL and empty texts get the score of a text without features; rows that repeat get the same.
+    NULL and empty texts get the score of a text without features; rows that repeat get the same; texts are
+    read whole, however long; an empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -125,6 +125,22 @@ def test_held_out_toxicity(spark):
     assert (hit & wanted).sum() / max(1, wanted.sum()) >= 0.5 and (hit & wanted).sum() / max(1, hit.sum()) >= 0.7
 
 
+def test_a_labelled_text_counts_once_and_no_telling_term_is_left_out(spark, docs, monkeypatch):
+    rows = [(k, f"calm words {k}" + (f" vile{k % 7 * 'x'}" if k % 3 == 0 else "")) for k in range(400)]
+    marks = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(0, 400, 2)], "doc_id long, toxic int")
+    seen = {}
+
+    def watch(votes, weight, known, start, **rest):
+        seen.update(weight=weight, known=known)
+        return weak.fit_label_model(votes, weight, known, start, **rest)
+
+    monkeypatch.setattr(toxicity, "fit_label_model", watch)
+    model = toxicity.fit(docs(rows), marks)
+    told = sum(1 for k in range(0, 400, 2) if zlib.crc32(str(k).encode()) % 4 != 2)
+    assert seen["weight"].sum() == 400 and seen["weight"][seen["known"] >= 0].sum() == told
+    assert {f"vile{k * 'x'}" for k in range(7)} <= model.words.keys()
+
+
 def test_toxicity_takes_odd_rows(spark, docs, odd_docs, no_docs):
     rows = [(k, f"quiet words {k % 17} about the weather" + (" vilewort nastyx" if k % 4 == 0 else "")) for k in range(300)]
     marks = spark.createDataFrame([(k, int(k % 4 == 0), "x") for k in range(300)] + [(None, 1, "x"), (5, None, "x"), (4, 1, "x")], "doc_id long, toxic int, text string")

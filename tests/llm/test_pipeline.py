@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -41,3 +42,31 @@ def test_planted_copies_go_and_clean_documents_stay(spark, docs):
     near = [(100 + k, t + " ") for k, t in clean[:10]]
     kept = simhash.keep_representatives(docs(clean + near))
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(40))
+
+
+def test_a_corpus_without_labels_stays_whole(spark, odd_docs, no_docs):
+    unlabelled = odd_docs.withColumn("lang", F.lit(None).cast("string"))
+    with pytest.warns(UserWarning, match="no language was learned"):
+        kept = corpus_pipeline.language(spark, unlabelled, SMALL)
+    assert kept.columns == corpus_pipeline.COLUMNS and kept.count() == unlabelled.count()
+    with pytest.warns(UserWarning):
+        assert corpus_pipeline.language(spark, no_docs, SMALL).count() == 0
+
+
+def test_every_stage_takes_odd_rows(spark, odd_docs):
+    """NULLs, empty and very long texts, repeated rows and clashing columns: each stage by itself."""
+    total = odd_docs.count()
+    lines = corpus_pipeline.lines(spark, odd_docs, SMALL)
+    assert lines.columns == corpus_pipeline.COLUMNS and lines.count() == total
+    near = corpus_pipeline.near_duplicates(spark, odd_docs, SMALL)
+    assert near.columns == corpus_pipeline.COLUMNS and 0 < near.count() < total
+    mixed = corpus_pipeline.mixture(spark, odd_docs, SMALL)
+    assert mixed.columns == corpus_pipeline.COLUMNS and mixed.where("n_chars IS NOT NULL AND n_chars <> length(text)").isEmpty()
+    words = F.size(F.filter(F.split(F.col("text"), "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
+    given = odd_docs.where("text IS NOT NULL").agg(F.sum(words)).first()[0]
+    assert corpus_pipeline.packed(spark, odd_docs, SMALL).agg(F.sum("words")).first()[0] == given
+
+
+def test_every_stage_takes_an_empty_table(spark, no_docs):
+    for _, step in corpus_pipeline.STAGES[1:]:
+        assert step(spark, no_docs, SMALL).count() == 0
