@@ -1,4 +1,8 @@
-"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read by the next."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read by the next.
+
+Every stage takes whole texts, however long, and tables with columns beside those of ``documents``, which it
+drops.  Repeated rows are rows like others, unless a stage says otherwise; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm import langid, linededup, mixing, packing, simhash
 from pulsegrid.llm.common import table
-from pulsegrid.session import stage
+from pulsegrid.session import discard, stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SHARE = 0.5
@@ -22,29 +26,42 @@ def _documents(df: DataFrame) -> DataFrame:
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose words are mostly in one learned language; the others go.
 
-    Labels are predictions written beside the text, so no text is shuffled.
+    NULL and empty texts, and others without a letter, are in no language and go.  Where nothing can be
+    learned, because no row that may be learned from has a language, all rows stay.  No text is shuffled.
     """
     model = langid.fit(docs)
     return langid.keep(docs, model, LEAST_SHARE).select(*COLUMNS)
 
 
 def lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the runs of lines that occur earlier; a copy keeps its row and no text."""
+    """All documents, without the runs of lines that occur earlier; a copy keeps its row and no text.
+
+    NULL texts stay NULL; of equal runs the one of the smallest id stays.
+    """
     return _documents(linededup.remove_repeated_lines(docs))
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one whose id is the component's."""
+    """One document of each group of near duplicates: the one whose id is the component's.
+
+    NULL and empty texts share one fingerprint, so one of them stays; of rows that repeat an id, too.
+    """
     return simhash.keep_representatives(docs).select(*COLUMNS)
 
 
 def mixture(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix in training order; a document comes once for each time that it is taken."""
+    """The mix in training order; a document comes once for each time that it is taken.
+
+    NULL and empty texts hold no words; a NULL source is a source of its own.
+    """
     return _documents(mixing.mixed_documents(docs))
 
 
 def packed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where the words of each copy go: bins of one training sequence each."""
+    """Where the words of each copy go: bins of one training sequence each.
+
+    A text without a word has one row, without a bin.
+    """
     return packing.pack(docs).withColumnRenamed("id", "doc_id")
 
 
@@ -59,8 +76,14 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage over ``documents``.
+
+    A stage's input is deleted when its output has been written, so two copies of the texts exist at most.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), f"corpus-{name}")
+        written = stage(step(spark, docs, sf_dir), f"corpus-{name}")
+        if before is not None:
+            discard(before)
+        docs = before = written
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -67,6 +67,17 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a staged table that nothing reads any more; other tables are left alone."""
+    spark = df.sparkSession
+    own = scratch_folder(spark).rstrip("/").split(":", 1)[-1].lstrip("/")
+    folders = {file.rsplit("/", 1)[0] for file in df.inputFiles()}
+    for folder in folders:
+        if folder.split(":", 1)[-1].lstrip("/").startswith(f"{own}/"):
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the scratch folder and read it back.
 

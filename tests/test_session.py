@@ -1,3 +1,4 @@
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
@@ -31,6 +32,17 @@ def test_release_leaves_nothing(spark, tmp_path, monkeypatch):
     session.release(spark)
 
 
+def test_discard_deletes_staged_tables_only(spark, tmp_path):
+    kept, gone = session.stage(spark.range(5).toDF("n"), "kept"), session.stage(spark.range(9).toDF("n"), "gone")
+    outside = str(tmp_path / "outside")
+    spark.range(3).write.parquet(outside)
+    files = gone.inputFiles()
+    session.discard(gone)
+    session.discard(spark.read.parquet(outside))
+    assert kept.count() == 5 and spark.read.parquet(outside).count() == 3
+    assert files and not any(Path(f.removeprefix("file:")).exists() for f in files)
+
+
 def test_one_row_is_a_training_part(spark):
     from pyspark.sql import functions as F
 
