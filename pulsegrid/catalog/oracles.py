@@ -768,6 +768,22 @@ ORACLES["publish_report"] = statement(
     " FROM asked LEFT JOIN wr USING (tag) LEFT JOIN pt USING (tag)",
 )
 
+FAULTY = (
+    ON_GRID + CLEAN + SIGMA + fits() + prepared("1 hour") + holdouts({"trend": 168}) + SCORES
+    + forecasts("1 hour", STEPS, {"trend": 168}) + EVENTS + RATES + NODES[-1:] + [
+        "wr AS (SELECT tag, count(DISTINCT external_id) AS nodes_written FROM no GROUP BY tag)",
+        "cause AS (SELECT * FROM (VALUES ('.huge', 'grid: values too large'), ('.single', 'grid: no point'), ('.missing', 'No data')) AS v(ending, error))",
+        "rp AS (SELECT tag, 'success' AS status, NULL AS error, 'success' AS write_status, nodes_written FROM wr"
+        " UNION ALL SELECT tag || ending, 'error', error, 'no_data', 0 FROM (SELECT DISTINCT tag FROM s) CROSS JOIN cause)",
+    ]
+)
+ORACLES["fault_report"] = statement(FAULTY, "SELECT * FROM rp")
+ORACLES["run_totals"] = statement(
+    FAULTY,
+    "SELECT count(*) AS processed_tags, count(*) FILTER (status = 'success') AS successful_tags,"
+    " sum(nodes_written)::BIGINT AS nodes_written FROM rp",
+)
+
 # Fitted models: what can be stated without fitting them.
 for _name, _model in (
     ("forecast_additive", "additive"), ("forecast_kernel", "kernel"), ("forecast_autoregressive", "autoregressive"),

@@ -500,6 +500,29 @@ def value_range(spark, folder):
     return rounded(evaluate.series_range(cleaned(events_by_user(spark, folder)).clean))
 
 
+def _faulty_report(spark, folder):
+    """The report of an analysis in which each tag has three companions that cannot be analysed."""
+    events = events_by_type(spark, folder)
+    huge = events.select(F.concat("tag", F.lit(".huge")).alias("tag"), "ts", (F.col("value") * 1e200).alias("value"))
+    off = F.min(F.date_trunc("hour", "ts").cast("timestamp_ntz") + F.expr("INTERVAL '7' MINUTE"))
+    single = events.groupBy(F.concat("tag", F.lit(".single")).alias("tag")).agg(off.alias("ts"), F.first("value").alias("value"))
+    health = plan.analyse(events.unionByName(huge).unionByName(single), plan.Analysis(models=("trend",), horizon_days=14))
+    names = [F.col("tag"), *[F.concat("tag", F.lit(end)) for end in (".huge", ".single", ".missing")]]
+    asked = stage(events.select("tag").distinct().select(F.explode(F.array(*names)).alias("tag")), "asked")
+    found = meta.lookup(asked, part_meta(spark, folder))
+    return plan.publish(health, asked, found, as_of(), _folder(spark, "faulty"), "2_weeks")
+
+
+@query
+def fault_report(spark, folder):
+    return _faulty_report(spark, folder)
+
+
+@query
+def run_totals(spark, folder):
+    return tables.run_totals(_faulty_report(spark, folder))
+
+
 @query
 def parity_range(spark, folder):
     return rounded(evaluate.parity_range(_holdouts(cleaned(events_by_type(spark, folder)))))

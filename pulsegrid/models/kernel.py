@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.timeops import CALENDAR_NAMES
 from pulsegrid.models.frames import KEYS, setting_keys, with_settings
-from pulsegrid.models.ridge import SLICE_ROWS, _matrix, clustered, moments, predict_lifted
+from pulsegrid.models.ridge import SLICE_ROWS, _matrix, clustered, moments, predict_lifted, solution
 from pulsegrid.operators.features import feature_frame, future_time_index
 from pulsegrid.operators.joins import SeriesProfile, attach
 from pulsegrid.session import stage
@@ -119,9 +119,9 @@ def tube_fit(rows: DataFrame, keys: list[str], lift, largest: int, slice_rows: i
         penalty, coef, done = _ridge(x.shape[1]), np.zeros(x.shape[1]), 0
         for done in range(1, ROUNDS + 1):
             weight, target = reweighted(x, z, coef, c, epsilon)
-            new = np.linalg.solve((x.T * weight) @ x + penalty, x.T @ (weight * target))
+            new = solution((x.T * weight) @ x + penalty, x.T @ (weight * target))
             change, coef = np.abs(x @ (new - coef)).max(), new
-            if change < SETTLED:
+            if not change >= SETTLED:  # a change that is not a number ends the rounds, too
                 break
         return pd.DataFrame([(*key, *_summary(x, z, coef, c, epsilon, done))], columns=names)
 
@@ -151,7 +151,7 @@ def _fit_by_rounds(rows: DataFrame, keys: list[str], lift, largest: int, schema:
     def solved(key, pdf):
         xz = _matrix(pdf["xz"]).sum(axis=0)
         xx = _matrix(pdf["xx"]).sum(axis=0).reshape(len(xz), len(xz))
-        return pd.DataFrame([(*key, np.linalg.solve(xx + _ridge(len(xz)), xz))], columns=[*keys, "coef"])
+        return pd.DataFrame([(*key, solution(xx + _ridge(len(xz)), xz))], columns=[*keys, "coef"])
 
     for done in range(1, SPARK_ROUNDS + 1):
         if state is None:
@@ -166,7 +166,7 @@ def _fit_by_rounds(rows: DataFrame, keys: list[str], lift, largest: int, schema:
         old = state.select(*keys, F.col("coef").alias("old"), F.col("settled").alias("was"), F.col("rounds").alias("before"))
         moved = F.array_max(F.zip_with("coef", "old", lambda a, b: F.abs(a - b)))
         state = stage(old.join(new, keys, "left").select(
-            *keys, F.coalesce("coef", "old").alias("coef"), (F.col("was") | (moved < 100 * SETTLED)).alias("settled"),
+            *keys, F.coalesce("coef", "old").alias("coef"), (F.col("was") | (moved < 100 * SETTLED) | F.isnan(moved)).alias("settled"),
             F.when(F.col("was"), F.col("before")).otherwise(done).alias("rounds"),
         ), "tube-state")
         if state.where("not settled").isEmpty():

@@ -86,16 +86,26 @@ def moments(
     return parts.groupBy(*keys, "part").applyInPandas(add, schema)
 
 
+def solution(system: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The solution, or NaN throughout if there is none: one failed fit must not end those beside it."""
+    try:
+        return np.linalg.solve(system, target)
+    except np.linalg.LinAlgError:
+        return np.full(np.shape(target), np.nan)
+
+
 def _sparse(system: np.ndarray, target: np.ndarray, price: np.ndarray) -> np.ndarray:
     """The minimum of ``c'Sc/2 - t'c + sum(price |c|)``: coefficients with a price become exactly zero.
 
     Priceless coefficients are eliminated first.  Coordinate descent with soft thresholding on the
     others finds which of them live; the equations of these are then solved exactly.
     """
+    if not (np.isfinite(system).all() and np.isfinite(target).all() and np.isfinite(price).all()):
+        return np.full(len(target), np.nan)
     free, priced = np.flatnonzero(price == 0), np.flatnonzero(price > 0)
     if not len(priced):
-        return np.linalg.solve(system, target)
-    carried = np.linalg.solve(system[np.ix_(free, free)], np.column_stack([system[np.ix_(free, priced)], target[free]]))
+        return solution(system, target)
+    carried = solution(system[np.ix_(free, free)], np.column_stack([system[np.ix_(free, priced)], target[free]]))
     inner = system[np.ix_(priced, priced)] - system[np.ix_(priced, free)] @ carried[:, :-1]
     wanted = target[priced] - system[np.ix_(priced, free)] @ carried[:, -1]
     inner[np.diag_indices(len(priced))] += 1e-9 * max(1.0, np.abs(np.diag(inner)).max())
@@ -113,7 +123,7 @@ def _sparse(system: np.ndarray, target: np.ndarray, price: np.ndarray) -> np.nda
         live = np.flatnonzero(found)
         exact = np.zeros(len(priced))
         if len(live):
-            exact[live] = np.linalg.solve(inner[np.ix_(live, live)], wanted[live] - cost[live] * np.sign(found[live]))
+            exact[live] = solution(inner[np.ix_(live, live)], wanted[live] - cost[live] * np.sign(found[live]))
         slack = np.abs(wanted - inner @ exact) - cost
         slack[live] = 0.0
         if (exact[live] * found[live] >= 0).all() and (slack <= 1e-9 * (1.0 + cost)).all():
@@ -130,6 +140,7 @@ def solve(parts: DataFrame, keys: list[str], penalty: str = "penalty", price: st
     ``penalty`` holds one normal prior precision per coefficient, ``price`` one inverse scale of a
     Laplace prior, both in units of the noise variance, which is estimated first: solve with a unit
     variance, then again with the residual variance.  ``variance`` is the one that ``coef`` was found with.
+    A system that is singular or not finite has no coefficients: NaN in a task, NULL in the table.
     """
     types = {f.name: f.dataType.simpleString() for f in parts.schema.fields}
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["coef array<double>", "noise double", "variance double"])
@@ -148,7 +159,7 @@ def solve(parts: DataFrame, keys: list[str], penalty: str = "penalty", price: st
             system = xx + np.diag(np.maximum(variance * prior, 1e-9))
             coef = _sparse(system, xz, variance * cost)
             residual = zz - 2 * coef @ xz + coef @ xx @ coef
-            variance = max(residual / max(1, count), 1e-6)
+            variance = max(residual / max(1, count), 1e-6) if np.isfinite(residual) else np.nan
         frame = dict(zip(keys, ([k] for k in key)))
         return pd.DataFrame(frame | {"coef": [coef], "noise": [float(np.sqrt(variance))], "variance": [used]})
 

@@ -13,7 +13,7 @@ from pulsegrid.functions.timeops import DAY, freq_us, steps_ahead
 from pulsegrid.models.registry import MODELS, forecast, holdout, spec_of
 from pulsegrid.operators import ensemble
 from pulsegrid.operators.evaluate import best_model, data_std, forecast_metrics, scored
-from pulsegrid.operators.joins import SeriesProfile, profile
+from pulsegrid.operators.joins import SeriesProfile, attach, profile
 from pulsegrid.operators.rate import rates_long
 from pulsegrid.operators.sigma import sigma_counts, sigma_events
 from pulsegrid.operators.ttf import breaches_long, first_breach_wide, slope_sides, slope_ttf
@@ -80,6 +80,24 @@ class Health:
     scores: DataFrame  # tag, model, ... of the reported model
     forecast: DataFrame  # of the reported model
     breaches: DataFrame  # long, forecast and slope breaches
+    read: DataFrame  # tags with a reading
+    faults: DataFrame  # tag, error: tags set aside before the models, with stage and cause
+    attempted: DataFrame  # tags for which a model gave any forecast row, sound or not
+
+
+LARGEST = 1e150  # squares of larger values are beyond what sums of them can hold
+
+
+def _finite(value: Column) -> Column:
+    """False for NaN and infinities; NULL counts as finite."""
+    return F.coalesce(~F.isnan(value) & (F.abs(value) < float("inf")), F.lit(True))
+
+
+def unusable(grid: DataFrame) -> DataFrame:
+    """``(tag, error)``: tags whose values no later stage can square and add up."""
+    worst = F.max(F.when(F.isnan("value"), float("inf")).otherwise(F.abs("value")))
+    told = grid.groupBy("tag").agg(worst.alias("_worst")).where(F.col("_worst") > LARGEST)
+    return told.select("tag", F.lit("grid: values too large").alias("error"))
 
 
 def grid_profile(size: SeriesProfile, days: int, freq: str) -> SeriesProfile:
@@ -96,6 +114,9 @@ def analyse(
     Readings are scanned once and reduced to the grid meanwhile; from there on a tag has at
     most ``training_days / freq`` points, however many readings it has.  The grid, the prepared
     series and the per-tag tables are staged, since several results are derived from them.
+
+    A tag that cannot be analysed holds up no other: values too large to be squared set it aside, and what a
+    model's failed fit gives is left out of scores and forecasts.  ``failures`` names cause and stage.
     """
     for name in analysis.models:
         spec_of(name)
@@ -106,8 +127,12 @@ def analyse(
     freq = analysis.freq
     if as_of is not None:
         series = scan_trailing(series, analysis.training_days, size, as_of)
+    read = series.where(F.col("value").isNotNull()).select("tag").distinct()
     grid = stage(scan_interpolate(series, freq), "grid")
     size = size or profile(grid)
+    faults = stage(unusable(grid), "faults")
+    if not faults.isEmpty():
+        grid = attach(grid, faults.select("tag"), size, how="left_anti")
     if as_of is None:
         grid = scan_trailing(grid, analysis.training_days, size)
     size = grid_profile(size, analysis.training_days, freq)
@@ -131,6 +156,9 @@ def analyse(
         forecast(m, prepared, steps, freq, size, c, settings=s).drop("i")
         for m, (c, s) in chosen.items()
     ]), "forecasts")
+    attempted = forecasts.select("tag").distinct()
+    forecasts = forecasts.where(_finite(F.col("yhat")))
+    holdouts = holdouts.where(_finite(F.col("predicted")))
     metrics = stage(forecast_metrics(holdouts), "metrics")
     spreads = data_std(clean)
     scores = scored(metrics, spreads, size)
@@ -149,18 +177,22 @@ def analyse(
         counts=shared.counts, summary=summary, crossings=sigma_counts(clean, summary, size),
         events=sigma_events(clean, summary, size), fits=fits, rates=rates_long(fits),
         metrics=metrics, scores=scores, forecast=forecasts, breaches=breaches,
+        read=read, faults=faults, attempted=attempted,
     )
 
 
 def asset_health(health: Health) -> DataFrame:
-    """One row per tag: cleaning, thresholds, exceedances, slopes, model score and breaches."""
+    """One row per tag with a reading: cleaning, thresholds, exceedances, slopes, model score and breaches.
+
+    A tag without a grid point, or set aside, has its row, and NULL in it.
+    """
     slopes = health.fits.select("tag", "last_ts", "last_value", "slope_14d", "slope_30d", "slope_60d")
     crossings = health.crossings.select(
         "tag", F.col("above1").alias("above_1s"), F.col("above3").alias("above_3s"),
         F.col("below1").alias("below_1s"), F.col("below3").alias("below_3s"),
     )
     scores = health.scores.select("tag", "model", "mae", "rmse", "mape", "score", "category")
-    table = health.counts.drop("kept_count")
+    table = health.read.join(health.counts.drop("kept_count"), "tag", "left")
     for part in (
         health.summary.select("tag", "median", "mad", "sigma", "p3", "n3"), crossings, slopes,
         scores, tables.breaches_wide(health.breaches),
@@ -187,11 +219,18 @@ def export_csv(health: Health, as_of: Column, folder: str) -> None:
 
 
 def failures(requested: DataFrame, health: Health) -> DataFrame:
-    """``(tag, error)``: the requested tags that have no forecast, each with the reason."""
+    """``(tag, error)``: the requested tags that have no forecast, each with the stage and the cause."""
     done = health.forecast.where(F.col("yhat").isNotNull()).select("tag").distinct()
-    read = health.counts.select("tag", F.lit(True).alias("_read"))
-    missing = requested.select("tag").distinct().join(done, "tag", "left_anti").join(read, "tag", "left")
-    return missing.select("tag", F.when(F.col("_read"), "No forecast").otherwise("No data").alias("error"))
+    missing = requested.select("tag").distinct().join(done, "tag", "left_anti")
+    marks = (
+        health.read.select("tag", F.lit(True).alias("_read")), health.counts.select("tag", F.lit(True).alias("_grid")),
+        health.attempted.select("tag", F.lit(True).alias("_fit")), health.faults.withColumnRenamed("error", "_fault"),
+    )
+    for mark in marks:
+        missing = missing.join(mark, "tag", "left")
+    cause = F.when(F.col("_read").isNull(), "No data").when(F.col("_fault").isNotNull(), F.col("_fault"))
+    cause = cause.when(F.col("_grid").isNull(), "grid: no point").when(F.col("_fit").isNull(), "forecast: too few points")
+    return missing.select("tag", cause.otherwise("fit: singular or not finite").alias("error"))
 
 
 def publish(
