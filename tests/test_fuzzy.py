@@ -58,3 +58,34 @@ def test_the_names_are_not_read_by_a_search(spark, tmp_path):
     assert "Cross" not in plan and "description" not in plan
     assert meta.search_fuzzy(spark.read.parquet(path).limit(0), asked).count() == 0
     assert meta.search_fuzzy(spark.read.parquet(path), asked.limit(0)).count() == 0
+
+
+def test_copies_blocks_and_groups_change_nothing(spark, monkeypatch):
+    """Many entries of the same texts, rows that come twice, an id with two names, and small blocks: as brute force says."""
+    monkeypatch.setattr(meta, "BLOCK", 2)
+    monkeypatch.setattr(meta, "GROUP", 1)
+    names = ["Pump Alpha", "alpha pump", "Pump Beta", "Pump Alpha flow", None]
+    rows = [(k * 7919 % 1009, f"x{k}", names[k % 5], ["pump alpha", "area"][k % 2]) for k in range(60)]
+    series = spark.createDataFrame(rows + rows[:9], "id long, external_id string, name string, description string")
+    queries = [(k, ["Pump Alpa", "pump beta flow", "area"][k % 3]) for k in range(12)]
+    entries = [(k, f, t) for k, _, n, d in rows for f, t in ((0, n), (1, d))]
+    asked = spark.createDataFrame(queries, "query_id long, query string")
+    for least, rare, limit in ((0.5, 4, 20), (0.1, 3, 4), (0.3, 8, 1)):
+        told = meta.search_fuzzy(meta.trigram_index(series), asked, least, rare, limit).collect()
+        assert sorted((*tuple(r)[:4], round(r["overlap"], 9)) for r in told) == sorted(brute(entries, queries, least, rare, limit))
+
+
+def test_pairs_that_share_a_trigram_are_not_shuffled(spark):
+    """A block gives ``limit`` texts a query and field, however many texts share its trigrams."""
+    import pyarrow as pa
+
+    texts = pa.table({
+        "grams": [f"  p, pu,pum,mp ,ump,x{k:02d}" for k in range(90)], "field": pa.array([k % 2 for k in range(90)], pa.int32()),
+        "size": pa.array([6] * 90, pa.int32()), "first": pa.array(range(90, 0, -1)),
+    })
+    asked = pa.table({"number": [5, 6], "grams": [" pu,ump", "zzz"], "weights": [[1.0, 2.0], [1.0]]})
+    found = meta._shares(texts, asked, 0.5, 4, 3).to_pydict()
+    assert found["number"] == [5] * 6 and found["first"] == [2, 4, 6, 1, 3, 5] and found["overlap"] == [1.0] * 6
+    series, queries = table(spark), spark.createDataFrame([(1, "pump")], "query_id long, query string")
+    plan = meta.search_fuzzy(meta.trigram_index(series), queries)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroups" in plan
