@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.plans import adaptive, health
+from pulsegrid.plans import adaptive, health, search
 from pulsegrid.plans.adaptive import SearchPlan
 
 SPACE = {"rate": (0.01, 1.0, "log"), "depth": (2, 10, "int"), "mode": ["a", "b", "c"]}
@@ -92,3 +92,25 @@ def test_an_analysis_uses_the_best_trials(sine):
     found = health.analyse(sine, health.Analysis(models=("additive",), horizon_days=2, search_plan=plan))
     rows = found.forecast.groupBy("tag").agg(F.count("*").alias("n"), F.max("yhat").alias("top")).collect()
     assert {r["tag"] for r in rows} == {"a", "b"} and all(r["n"] == 48 and np.isfinite(r["top"]) for r in rows)
+
+
+def test_many_readings_for_a_grid_point_are_no_longer_fits(spark, sine, monkeypatch):
+    """Readings beyond a slice do not send fits of few grid points through rounds over Spark."""
+    from pulsegrid.models import kernel
+    from pulsegrid.models.frames import fit_size
+    from pulsegrid.operators.joins import SeriesProfile
+    from pulsegrid.operators.resample import resample_grid
+
+    def refused(*_):
+        raise AssertionError("rounds over Spark")
+
+    monkeypatch.setattr(kernel, "_fit_by_rounds", refused)
+    pos = resample_grid(sine, "1h")
+    size = SeriesProfile(2, 10_000_000, 1)
+    assert fit_size(pos, size) == SeriesProfile(2, 60 * 24, 1)
+    assert fit_size(pos, SeriesProfile(2, 40_000, 1)).largest == 40_000 and fit_size(pos.limit(0), size).largest == 0
+    plan = adaptive.SearchPlan(rounds=1, batch=2, eta=2, candidates=2)
+    few = search.searchable(pos.where("i < 200").withColumn("n", F.lit(200).cast("long")))
+    for found in adaptive.adaptive_searches(["kernel", "additive"], few, "1h", size, plan):
+        assert found.count() == 4 and found.where("loss < double('inf')").count() == 4
+    assert adaptive.adaptive_searches([], few, "1h", size, plan) == []
