@@ -23,7 +23,7 @@ from pulsegrid.session import scratch_folder, stage
 
 END_ID = 0
 SHARD_TOKENS = 1 << 22
-HELD_PIECES = 1 << 21
+HELD_PIECES = 1 << 20
 HELD_CHARACTERS = 1 << 26
 MANIFEST = "part int, seq int, path string, documents long, tokens long, bytes long"
 
@@ -236,6 +236,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
     schema = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder_of.cache_clear()  # the files are written: what a worker held for them is not needed any more
         for batch in batches:
             for row in batch.to_pylist():
                 system, path = _open(row["path"])

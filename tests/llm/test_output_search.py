@@ -247,3 +247,10 @@ def test_terms_part_at_every_other_ascii_character():
     pattern = __import__("re").compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
     lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
     assert [t.decode() for t in search.terms(text)] == pattern.findall(lowered)
+
+
+def test_an_encoder_holds_no_more_pieces_than_two_workers_have_room_for():
+    """A piece takes about 200 bytes, so that each worker of an executor of 3000 MB holds 210 MB of them."""
+    from pulsegrid.llm import tokens
+
+    assert tokens.HELD_PIECES * 200 <= 210 << 20
